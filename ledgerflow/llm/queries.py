@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality, token_counts
+from . import minhash, mixing, packing, quality, suffixes, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op5_packing": packing.op5_packing,
     "op6_minhash": minhash.op6_minhash,
     "op7_quality": quality.op7_quality,
+    "op9_suffix_array": suffixes.op9_suffix_array,
     "op10_mixing": mixing.op10_mixing,
 }
 

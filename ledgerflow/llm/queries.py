@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, quality, suffixes, token_counts
+from . import embeddings, minhash, mixing, packing, quality, suffixes, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op4_embeddings": embeddings.op4_embeddings,
     "op5_packing": packing.op5_packing,
     "op6_minhash": minhash.op6_minhash,
     "op7_quality": quality.op7_quality,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_embeddings": embeddings.OP4_SQL,
     "op7_quality": quality.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

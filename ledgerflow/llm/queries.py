@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embeddings, minhash, mixing, packing, quality, suffixes, token_counts
+from . import embeddings, minhash, mixing, packing, privacy, quality, suffixes, token_counts
 
 QUERIES = {
+    "op1_pii": privacy.op1_pii,
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_embeddings": embeddings.op4_embeddings,
     "op5_packing": packing.op5_packing,

@@ -141,8 +141,14 @@ class NearDuplicates:
         schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
         return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, schema)
 
+    def tasks(self, members: DataFrame) -> DataFrame:
+        """members (node, d1, d2, blob) with the part of its blob that each is in, and of how many."""
+        sizes = members.groupBy("blob").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        d = members.join(sizes, "blob")
+        return d.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
     def member_sets(self, docs: DataFrame, members: DataFrame) -> DataFrame:
-        """The sets of members (node, d1, d2, blob), made again from the texts of documents with those ids."""
+        """The sets of members, made again from the texts of documents with those ids."""
 
         def make(batches):
             import hashlib
@@ -154,19 +160,16 @@ class NearDuplicates:
                     keep.append(bool(d[0] == d1 and d[1] == d2))
                     if keep[-1]:
                         sets.append(s.tobytes())
-                yield batch.loc[keep, ["node", "blob"]].assign(shingles=sets)
+                yield batch.loc[keep, ["node", "blob", "part", "parts"]].assign(shingles=sets)
 
         joined = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node")
-        return joined.select("node", "blob", "d1", "d2", "text").mapInPandas(make, "node long, blob long, shingles binary")
+        joined = joined.select("node", "blob", "part", "parts", "d1", "d2", "text")
+        return joined.mapInPandas(make, "node long, blob long, part int, parts int, shingles binary")
 
-    def links(self, sets: DataFrame) -> DataFrame:
+    def links(self, sets: DataFrame, members: int) -> DataFrame:
         """Edges (a, b) that connect each blob's documents as all its links would."""
-        sizes = sets.groupBy("blob").agg(F.count("*").alias("n"))
-        total = sizes.agg(F.sum("n")).first()[0] or 0
-        tasks = max(1, math.ceil(total / PART))
-        d = sets.join(sizes, "blob").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-        d = d.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tasks = max(1, math.ceil(members / PART))
+        d = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         pair = F.struct(F.col("blob"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         small = F.struct(F.pmod(F.xxhash64("blob"), F.lit(tasks)).alias("blob"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
         d = d.withColumn("task", F.when(F.col("parts") == 1, small).otherwise(pair))
@@ -198,9 +201,9 @@ class NearDuplicates:
         hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
         stars = keys.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         blobs = materialize(connected_components(stars).select("node", F.col("component").alias("blob")), "minhash-blobs")
-        members = unique.select("node", "d1", "d2").join(blobs, "node")
-        sets = materialize(self.member_sets(docs, members), "minhash-sets")
-        parts = connected_components(materialize(self.links(sets), "minhash-links"))
+        members = materialize(self.tasks(unique.select("node", "d1", "d2").join(blobs, "node")), "minhash-members")
+        sets = self.member_sets(docs, members)
+        parts = connected_components(materialize(self.links(sets, members.count()), "minhash-links"))
         found = unique.select("d1", "d2", "node").join(parts, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("found"))
         d = signed.drop("bands").join(found, ["d1", "d2"], "left")
         alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import _BYTE_VALUES, discard, materialize, mix64, prefix_hashes, range_hashes, slabs, table
 
 #: Length of anchors: the longer, the fewer contexts; the shorter, the fewer anchors.
-GRAM = 100
+GRAM = 64
 #: Distinct contexts of an anchor that one task sorts; beyond, strings are grouped by digest instead.
 GROUP = 2000
 #: Contexts a task works on, in many anchors.
@@ -168,7 +168,7 @@ class RepeatedStrings:
         self.margin = length - GRAM  # how far before an anchor a string with it can start
 
     def find_anchors(self, docs: DataFrame) -> DataFrame:
-        """anchor, key, at: the anchors of each text of (key, text), text in bytes."""
+        """anchor, short, at: the anchors of each text of (short, text), text in bytes."""
 
         def find(batches):
             for batch in batches:
@@ -177,24 +177,31 @@ class RepeatedStrings:
                     begins = np.cumsum([0, *map(len, raw[a : b - 1])])
                     at, hashes = anchors(np.frombuffer(b"".join(raw[a:b]), np.uint8), begins, self.length)
                     doc = np.searchsorted(begins, at, side="right") - 1
-                    yield pd.DataFrame({"anchor": hashes.view(np.int64), "key": batch.key.to_numpy()[a + doc], "at": (at - begins[doc]).astype(np.int32)})
+                    yield pd.DataFrame({"anchor": hashes.view(np.int64), "short": batch.short.to_numpy()[a + doc], "at": (at - begins[doc]).astype(np.int32)})
 
-        return docs.select("key", "text").mapInPandas(find, "anchor long, key binary, at int")
+        return docs.select("short", "text").mapInPandas(find, "anchor long, short long, at int")
 
     def contexts(self, texts: DataFrame) -> DataFrame:
-        """anchor, key, at, context, left: the bytes around each anchor of (key, text, anchors, ats)."""
+        """anchor, key, at, left, digest: of the bytes around each anchor of (key, text, x of (at, anchor))."""
 
         def cut(batches):
             for batch in batches:
                 rows = []
-                for key, raw, found, ats in zip(batch.key, batch.text, batch.anchors, batch.ats):
-                    for anchor, at in zip(found.tolist(), ats.tolist()):
+                for key, raw, found in zip(batch.key, batch.text, batch.x):
+                    for f in found:
+                        at = f["at"]
                         begin = max(0, at - self.margin)
-                        rows.append((anchor, key, at, raw[begin : at + self.length], at - begin))
-                for k in range(0, len(rows), 5000):
-                    yield pd.DataFrame(rows[k : k + 5000], columns=["anchor", "key", "at", "context", "left"])
+                        around = b"%d|" % (at - begin) + raw[begin : at + self.length]
+                        rows.append((f["anchor"], key, at, at - begin, hashlib.md5(around).digest()))
+                for k in range(0, len(rows), 20000):
+                    yield pd.DataFrame(rows[k : k + 20000], columns=["anchor", "key", "at", "left", "digest"])
 
-        return texts.mapInPandas(cut, "anchor long, key binary, at int, context binary, left int")
+        return texts.select("key", "text", "x").mapInPandas(cut, "anchor long, key binary, at int, left int, digest binary")
+
+    def with_bytes(self, contexts: DataFrame, texts: DataFrame) -> DataFrame:
+        """contexts (key, at, left and more) with their bytes as context."""
+        d = contexts.join(texts.select("key", "text"), "key")
+        return d.withColumn("context", F.expr(f"substring(text, at - left + 1, left + {self.length})")).drop("text", "key", "at")
 
     def sort_contexts(self, distinct: DataFrame) -> DataFrame:
         """anchor, digest, lo, hi from distinct contexts that occur once, and partners that occur more."""
@@ -222,44 +229,51 @@ class RepeatedStrings:
         shared = each.groupBy("anchor", "before", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         return each.join(shared, ["anchor", "before", "string"]).select("anchor", "digest", F.col("before").alias("lo"), (F.col("before") + 1).alias("hi"))
 
-    def removed(self, texts: DataFrame) -> DataFrame:
-        """(key, text, n) with the removed spans as array x of (begin, end): for texts that may have any.
+    def removed(self, docs: DataFrame) -> DataFrame:
+        """(key, text, whole, marks) of (key, short, text), for texts with anything to remove.
+
+        whole: all of it, as another row has the same text; marks: of its contexts, with the ranges
+        in which strings start before the anchor, or null for all that fit.
 
-        texts: distinct texts in bytes, their 128-bit keys, and how many documents have each.
+        key is 128 bits of the text's digest; short, with fewer bits, only narrows the first pass.
         """
-        found = materialize(self.find_anchors(texts), "suffix-anchors")
+        found = materialize(self.find_anchors(docs), "suffix-anchors")
         often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        by_text = found.join(often, "anchor").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "anchor"))).alias("x"))
-        by_text = by_text.select("key", F.col("x.anchor").alias("anchors"), F.col("x.at").alias("ats"))
-        likely = texts.join(by_text, "key", "left").where(F.col("anchors").isNotNull() | ((F.col("n") > 1) & (F.length("text") >= self.length)))
-        likely = materialize(likely, "suffix-likely")
+        by_text = found.join(often, "anchor").groupBy("short").agg(F.collect_set(F.struct("at", "anchor")).alias("x"))
+        texts = docs.groupBy("short", "key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+        likely = materialize(texts.join(by_text, "short").drop("short"), "suffix-likely")
         discard(found)
 
-        around = self.contexts(likely.where("anchors IS NOT NULL"))
-        digest = F.unhex(F.md5(F.concat(F.col("context"), F.lit("|").cast("binary"), F.col("left").cast("string").cast("binary"))))
-        around = materialize(around.withColumn("digest", digest), "suffix-contexts")
-        distinct = around.groupBy("anchor", "digest").agg(F.first("context").alias("context"), F.first("left").alias("left"), F.count("*").alias("n"))
-        distinct = materialize(distinct, "suffix-distinct")
+        around = materialize(self.contexts(likely), "suffix-contexts")
+        distinct = around.groupBy("anchor", "digest").agg(F.first(F.struct("key", "at", "left")).alias("one"), F.count("*").alias("n"))
+        distinct = materialize(distinct.select("anchor", "digest", "one.*", "n"), "suffix-distinct")
         sizes = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("fewest"))
         sizes = materialize(sizes.where("contexts > 1 AND fewest = 1"), "suffix-sizes")
         usual, hot = sizes.where(F.col("contexts") <= GROUP), sizes.where(F.col("contexts") > GROUP)
         tasks = math.ceil((usual.agg(F.sum("contexts")).first()[0] or 0) / TASK)
-        tasks = max(tasks, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        few = distinct.join(usual.select("anchor"), "anchor").withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)))
+        tasks = max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        few = self.with_bytes(distinct.join(usual.select("anchor"), "anchor"), likely).withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)))
         ranges = self.sort_contexts(few.select("task", "anchor", "digest", "context", "left"))
         if hot.limit(1).count():
-            ranges = ranges.unionByName(self.hot_contexts(distinct.join(hot.select("anchor"), "anchor")))
+            ranges = ranges.unionByName(self.hot_contexts(self.with_bytes(distinct.join(hot.select("anchor"), "anchor"), likely)))
         ranges = ranges.groupBy("anchor", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
         once = distinct.where("n = 1").select("anchor", "digest").join(ranges, ["anchor", "digest"])
         # a context that occurs again is repeated wherever a whole string fits in it
-        again = distinct.where((F.col("n") > 1) & (F.length("context") >= self.length))
-        again = again.select("anchor", "digest", F.expr(f"array(struct(greatest(0, left + {self.length} - length(context)) AS lo, left + 1 AS hi)) AS ranges"))
-        # a string that starts b before the anchor, lo <= b < hi, covers at - b to at - b + length
-        each = around.drop("context").join(again.unionByName(once), ["anchor", "digest"])
-        each = each.select("key", F.expr(f"transform(ranges, r -> struct(at - r.hi + 1 AS begin, at - r.lo + {self.length} AS end)) AS x"))
-        whole = likely.where((F.col("n") > 1) & (F.length("text") >= self.length)).select("key", F.expr("array(struct(0 AS begin, length(text) AS end)) AS x"))
-        marks = each.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("x")).alias("x"))
-        return likely.select("key", "text").join(marks, "key")
+        again = distinct.where("n > 1").select("anchor", "digest", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("ranges"))
+        each = around.join(again.unionByName(once), ["anchor", "digest"]).groupBy("key").agg(F.collect_list(F.struct("at", "left", "ranges")).alias("marks"))
+        whole = likely.where((F.col("n") > 1) & (F.length("text") >= self.length)).select("key", F.lit(True).alias("whole"))
+        return likely.select("key", "text").join(each, "key", "left").join(whole, "key", "left").where("marks IS NOT NULL OR whole")
+
+    def covered(self, raw: bytes, marks) -> list[tuple[int, int]]:
+        """What strings that start b before an anchor, lo <= b < hi, cover together."""
+        out = []
+        for m in marks:
+            at, left = m["at"], m["left"]
+            if m["ranges"] is not None:
+                out += [(at - r["hi"] + 1, at - r["lo"] + self.length) for r in m["ranges"]]
+            elif (lo := max(0, at + self.length - len(raw))) <= left:
+                out.append((at - left, at - lo + self.length))
+        return out
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """A row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
@@ -270,19 +284,19 @@ class RepeatedStrings:
         """
         text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
         key = F.unhex(F.md5(text))
-        texts = docs.select(key.alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
         def cut(batches):
             for batch in batches:
                 rows = []
-                for key, raw, marked in zip(batch.key, batch.text, batch.x):
-                    gone = spans([(m["begin"], m["end"]) for m in marked])
+                for key, raw, whole, marks in zip(batch.key, batch.text, batch.whole, batch.marks):
+                    gone = [(0, len(raw))] if whole is True else spans(self.covered(raw, marks))
                     ends = [0, *(e for _, e in gone)]
                     kept = b"".join(raw[a:b] for a, b in zip(ends, [*(b for b, _ in gone), len(raw)]))
                     rows.append((key, len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
                 yield pd.DataFrame(rows, columns=["key", "n_removed", "n_spans", "kept"])
 
-        done = self.removed(texts).mapInPandas(cut, "key binary, n_removed long, n_spans long, kept string")
+        marked = self.removed(docs.select(key.alias("key"), F.xxhash64(text).alias("short"), text.alias("text")))
+        done = marked.select("key", "text", "whole", "marks").mapInPandas(cut, "key binary, n_removed long, n_spans long, kept string")
         all_of_them = docs.select("doc_id", key.alias("key"), F.length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha256"))
         none = F.lit(0).cast("long")
         return all_of_them.join(done, "key", "left").select(

@@ -124,8 +124,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    f = features(measures(docs.select("text", "lang", "source", whole), "_doc", "lang", "source"))
-    t = broadcast_up_to(thresholds(features(measures(docs, "lang", "source"))), GROUP_ROWS)
+    # stored once, or the filter would be pushed below the measures and work them out again
+    f = materialize(features(measures(docs.select("text", "lang", "source", whole), "_doc", "lang", "source")), "quality-features")
+    t = broadcast_up_to(thresholds(f), GROUP_ROWS)
     d = f.alias("d").join(t.alias("t"), F.expr("d.lang <=> t.lang AND d.source <=> t.source"), "left")
     return d.where(verdict()).select("d._doc").select("_doc.*")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, minhash, mixing, packing, privacy, quality, suffixes, token_counts
+from . import embeddings, minhash, mixing, packing, privacy, quality, suffixes, token_counts, urls
 
 QUERIES = {
     "op1_pii": privacy.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_minhash": minhash.op6_minhash,
     "op7_quality": quality.op7_quality,
+    "op8_urls": urls.op8_urls,
     "op9_suffix_array": suffixes.op9_suffix_array,
     "op10_mixing": mixing.op10_mixing,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embeddings, minhash, mixing, packing, privacy, quality, suffixes, token_counts, urls
+from . import embeddings, minhash, mixing, packing, passages, privacy, quality, suffixes, token_counts, urls
 
 QUERIES = {
     "op1_pii": privacy.op1_pii,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_passages": passages.op3_passages,
     "op4_embeddings": embeddings.op4_embeddings,
     "op5_packing": packing.op5_packing,
     "op6_minhash": minhash.op6_minhash,

@@ -92,25 +92,29 @@ class NearDuplicates:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= self.percent * (len(x) + len(y) - both)
 
+    def plausible(self, regs: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """Which rows of regs may be linked with `one`: the estimate, corrected for chance matches,
+        lies less than six standard errors below the bound."""
+        bound = self.percent / 100
+        used = (one != 0) | (regs != 0)
+        count = np.maximum(used.sum(axis=-1), 1)
+        same = ((regs == one) & used).sum(axis=-1)
+        estimate = (same - CHANCE * count) / (count * (1 - CHANCE))
+        return estimate >= bound - 6 * np.sqrt(bound * (1 - bound) / count)
+
     def forest(self, sets: list[np.ndarray], part: np.ndarray) -> list[tuple[int, int]]:
         """Links that connect whatever any links would, between items of different parts if there are two.
 
-        Pairs whose estimate, corrected for chance matches, lies six standard errors below the bound
-        are not verified, nor are pairs that are connected already. Items that resemble many come first.
+        Pairs that aren't plausible are not verified, nor are pairs that are connected already.
+        Items that resemble many come first.
         """
         n = len(sets)
         regs = np.array([self.registers(s) for s in sets])
         sizes = np.array([len(s) for s in sets])
-        bound = self.percent / 100
         cross = len(np.unique(part)) > 1
         maybe = np.zeros((n, n), bool)
         for i in range(n):
-            used = (regs[i] != 0) | (regs != 0)
-            count = np.maximum(used.sum(1), 1)
-            same = ((regs == regs[i]) & used).sum(1)
-            estimate = (same - CHANCE * count) / (count * (1 - CHANCE))
-            maybe[i] = estimate >= bound - 6 * np.sqrt(bound * (1 - bound) / count)
-            maybe[i] &= (100 * np.minimum(sizes, sizes[i]) >= self.percent * np.maximum(sizes, sizes[i]))
+            maybe[i] = self.plausible(regs, regs[i]) & (100 * np.minimum(sizes, sizes[i]) >= self.percent * np.maximum(sizes, sizes[i]))
             if cross:
                 maybe[i] &= part != part[i]
         np.fill_diagonal(maybe, False)
@@ -123,7 +127,7 @@ class NearDuplicates:
         return edges
 
     def signatures(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_shingles, a 128-bit digest of the set in d1 and d2, and the bands' keys."""
+        """doc_id, n_shingles, a 128-bit digest of the set in d1 and d2, and its registers."""
 
         def sign(batches):
             import hashlib
@@ -132,15 +136,85 @@ class NearDuplicates:
                 rows = []
                 for doc_id, s in zip(batch.doc_id, self.shingle_sets(batch.text.fillna("").tolist())):
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    keys = self.band_keys(self.registers(s)) if len(s) else np.zeros(0, np.uint64)
-                    rows.append((doc_id, len(s), d[0], d[1], keys.view(np.int64)))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2", "bands"])
+                    rows.append((doc_id, len(s), d[0], d[1], self.registers(s).tobytes() if len(s) else b""))
+                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "d1", "d2", "registers"])
                 out["doc_id"] = out.doc_id.astype("Int64")
                 yield out
 
-        schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+        schema = "doc_id long, n_shingles long, d1 long, d2 long, registers binary"
         return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, schema)
 
+    def keys(self, unique: DataFrame) -> DataFrame:
+        """(node, key): a row for each band of (node, registers)."""
+
+        def band(batches):
+            for batch in batches:
+                each = [self.band_keys(np.frombuffer(r, np.uint16)) for r in batch.registers]
+                if each:
+                    yield pd.DataFrame({"node": np.repeat(batch.node.to_numpy(), [len(k) for k in each]), "key": np.concatenate(each).view(np.int64)})
+
+        return unique.select("node", "registers").mapInPandas(band, "node long, key long")
+
+    def plausible_stars(self, stars: DataFrame, registers: DataFrame) -> DataFrame:
+        """(hub, node, near) for distinct (hub, node): whether they may be linked."""
+
+        def judge(batches):
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.rx), np.uint16).reshape(-1, self.buckets)
+                y = np.frombuffer(b"".join(batch.ry), np.uint16).reshape(-1, self.buckets)
+                yield batch[["hub", "node"]].assign(near=self.plausible(x, y))
+
+        d = stars.join(registers.select("node", F.col("registers").alias("rx")), "node")
+        d = d.join(registers.select(F.col("node").alias("hub"), F.col("registers").alias("ry")), "hub")
+        return d.select("hub", "node", "rx", "ry").mapInPandas(judge, "hub long, node long, near boolean")
+
+    def crowds(self, rows: DataFrame, registers: DataFrame) -> DataFrame:
+        """Edges (a, b) that connect what plausible links would, among the nodes of each key of (key, node)."""
+        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        d = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        d = d.join(registers, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        small = F.struct(F.pmod("key", F.lit(tasks)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+        pair = F.struct("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        d = d.withColumn("task", F.when(F.col("parts") == 1, small).otherwise(pair))
+
+        def connect(batch: pd.DataFrame) -> pd.DataFrame:
+            edges = []
+            for _, group in batch.groupby("key", sort=True):
+                group = group.sort_values("node", kind="stable")
+                nodes, part = group.node.to_numpy(), group.part.to_numpy()
+                regs = np.frombuffer(b"".join(group.registers), np.uint16).reshape(-1, self.buckets)
+                cross = len(np.unique(part)) > 1
+                label = np.arange(len(nodes))
+                for i in range(len(nodes)):
+                    near = self.plausible(regs, regs[i]) & (label != label[i])
+                    if cross:
+                        near &= part != part[i]
+                    others = np.unique(label[near], return_index=True)[1]
+                    edges += [(nodes[i], nodes[j]) for j in np.flatnonzero(near)[others]]
+                    label[np.isin(label, label[near])] = label[i]
+            return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+        return d.select("task", "key", "node", "part", "registers").groupBy("task").applyInPandas(connect, "a long, b long")
+
+    def blobs(self, unique: DataFrame) -> DataFrame:
+        """(node, blob) for nodes that may have links: any two that do are in one blob.
+
+        Where a band's key is equal, each node is held against the smallest one. If all may be
+        linked with that, it connects them; else all nodes of the key are held against each other,
+        in parts. So texts that only share a passage don't grow together.
+        """
+        registers = unique.select("node", "registers")
+        keys = self.keys(unique)
+        hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+        members = materialize(keys.join(hubs, "key").select("key", "hub", "node"), "minhash-keys")
+        stars = members.where("node <> hub").select("hub", "node").distinct()
+        judged = materialize(self.plausible_stars(stars, registers), "minhash-stars")
+        mixed = members.join(judged.where("NOT near"), ["hub", "node"], "left_semi").select("key").distinct()
+        crowd = self.crowds(members.join(mixed, "key", "left_semi").select("key", "node"), registers)
+        edges = judged.where("near").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(crowd)
+        return connected_components(edges).select("node", F.col("component").alias("blob"))
+
     def tasks(self, members: DataFrame) -> DataFrame:
         """members (node, d1, d2, blob) with the part of its blob that each is in, and of how many."""
         sizes = members.groupBy("blob").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
@@ -192,20 +266,17 @@ class NearDuplicates:
         which has a null component and is kept. Rows that share an id share a component, and
         repeated rows are all kept or all not. An empty table gives no rows; columns other than
         doc_id and text are not read. Equal sets count as one; the others meet where a band's key
-        is equal, each with the smallest id there; what that connects is verified on full sets.
+        is equal, each what may be linked there by its registers is verified on full sets.
         """
         signed = materialize(self.signatures(docs), "minhash-signatures")
         usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        unique = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "minhash-unique")
-        keys = unique.select("node", F.explode("bands").alias("key"))
-        hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
-        stars = keys.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        blobs = materialize(connected_components(stars).select("node", F.col("component").alias("blob")), "minhash-blobs")
+        unique = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")), "minhash-unique")
+        blobs = materialize(self.blobs(unique), "minhash-blobs")
         members = materialize(self.tasks(unique.select("node", "d1", "d2").join(blobs, "node")), "minhash-members")
         sets = self.member_sets(docs, members)
         parts = connected_components(materialize(self.links(sets, members.count()), "minhash-links"))
         found = unique.select("d1", "d2", "node").join(parts, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("found"))
-        d = signed.drop("bands").join(found, ["d1", "d2"], "left")
+        d = signed.drop("registers").join(found, ["d1", "d2"], "left")
         alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
         component = F.when(alone, F.col("doc_id")).otherwise(F.col("found"))
         d = d.select("doc_id", "n_shingles", component.alias("component_id"))

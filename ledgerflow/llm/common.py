@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,9 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage."""
+    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage.
+
+    Shuffle files stay until the driver's garbage collector finds that nothing refers to them, on a
+    large heap for long; nothing reads them once df is written, so the collector is called here.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

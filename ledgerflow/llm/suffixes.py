@@ -182,26 +182,31 @@ class RepeatedStrings:
         return docs.select("short", "text").mapInPandas(find, "anchor long, short long, at int")
 
     def contexts(self, texts: DataFrame) -> DataFrame:
-        """anchor, key, at, left, digest: of the bytes around each anchor of (key, text, x of (at, anchor))."""
+        """anchor, row, at, digest: of the bytes around each anchor of (row, text, x of (at, anchor)).
+
+        64 bits of a digest, which only tell contexts of one anchor apart.
+        """
 
         def cut(batches):
             for batch in batches:
-                rows = []
-                for key, raw, found in zip(batch.key, batch.text, batch.x):
+                rows, digests = [], []
+                for row, raw, found in zip(batch["row"], batch.text, batch.x):
                     for f in found:
                         at = f["at"]
                         begin = max(0, at - self.margin)
-                        around = b"%d|" % (at - begin) + raw[begin : at + self.length]
-                        rows.append((f["anchor"], key, at, at - begin, hashlib.md5(around).digest()))
-                for k in range(0, len(rows), 20000):
-                    yield pd.DataFrame(rows[k : k + 20000], columns=["anchor", "key", "at", "left", "digest"])
+                        rows.append((f["anchor"], row, at))
+                        digests.append(hashlib.md5(b"%d|" % (at - begin) + raw[begin : at + self.length]).digest()[:8])
+                out = pd.DataFrame(rows, columns=["anchor", "row", "at"])
+                out["digest"] = np.frombuffer(b"".join(digests), np.int64)
+                for k in range(0, len(out), 50_000):
+                    yield out[k : k + 50_000]
 
-        return texts.select("key", "text", "x").mapInPandas(cut, "anchor long, key binary, at int, left int, digest binary")
+        return texts.select("row", "text", "x").mapInPandas(cut, "anchor long, row long, at int, digest long")
 
     def with_bytes(self, contexts: DataFrame, texts: DataFrame) -> DataFrame:
-        """contexts (key, at, left and more) with their bytes as context."""
-        d = contexts.join(texts.select("key", "text"), "key")
-        return d.withColumn("context", F.expr(f"substring(text, at - left + 1, left + {self.length})")).drop("text", "key", "at")
+        """contexts (row, at and more) with their bytes as context, and left: how many precede the anchor."""
+        d = contexts.join(texts.select("row", "text"), "row").withColumn("left", F.least("at", F.lit(self.margin)))
+        return d.withColumn("context", F.expr(f"substring(text, at - left + 1, left + {self.length})")).drop("text", "row", "at")
 
     def sort_contexts(self, distinct: DataFrame) -> DataFrame:
         """anchor, digest, lo, hi from distinct contexts that occur once, and partners that occur more."""
@@ -218,7 +223,7 @@ class RepeatedStrings:
                     out += [(anchor, digest, lo, hi) for lo, hi in spans([(lo, hi + 1) for lo, hi in ranges])]
             return pd.DataFrame(out, columns=["anchor", "digest", "lo", "hi"])
 
-        return distinct.groupBy("task").applyInPandas(sort, "anchor long, digest binary, lo int, hi int")
+        return distinct.groupBy("task").applyInPandas(sort, "anchor long, digest long, lo int, hi int")
 
     def hot_contexts(self, distinct: DataFrame) -> DataFrame:
         """The same for anchors with too many contexts: strings grouped by anchor, place and digest."""
@@ -241,11 +246,12 @@ class RepeatedStrings:
         often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
         by_text = found.join(often, "anchor").groupBy("short").agg(F.collect_set(F.struct("at", "anchor")).alias("x"))
         texts = docs.groupBy("short", "key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-        likely = materialize(texts.join(by_text, "short").drop("short"), "suffix-likely")
+        likely = texts.join(by_text, "short").drop("short").withColumn("row", F.monotonically_increasing_id())
+        likely = materialize(likely, "suffix-likely")
         discard(found)
 
         around = materialize(self.contexts(likely), "suffix-contexts")
-        distinct = around.groupBy("anchor", "digest").agg(F.first(F.struct("key", "at", "left")).alias("one"), F.count("*").alias("n"))
+        distinct = around.groupBy("anchor", "digest").agg(F.first(F.struct("row", "at")).alias("one"), F.count("*").alias("n"))
         distinct = materialize(distinct.select("anchor", "digest", "one.*", "n"), "suffix-distinct")
         sizes = distinct.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("fewest"))
         sizes = materialize(sizes.where("contexts > 1 AND fewest = 1"), "suffix-sizes")
@@ -257,18 +263,21 @@ class RepeatedStrings:
         if hot.limit(1).count():
             ranges = ranges.unionByName(self.hot_contexts(self.with_bytes(distinct.join(hot.select("anchor"), "anchor"), likely)))
         ranges = ranges.groupBy("anchor", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+        ranges = materialize(ranges, "suffix-ranges")
         once = distinct.where("n = 1").select("anchor", "digest").join(ranges, ["anchor", "digest"])
         # a context that occurs again is repeated wherever a whole string fits in it
         again = distinct.where("n > 1").select("anchor", "digest", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("ranges"))
-        each = around.join(again.unionByName(once), ["anchor", "digest"]).groupBy("key").agg(F.collect_list(F.struct("at", "left", "ranges")).alias("marks"))
-        whole = likely.where((F.col("n") > 1) & (F.length("text") >= self.length)).select("key", F.lit(True).alias("whole"))
-        return likely.select("key", "text").join(each, "key", "left").join(whole, "key", "left").where("marks IS NOT NULL OR whole")
+        each = around.join(again.unionByName(once), ["anchor", "digest"]).groupBy("row").agg(F.collect_list(F.struct("at", "ranges")).alias("marks"))
+        each = materialize(each, "suffix-marks")
+        whole = (F.col("n") > 1) & (F.length("text") >= self.length)
+        return likely.join(each, "row", "left").select("key", "text", whole.alias("whole"), "marks").where("marks IS NOT NULL OR whole")
 
     def covered(self, raw: bytes, marks) -> list[tuple[int, int]]:
         """What strings that start b before an anchor, lo <= b < hi, cover together."""
         out = []
         for m in marks:
-            at, left = m["at"], m["left"]
+            at = m["at"]
+            left = min(at, self.margin)
             if m["ranges"] is not None:
                 out += [(at - r["hi"] + 1, at - r["lo"] + self.length) for r in m["ranges"]]
             elif (lo := max(0, at + self.length - len(raw))) <= left:

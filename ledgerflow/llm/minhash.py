@@ -236,7 +236,8 @@ class NearDuplicates:
                         sets.append(s.tobytes())
                 yield batch.loc[keep, ["node", "blob", "part", "parts"]].assign(shingles=sets)
 
-        joined = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node")
+        # members grow with the documents, so this is a shuffle join at every size
+        joined = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.hint("merge"), "node")
         joined = joined.select("node", "blob", "part", "parts", "d1", "d2", "text")
         return joined.mapInPandas(make, "node long, blob long, part int, parts int, shingles binary")
 

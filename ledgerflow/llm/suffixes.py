@@ -23,7 +23,7 @@ from .common import _BYTE_VALUES, discard, materialize, mix64, prefix_hashes, ra
 #: Length of anchors: the longer, the fewer contexts; the shorter, the fewer anchors.
 GRAM = 64
 #: Distinct contexts of an anchor that one task sorts; beyond, strings are grouped by digest instead.
-GROUP = 2000
+GROUP = 20_000
 #: Contexts a task works on, in many anchors.
 TASK = 20_000
 

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import month_angle, month_start
 from ..functions.taxonomy import BASELINE_MONTHS, EXPENSE_CATEGORIES, LAGS
 
-_ORDER = W.partitionBy("user_id").orderBy("month")
-_SERIES = W.partitionBy("user_id", "category").orderBy("month")
+
+def _order():
+    return W.partitionBy("user_id").orderBy("month")
+
+
+def _series():
+    return W.partitionBy("user_id", "category").orderBy("month")
 
 
 def category_sums(txns: DataFrame) -> DataFrame:
@@ -37,8 +42,8 @@ def dense_months(panel: DataFrame) -> DataFrame:
 
 def fill_within(df: DataFrame, column: str) -> DataFrame:
     """The last value before, else the first after, within a user by month."""
-    before = F.last(column, ignorenulls=True).over(_ORDER.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(column, ignorenulls=True).over(_ORDER.rowsBetween(0, W.unboundedFollowing))
+    before = F.last(column, ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, 0))
+    after = F.first(column, ignorenulls=True).over(_order().rowsBetween(0, W.unboundedFollowing))
     return df.withColumn(column, F.coalesce(before, after))
 
 
@@ -56,7 +61,7 @@ def monthly_panel(txns: DataFrame) -> DataFrame:
 
 def user_profiles(panel: DataFrame) -> DataFrame:
     """log_income, savings_rate, volatility, trend, mean_expense and mean category shares by user."""
-    d = panel.withColumn("x", F.row_number().over(_ORDER) - 1)
+    d = panel.withColumn("x", F.row_number().over(_order()) - 1)
     tot = F.when(F.col("total_expense") != 0, F.col("total_expense"))
     mean = F.avg("total_expense")
     rate = F.when(F.avg("income") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - mean / F.avg("income")))).otherwise(0.0)
@@ -73,12 +78,12 @@ def long_panel(panel: DataFrame) -> DataFrame:
 
 def forecast_frame(panel: DataFrame, lags: int = LAGS) -> DataFrame:
     """A row a (user, month, category): lags, rolling mean and sample deviation of the three months before."""
-    past = _SERIES.rowsBetween(-3, -1)
+    past = _series().rowsBetween(-3, -1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return long_panel(panel).withColumnRenamed("income", "cur_income").withColumns({
-        **{f"lag_{n}": zero(F.lag("target", n).over(_SERIES)) for n in range(1, lags + 1)},
+        **{f"lag_{n}": zero(F.lag("target", n).over(_series())) for n in range(1, lags + 1)},
         "roll_mean_3": zero(F.avg("target").over(past)), "roll_std_3": zero(F.stddev_samp("target").over(past)),
-        "tot_lag_1": zero(F.lag("total_expense").over(_SERIES)), **month_angle(),
+        "tot_lag_1": zero(F.lag("total_expense").over(_series())), **month_angle(),
     }).drop("total_expense")
 
 
@@ -109,7 +114,7 @@ def baselines(panel: DataFrame, months: int = BASELINE_MONTHS) -> DataFrame:
 
 def exponential_smoothing(frame: DataFrame, alpha: float = 0.3) -> DataFrame:
     """Closed form of s = a x + (1 - a) s by (user, category); fewer than three points: their mean."""
-    forward = F.row_number().over(_SERIES)
+    forward = F.row_number().over(_series())
     size = F.count("*").over(W.partitionBy("user_id", "category"))
     d = frame.withColumns({"i": forward, "n": size})
     weight = F.when(F.col("i") == 1, F.pow(F.lit(1 - alpha), F.col("n") - 1)).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("n") - F.col("i")))

@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_USER = W.partitionBy("user_id").orderBy("timestamp", "transaction_id")
-_PAST = _USER.rowsBetween(W.unboundedPreceding, -1)
+
+def _user():
+    return W.partitionBy("user_id").orderBy("timestamp", "transaction_id")
+
+
+def _past():
+    return _user().rowsBetween(W.unboundedPreceding, -1)
 
 
 def running(txns: DataFrame) -> DataFrame:
     """Spend, count, mean and sample deviation before the row; gaps to the row before; balance with it."""
     amount = F.col("amount").cast("double")
-    gap = (F.unix_seconds("timestamp") - F.lag(F.unix_seconds("timestamp")).over(_USER)).cast("double")
+    gap = (F.unix_seconds("timestamp") - F.lag(F.unix_seconds("timestamp")).over(_user())).cast("double")
     signed = F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
     return txns.withColumns({
-        "cumulative_spend": F.coalesce(F.sum("amount").over(_PAST).cast("double"), F.lit(0.0)),
-        "rolling_tx_count": F.row_number().over(_USER) - 1,
-        "user_mean_amount": F.coalesce(F.avg(amount).over(_PAST), F.lit(0.0)),
-        "user_std_amount": F.coalesce(F.stddev_samp(amount).over(_PAST), F.lit(0.0)),
+        "cumulative_spend": F.coalesce(F.sum("amount").over(_past()).cast("double"), F.lit(0.0)),
+        "rolling_tx_count": F.row_number().over(_user()) - 1,
+        "user_mean_amount": F.coalesce(F.avg(amount).over(_past()), F.lit(0.0)),
+        "user_std_amount": F.coalesce(F.stddev_samp(amount).over(_past()), F.lit(0.0)),
         "days_since_previous": F.coalesce(gap / 86400, F.lit(0.0)), "time_gap_hours": F.coalesce(gap / 3600, F.lit(0.0)),
-        "running_balance_proxy": F.sum(signed).over(_USER.rowsBetween(W.unboundedPreceding, 0)).cast("double"),
+        "running_balance_proxy": F.sum(signed).over(_user().rowsBetween(W.unboundedPreceding, 0)).cast("double"),
     })
 
 

@@ -1,0 +1,215 @@
+"""Operators against plain versions, and their behaviour on awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from ledgerflow.llm import embeddings, minhash, mixing, packing, passages, privacy, quality, suffixes, token_counts, urls
+from ledgerflow.llm.tokens import VOCABULARY, Encoder
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string"
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randint(0, 40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and a column with a clashing name."""
+    rng = random.Random(5)
+    base = sentence(rng, 120)
+    rows = [(1, base), (2, base), (2, base), (3, base.replace("alpha", "beta", 1)), (4, None), (5, ""), (None, base), (6, sentence(rng, 6000)), (7, "one two"), (8, sentence(rng, 80) + " " + base[:400]), (9, "mail bob@site.org or 10.1.2.3 " + sentence(rng, 60))]
+    return spark.createDataFrame([(i, t, "en" if i != 7 else None, "s" if i != 8 else None, None, "x") for i, t in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("f", [privacy.replace_private, packing.pack_documents, minhash.NearDuplicates().classes, quality.quality_rules, suffixes.RepeatedStrings().clean, mixing.mix_counts, passages.NearPassages().classes, quality.keep_good, mixing.mix_documents, minhash.keep_one])
+def test_awkward_and_empty(spark, awkward, f):
+    f(awkward).collect()
+    assert f(awkward.limit(0)).collect() == []
+
+
+def test_tokens_equal_the_tokenizer():
+    t = Tokenizer.from_file(str(public_tokenizers.path(VOCABULARY)))
+    t.encode_special_tokens = True
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("  ''\n\t abstmdrelvéL日1½_-#$​") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    e = Encoder.of()
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in e.encode(texts)] == want
+    assert list(e.count(texts)) == [len(x) for x in want]
+
+
+def test_packing(spark, awkward):
+    t = Tokenizer.from_file(str(public_tokenizers.path(VOCABULARY)))
+    rows = packing.pack_documents(awkward).collect()
+    by_sequence: dict = {}
+    for r in rows:
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    ids = [*t.encode(awkward.where("doc_id = 6").first().text, add_special_tokens=False).ids, 2]
+    own = sorted((r for r in rows if r.doc_id == 6), key=lambda r: r.piece)
+    assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]] and all(r.length == 1024 for r in own[1:])
+    assert [r.ids_crc32 for r in own] == [zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own]
+
+
+def test_lower_bound_is_one():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = np.sort(rng.integers(1, 1024, 60))[::-1]
+        assert packing.lower_bound(lengths, 1024) <= packing.best_fit_decreasing(lengths, 1024)[0].max() + 1
+    assert packing.lower_bound(np.array([600] * 7), 1024) == 7
+    assert packing.lower_bound(np.array([400] * 7), 1024) == 4
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(2)
+    texts = []
+    for _ in range(25):
+        words = sentence(rng, rng.randint(1, 90)).split()
+        for _ in range(4):
+            w = list(words)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "changed%d" % rng.randint(0, 9)
+            texts.append(" ".join(w))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append(frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)]))
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = minhash.NearDuplicates().classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("group", [2, 20_000])
+def test_repeated_strings_equal_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng = random.Random(4)
+    shared = [sentence(rng, 40) for _ in range(3)]
+    texts = [sentence(rng, rng.randint(0, 30)) + rng.choice(shared)[rng.randint(0, 60) :] + sentence(rng, rng.randint(0, 30)) for _ in range(40)] + ["", "ab" * 400]
+    raw = [t.encode() for t in texts]
+    seen: dict = {}
+    for b in raw:
+        for k in range(len(b) - 199):
+            seen[b[k : k + 200]] = seen.get(b[k : k + 200], 0) + 1
+    want = {}
+    for i, b in enumerate(raw):
+        marked = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                marked[k : k + 200] = b"\x01" * 200
+        want[i] = (len(b), sum(marked), len(re.findall(b"\x01+", marked)), hashlib.sha256(bytes(c for c, m in zip(b, marked) if not m)).hexdigest())
+    got = suffixes.RepeatedStrings().clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_compact_windows_equal_brute_force():
+    rng = np.random.default_rng(0)
+    v = np.concatenate([[0], rng.integers(1, 50, 200) << 30, [0], rng.integers(1, 50, 30) << 30, [0]]).astype(np.uint64)
+    want = set()
+    for i in np.flatnonzero(v):
+        a = b = int(i)
+        while v[a - 1] > v[i]:
+            a -= 1
+        while v[b + 1] >= v[i]:
+            b += 1
+        if b - a + 1 >= 8:
+            want.add((a, int(i), b))
+    assert set(zip(*(x.tolist() for x in passages.compact_windows(v, 8)))) == want
+
+
+def test_passages_are_found(spark):
+    rng = random.Random(8)
+    shared = sentence(rng, 60)
+    texts = [sentence(rng, 100) + " " + shared + " " + sentence(rng, 50) for _ in range(6)] + [sentence(rng, 200) for _ in range(6)]
+    rows = passages.NearPassages().classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(6)) and {r.class_id for r in rows} == {0}
+
+
+def test_cosine_links(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((10, 64))
+    x = (centres[rng.integers(0, 10, 120)] + 0.1 * rng.standard_normal((120, 64))).astype(np.float32)
+    label = [int(k) for k in rng.integers(0, 2, 120)]
+    rows = [(i, [float(v) for v in x[i]], label[i]) for i in range(120)] + [(200, None, 1), (201, [0.0] * 64, 1), (202, [float("nan")] * 64, 1), (203, [float(v) for v in x[0]], None), (204, [], 1)]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(120, dtype=bool)
+    got = {r.vec_id: r for r in embeddings.CosineLinks().classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert [got[i].n_links for i in range(120)] == near.sum(1).tolist()
+    assert all(got[i].n_links == 0 and got[i].kept for i in (200, 201, 202, 203, 204))
+    assert all(got[i].component_id <= i for i in range(120)) and all(got[i].component_id == got[j].component_id for i, j in zip(*np.nonzero(near)))
+
+
+def test_surrogates(spark):
+    text = "Mr. John Smith, +1 (415) 555-0100 or +1 415-555-0100; card 4111 1111 1111 1111 / 4111111111111111, iban GB82WEST12345698765432, Bob@Mail.org bob@mail.org, 9807915762804490"
+    out = privacy.replace_private(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    new = out[0].text
+    assert len(new) == len(text) and out[1].text is None and "9807915762804490" in new
+    for private in ("John", "Smith", "555-0100", "4111", "WEST", "Bob@", "bob@"):
+        assert private not in new
+    phones = re.findall(r"\+1 \(?(\d{3})\)?[ -](\d{3}-\d{4})", new)
+    assert len(phones) == 2 and phones[0] == phones[1]
+    cards = [re.sub(r"\D", "", c) for c in re.findall(r"(?:\d{4} ){3}\d{4}|\d{16}", new)][:2]
+    digits = [int(c) for c in cards[0]][::-1]
+    assert cards[0] == cards[1] and sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_surrogates_never_collide(spark):
+    values = spark.createDataFrame([("ip", f"{a}.{b}.1.2") for a in range(1, 10) for b in range(1, 10)], "type string, canonical string")
+    rows = privacy.surrogates(values, "k").collect()
+    made = {r.replacement for r in rows}
+    assert len(rows) == len(made) == 81 and not made & {r.canonical for r in rows}
+
+
+def test_ledger_is_idempotent(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    change = lambda sign, n: spark.createDataFrame([(sign, "s", "en", "v", n, 10)], "sign int, source string, lang string, tokenizer string, n_tokens long, n_characters long")
+    assert ledger.totals().collect() == []
+    assert ledger.commit("a", change(1, 7)) and not ledger.commit("a", change(1, 7))
+    assert ledger.commit("b", change(-1, 7).unionByName(change(1, 5)))
+    assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "v", 1, 5, 10)]
+
+
+def test_water_filling(spark):
+    d = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 10)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.water_fill(d).collect()}
+    assert got["a"] == 200.0 and got[None] == 20.0 and abs(sum(got.values()) - 1.5 * 2110) < 1e-6 and abs(got["b"] - 2 * got["c"]) < 1e-6
+
+
+def test_mix_comes_near_its_target(spark, awkward):
+    rows = mixing.mix_counts(awkward).collect()
+    assert all(r.taken <= 2 * r["size"] for r in rows) and mixing.mix_documents(awkward).columns == awkward.columns
+
+
+def test_viterbi_and_rules(spark):
+    counts = {"red": 50, "apple": 40, "s": 1}
+    assert urls.viterbi("redapple", counts, 100) == ["red", "apple"]
+    pages = spark.createDataFrame([(1, "http://A.example.ORG/es/x?q", None), (2, "https://shop.com/de", "<title>x</title>"), (3, "https://shop.com/de/1#t", ""), (4, None, None), (5, "no scheme", None)], "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.HostModel().judge(pages).collect()}
+    assert got[1] == ("a.example.org", "/es/x", "example.org/es/", "block")
+    assert got[2][:3] == ("shop.com", "/de", None) and got[3][2:] == ("com/de/", "block") and got[4][:3] == ("", "", None) and got[5][:3] == ("", "", None)

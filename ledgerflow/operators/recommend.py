@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rnd
 from ..functions.taxonomy import DISCRETIONARY, EXPENSE_CATEGORIES, FLEX_STD, LABELS, OVERSPEND_Z, TOP_K
 from .canonical import mapped
 
@@ -87,7 +88,7 @@ def bundle(inputs: DataFrame, norms: DataFrame, goal: float = 0.25) -> DataFrame
     """A row a user: summary, forecast map and ranked recommendations, nested."""
     recs = recommendations(inputs, norms, goal).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "kind", "category", "impact", "confidence", "priority"))).alias("recommendations"))
     d = inputs.groupBy("user_id").agg(F.max("income").alias("income"), F.sum("forecast").alias("projected"), F.max("n_months").alias("n_months"), F.map_from_entries(F.collect_list(F.struct("category", F.round("forecast", 2)))).alias("forecast"))
-    summary = F.struct(F.round("income", 2).alias("avg_income"), F.round("projected", 2).alias("projected_expense"), F.round(F.when(F.col("income") > 0, 1 - F.col("projected") / F.col("income")).otherwise(0.0), 4).alias("projected_savings_rate"), F.col("n_months").alias("history_months"))
+    summary = F.struct(rnd(F.col("income"), 2).alias("avg_income"), rnd(F.col("projected"), 2).alias("projected_expense"), F.round(F.when(F.col("income") > 0, 1 - F.col("projected") / F.col("income")).otherwise(0.0), 4).alias("projected_savings_rate"), F.col("n_months").alias("history_months"))
     return d.select("user_id", summary.alias("summary"), "forecast").join(recs, "user_id", "left")
 
 

@@ -151,6 +151,21 @@ def test_passages_are_found(spark):
     assert sorted(r.doc_id for r in rows) == list(range(6)) and {r.class_id for r in rows} == {0}
 
 
+@pytest.mark.parametrize("part", [4, 1024])
+def test_passages_are_found_beside_texts_that_quote_them(spark, monkeypatch, part):
+    monkeypatch.setattr(passages, "PART", part)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(30):
+        shared = sentence(rng, 60).split()
+        texts += [" ".join(shared), sentence(rng, 40) + " " + " ".join(shared)]
+        for k in range(0, 25, 4):
+            texts.append(sentence(rng, 30) + " " + " ".join(shared[k : k + 36]) + " " + sentence(rng, 30))
+    rows = passages.NearPassages().classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {i: i - i % 9 for i in range(len(texts)) if i % 9 < 2}
+    assert {r.doc_id: r.class_id for r in rows} == want
+
+
 def test_cosine_links(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((10, 64))

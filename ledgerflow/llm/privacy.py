@@ -18,11 +18,11 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Se
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Patterns of the entity types, in the order in which they are tried.
 PATTERNS = {
-    "secret": r"\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+\-]{8,200}",
-    "access_key": r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?i:(?:[a-z0-9]{1,30}+[_\-]){0,6}(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.~=\-]{7,}[A-Za-z0-9_/+=\-]",
+    "access_key": r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{19,}[A-Za-z0-9])(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w.\-])\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -33,7 +33,7 @@ PATTERNS = {
 #: One pattern for all; the card's back reference is the only group.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap look that no text with an entity fails.
-QUICK = "[0-9@]|" + "|".join(x for x in (*MALE, *FEMALE)) + "|password|passwd|pwd|secret|token|api.?key|gh[pousr]_|sk-"
+QUICK = "[0-9@]|" + "|".join(x for x in (*MALE, *FEMALE)) + "|(?i:password|passwd|pwd|secret|token|api.?key)|gh[pousr]_|sk-|AKIA|ASIA|[A-Fa-f]:[A-Fa-f:]|::"
 
 LATIN = ("b d f g k l m n p r s t v".split(), "a e i o u".split())
 CYRILLIC = ("б в г д к л м н п р с т".split(), "а е и о у".split())
@@ -129,6 +129,8 @@ def surrogate(key: str) -> Column:
     body = f"concat(substring(canonical, 1, 1), {_masked('substring(canonical, 2, length(canonical) - 2)', seed)})"
     stem = "regexp_extract(substring_index(canonical, '@', -1), '^(.*)(\\\\.[^.]+)$', 1)"
     top = "regexp_extract(substring_index(canonical, '@', -1), '(\\\\.[^.]+)$', 1)"
+    lead = "regexp_extract(canonical, '^[A-Za-z0-9_-]+?[ \\\\t\\\\r\\\\n]*[=:][ \\\\t\\\\r\\\\n]*[\"\\']?', 0)"
+    token = f"substring(canonical, length({lead}) + 1)"
     account = _masked("substring(canonical, 5)", seed)
     return F.expr(f"""CASE type
       WHEN 'email' THEN concat({_masked("substring_index(canonical, '@', 1)", seed)}, '@', {_masked(stem, domain)}, {top})
@@ -139,7 +141,7 @@ def surrogate(key: str) -> Column:
       WHEN 'phone' THEN concat(regexp_extract(canonical, '^([+][0-9]+ )?', 0), {_masked("regexp_extract(canonical, '[0-9]+$', 0)", seed)})
       WHEN 'name' THEN concat(substring(canonical, 1, 2), {_named("substring(canonical, 3)", seed, "canonical LIKE 'f %'")})
       WHEN 'access_key' THEN concat(regexp_extract(canonical, '^(AKIA|ASIA|gh._|sk-)', 0), {_masked("regexp_replace(canonical, '^(AKIA|ASIA|gh._|sk-)', '')", seed)})
-      WHEN 'secret' THEN concat(regexp_extract(canonical, '^.*[=:][ ]*[\\"\\']?', 0), CASE WHEN canonical rlike '[0-9a-f]{{16,}}$' THEN {_hexed("regexp_extract(canonical, '[A-Za-z0-9_/+-]+$', 0)", seed)} ELSE {_masked("regexp_extract(canonical, '[A-Za-z0-9_/+-]+$', 0)", seed)} END)
+      WHEN 'secret' THEN concat({lead}, CASE WHEN {token} rlike '^[0-9a-f]{{16,}}$' THEN {_hexed(token, seed)} ELSE {_masked(token, seed)} END)
       ELSE {_masked("canonical", seed)} END""")
 
 

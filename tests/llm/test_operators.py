@@ -148,22 +148,104 @@ def test_passages_are_found(spark):
     shared = sentence(rng, 60)
     texts = [sentence(rng, 100) + " " + shared + " " + sentence(rng, 50) for _ in range(6)] + [sentence(rng, 200) for _ in range(6)]
     rows = passages.NearPassages().classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert sorted(r.doc_id for r in rows) == list(range(6)) and {r.class_id for r in rows} == {0}
+    assert {r.doc_id: r.component_id for r in rows} == {i: 0 if i < 6 else i for i in range(12)}
+    assert all(r.n_passages == (r.doc_id < 6) for r in rows)
+    assert all((r.passages[0]["first"], r.passages[0]["last"]) == (100, 159) for r in rows if r.doc_id < 6)
 
 
 @pytest.mark.parametrize("part", [4, 1024])
 def test_passages_are_found_beside_texts_that_quote_them(spark, monkeypatch, part):
     monkeypatch.setattr(passages, "PART", part)
     rng = random.Random(3)
-    texts = []
-    for _ in range(30):
+    texts, near = [], random.Random(4)
+    for k in range(30):
         shared = sentence(rng, 60).split()
-        texts += [" ".join(shared), sentence(rng, 40) + " " + " ".join(shared)]
-        for k in range(0, 25, 4):
-            texts.append(sentence(rng, 30) + " " + " ".join(shared[k : k + 36]) + " " + sentence(rng, 30))
+        other = list(shared)
+        if k % 2:  # one word of the passage is another; no 50 words stand word for word
+            other[near.randrange(20, 40)] = "other"
+        texts += [" ".join(shared), sentence(rng, 40) + " " + " ".join(other)]
+        for j in range(0, 25, 4):
+            texts.append(sentence(rng, 30) + " " + " ".join(shared[j : j + 36]) + " " + sentence(rng, 30))
     rows = passages.NearPassages().classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    want = {i: i - i % 9 for i in range(len(texts)) if i % 9 < 2}
-    assert {r.doc_id: r.class_id for r in rows} == want
+    want = {i: i - i % 9 if i % 9 < 2 else i for i in range(len(texts))}
+    got = {r.doc_id: r.component_id for r in rows}
+    assert all(got[i] == i for i in got if i % 9 > 1)  # texts that quote 36 words stay apart
+    assert sum(got[i] == want[i] for i in range(1, len(texts), 9)) >= 29
+    assert all(got[i] == want[i] for i in range(1, len(texts), 18))
+
+
+def test_passages_equal_brute_force(spark):
+    """Word for word passages are all found, in one text too; near ones nearly all; nothing else is linked."""
+    rng = random.Random(12)
+    pool, texts = [sentence(rng, 80).split() for _ in range(8)], []
+    for _ in range(90):
+        own: list = []
+        for _ in range(rng.randint(1, 3)):
+            base = rng.choice(pool)
+            n = rng.randint(20, 80)
+            k = rng.randint(0, 80 - n)
+            cut = base[k : k + n]
+            if rng.random() < 0.4:
+                cut[rng.randrange(n)] = "x%d" % rng.randint(0, 9)
+            own += sentence(rng, rng.randint(3, 30)).split() + cut
+        texts.append(own)
+    n = 50
+
+    def similar(x, y):
+        return 100 * len(x & y) >= 80 * len(x | y)
+
+    sets = [[frozenset(zip(*(w[s + k : s + n - 4 + k] for k in range(5)))) for s in range(len(w) - n + 1)] for w in texts]
+    grams = [["\x00".join(w[s : s + n]) for s in range(len(w) - n + 1)] for w in texts]
+    seen: dict = {}
+    for g in grams:
+        for x in g:
+            seen[x] = seen.get(x, 0) + 1
+    covered = []
+    for w, g in zip(texts, grams):
+        at = [s for s, x in enumerate(g) if seen[x] > 1]
+        covered.append({(s, s + n - 1) for s in at})
+
+    def components(linked):
+        parent = list(range(len(texts)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i in range(len(texts)):
+            for j in range(i):
+                if linked(i, j):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+        return [find(i) for i in range(len(texts))]
+
+    index = [set(g) for g in grams]
+    exact = components(lambda i, j: bool(index[i] & index[j]))
+    # equal lengths only, so that this is a subset of what is near
+    near = components(lambda i, j: bool(index[i] & index[j]) or any(similar(a, b) for a in sets[i] for b in sets[j] if len(a & b) >= 37))
+    rows = {r.doc_id: r for r in passages.NearPassages().classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    got = [rows[i].component_id for i in range(len(texts))]
+    for i in range(len(texts)):
+        spans = [(p["first"], p["last"]) for p in rows[i].passages if p["similarity"] == 1.0]
+        assert {(s, s + n - 1) for a, b in spans for s in range(a, b - n + 2)} >= covered[i]
+        assert got[i] == got[exact[i]]  # whatever is equal word for word is together
+    pairs = [(i, near[i]) for i in range(len(texts)) if near[i] != exact[i]]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
+    size = lambda c: len(set(c))
+    assert size(near) - 2 <= size(got) <= size(near) + 2
+
+
+def test_passages_within_a_text_and_odd_rows(spark):
+    rng = random.Random(6)
+    twice = sentence(rng, 55)
+    text = " ".join([sentence(rng, 10), twice, sentence(rng, 10), twice, sentence(rng, 10)])
+    data = [(1, text), (2, None), (3, ""), (4, sentence(rng, 70)), (None, text), (5, "w " * 120), (6, sentence(rng, 60) + " x"), (6, sentence(rng, 60))]
+    rows = passages.NearPassages().classes(spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, node string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 8 and [(p["first"], p["last"]) for p in got[1].passages] == [(10, 64), (75, 129)]
+    assert got[None].component_id is None and [got[i].n_passages for i in (2, 3, 4)] == [0, 0, 0] and [got[i].component_id for i in (2, 3, 4)] == [2, 3, 4]
+    assert [(p["first"], p["last"]) for p in got[5].passages] == [(0, 119)]
 
 
 def test_cosine_links(spark):

@@ -3,7 +3,8 @@
 Each detected entity gets a replacement of its own type and format: digits for digits, letters for
 letters in the same case and script, check digits that hold, names of the same gender. The same
 entity gets the same replacement everywhere, in whatever format it is written; different ones never
-share one, which rounds of collision checks make sure of.
+share one, which rounds of collision checks make sure of. Names are replaced word by word, so that
+a full name, a family name alone and a name without its title stay one person.
 """
 
 from __future__ import annotations
@@ -13,31 +14,52 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "Господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "Госпожа")
+MALE = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Signor", "Signore", "Senhor", "Господин", "Κύριος", "Κύριε", "Κύριο")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Señorita", "Doña", "Signora", "Senhora", "Госпожа", "Κυρία")
+NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "Mx", "Доктор", "Δρ")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: A word of a name, and the small words that may stand between two of them.
+WORD = r"\p{Lu}(?:[\p{Ll}\p{M}]+|(?=['’]))(?:['’\-]\p{Lu}?[\p{Ll}\p{M}]+)*"
+SMALL = "(?:(?:van|von|de|da|di|del|der|den|dos|la|le|bin|ibn) )*"
+TITLE = rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
+KEY_LEAD = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
+#: The label of a secret, with what separates it from the value.
+LABEL = r"(?i:(?:[a-z0-9]++[_\-])*(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,2}[=:]\s{0,2}[\"']?"
+#: Country calling codes: one digit, two digits, else three (fixed values, ITU-T E.164).
+CALLING = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Patterns of the entity types, in the order in which they are tried.
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])(?i:(?:[a-z0-9]{1,30}+[_\-]){0,6}(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.~=\-]{7,}[A-Za-z0-9_/+=\-]",
+    "secret": rf"(?<![A-Za-z0-9]){LABEL}[A-Za-z0-9_/+.~=\-]{{7,}}[A-Za-z0-9_/+=\-]",
     "access_key": r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{19,}[A-Za-z0-9])(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "ipv6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w.\-])\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4}(?![\w\-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w.\-])\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4}(?![\w\-])|(?<![\w.+\-])\(?0[1-9]\d{1,3}\)?[ /\-]\d{3,4}[ \-]?\d{4,5}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w|[.\-]\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"\b(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    "name": rf"{TITLE}(?:\p{{Lu}}\.? )*{SMALL}{WORD}(?: {SMALL}{WORD})*",
 }
 #: One pattern for all; the card's back reference is the only group.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap look that no text with an entity fails.
-QUICK = "[0-9@]|" + "|".join(x for x in (*MALE, *FEMALE)) + "|(?i:password|passwd|pwd|secret|token|api.?key)|gh[pousr]_|sk-|AKIA|ASIA|[A-Fa-f]:[A-Fa-f:]|::"
-
-LATIN = ("b d f g k l m n p r s t v".split(), "a e i o u".split())
-CYRILLIC = ("б в г д к л м н п р с т".split(), "а е и о у".split())
-ROUNDS = 24
+QUICK = "[0-9@]|(?:" + "|".join((*MALE, *FEMALE, *NEUTRAL)) + ")\\.? |(?i:password|passwd|pwd|secret|token|api.?key)|gh[pousr]_|sk-|AKIA|ASIA|[A-Fa-f]:[A-Fa-f:]|::"
+#: Stands on both sides of an entity while a text is taken apart; no character has this number.
+MARK = "\ufdd0"
+#: Stands, with a digit, for a mark or itself in a text that has one.
+ESCAPE = "\ufdd2"
+#: Begins a word of a name with its role: gf, gm, gn (given, by gender) or s (family name).
+ROLE = "\ufdd1"
+
+#: Consonants, vowels and accented vowels of the scripts that names are made in.
+SCRIPTS = {
+    "": ("b d f g k l m n p r s t v".split(), "a e i o u".split(), "á é í ó ú".split()),
+    "IsCyrillic": ("б в г д к л м н п р с т".split(), "а е и о у".split(), "а е и о у".split()),
+    "IsGreek": ("β γ δ κ λ μ ν π ρ τ φ χ".split(), "α ε η ι ο υ".split(), "ά έ ή ί ό ύ".split()),
+}
+#: Rounds in which a replacement keeps its form exactly; later ones have room for more.
+EXACT = 8
 
 
 def _text(value: str) -> str:
@@ -64,37 +86,81 @@ def mod97(iban: str) -> str:
     return f"aggregate(split({moved}, ''), 0, (a, c) -> CASE WHEN c rlike '[0-9]' THEN (a * 10 + int(c)) % 97 ELSE (a * 100 + ascii(c) - 55) % 97 END)"
 
 
-def entities(text: Column) -> Column:
-    """What ANY finds in text, in order, as surfaces."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+def escaped(text: Column) -> Column:
+    """text without MARK, should it have one."""
+    has = (F.instr(text, MARK) > 0) | (F.instr(text, ESCAPE) > 0)
+    return F.when(has, F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "0")), F.lit(MARK), F.lit(ESCAPE + "1"))).otherwise(text)
+
+
+def unescaped(text: Column) -> Column:
+    return F.when(F.instr(text, ESCAPE) > 0, F.replace(F.replace(text, F.lit(ESCAPE + "1"), F.lit(MARK)), F.lit(ESCAPE + "0"), F.lit(ESCAPE))).otherwise(text)
+
+
+def apart(text: Column) -> Column:
+    """The text's pieces: what stands between entities at even places, the entities at odd ones."""
+    cut = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.when(text.rlike(QUICK), cut).otherwise(F.array(text))
+
+
+def with_names(parts: Column) -> Column:
+    """parts with each word of a name apart, after its role; also where the name stands without a title.
+
+    A text's names are those after a title. A word of one that is the last is a family name, the
+    others are given names of the title's gender.
+    """
+    gender = lambda t: F.when(t.rlike(rf"^(?:{'|'.join(MALE)})[. ]"), "gm").when(t.rlike(rf"^(?:{'|'.join(FEMALE)})[. ]"), "gf").otherwise("gn")
+    titled = F.filter(parts, lambda t, i: (i % 2 == 1) & t.rlike(f"^{TITLE}"))
+    words = lambda t: F.regexp_extract_all(F.regexp_replace(t, f"^{TITLE}", ""), F.lit(f"({WORD})"), F.lit(1))
+    one = lambda t: F.transform(words(t), lambda w, i: F.struct(w.alias("word"), F.when(i == F.size(words(t)) - 1, "s").otherwise(gender(t)).alias("role")))
+    entries = F.sort_array(F.array_distinct(F.flatten(F.transform(titled, one))))
+    known = F.array_distinct(F.transform(entries, lambda e: e["word"]))
+    # longest first, as one may begin another
+    longest = F.transform(F.array_sort(F.transform(known, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+
+    def role(word: Column) -> Column:
+        return F.coalesce(F.get(F.filter(entries, lambda e: e["word"] == word), F.lit(0))["role"], F.lit("s"))
+
+    def cut(part: Column, i: Column) -> Column:
+        pieces = F.split(F.regexp_replace(part, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+        told = F.transform(pieces, lambda w, k: F.when(k % 2 == 1, F.concat(F.lit(ROLE), role(w), F.lit(" "), w)).otherwise(w))
+        # a titled name is at an entity's place, and begins and ends with what is none: with empty entities around, places stay even and odd
+        empty = F.array(F.lit(""))
+        return F.when(i % 2 == 0, told).when(part.rlike(f"^{TITLE}"), F.concat(empty, told, empty)).otherwise(F.array(part))
+
+    return F.when(F.size(known) > 0, F.flatten(F.transform(parts, cut))).otherwise(parts)
 
 
 def described(df: DataFrame) -> DataFrame:
     """df with surface: adds type, lead (kept as it is), value (replaced) and canonical; no entity: null type."""
-    d = df.withColumn("type", kind(F.col("surface")))
+    word = F.col("surface").startswith(ROLE)
+    d = df.withColumn("type", F.when(word, "name").otherwise(kind(F.col("surface"))))
     lead = {
-        "secret": F.regexp_extract("surface", r"^\w[\w\-]*?\s{0,2}[=:]\s{0,2}[\"']?", 0),
-        "access_key": F.regexp_extract("surface", r"^(?:AKIA|ASIA|gh._|sk-)", 0),
-        "phone": F.regexp_extract("surface", r"^\+\d{1,3}(?=\D)", 0),
+        "secret": F.regexp_extract("surface", f"^{LABEL}", 0),
+        "access_key": F.lit(""),
+        "phone": F.regexp_extract("surface", f"^{CALLING}", 0),
         "iban": F.substring("surface", 1, 2),
-        "name": F.regexp_extract("surface", r"^\p{L}+\.? ", 0),
+        "name": F.regexp_extract("surface", "^[^ ]* ", 0),
     }
     d = d.withColumn("lead", F.coalesce(*[F.when(F.col("type") == k, x) for k, x in lead.items()], F.lit("")))
     d = d.withColumn("value", F.expr("substring(surface, length(lead) + 1)"))
+    # a key is the same one with a label and without
+    d = d.withColumn("type", F.when((F.col("type") == "secret") & F.col("value").rlike(f"^(?:{PATTERNS['access_key']})$"), "access_key").otherwise(F.col("type")))
     digits = F.regexp_replace("value", r"\D", "")
-    title = F.regexp_replace("lead", r"[. ]", "")
     d = d.withColumn(
         "canonical",
-        F.when(F.col("type") == "phone", F.concat_ws(" ", F.when(F.col("lead") != "", F.col("lead")), digits))
+        F.when(F.col("type") == "phone", F.regexp_replace(digits, "^0+", ""))
         .when(F.col("type").isin("card", "ssn"), digits)
         .when(F.col("type") == "iban", F.concat("lead", F.regexp_replace("value", " ", "")))
-        .when(F.col("type") == "name", F.concat(F.when(title.isin(*FEMALE), "f ").otherwise("m "), F.col("value")))
+        .when(F.col("type") == "name", F.concat(F.expr("substring(lead, 2)"), F.lower("value")))
         .when(F.col("type").isin("email", "mac", "ipv6"), F.lower("value"))
-        .otherwise(F.concat("lead", "value")),
+        .otherwise(F.col("value")),
     )
     card = F.when(F.col("canonical").rlike("^[0-9]+$"), F.expr(luhn("canonical"))) == 0
     iban = F.when(F.col("canonical").rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), F.expr(mod97("canonical"))) == 1
-    real = F.when(F.col("type") == "card", card).when(F.col("type") == "iban", iban).otherwise(True)
+    phone = F.length("canonical") > 4
+    real = F.when(F.col("type") == "card", card).when(F.col("type") == "iban", iban).when(F.col("type") == "phone", phone)
+    real = real.when(F.col("type") == "name", word).otherwise(True)
     return d.withColumn("type", F.when(F.coalesce(real, F.lit(False)), F.col("type")))
 
 
@@ -111,37 +177,50 @@ def _hexed(value: str, seed: str) -> str:
     return f"array_join(transform(split({value}, ''), (c, i) -> CASE WHEN c rlike '[0-9]' THEN string(pmod(xxhash64({seed}, i), 10)) WHEN c rlike '[a-f]' THEN substring('abcdef', int(pmod(xxhash64({seed}, i), 6)) + 1, 1) WHEN c rlike '[A-F]' THEN substring('ABCDEF', int(pmod(xxhash64({seed}, i), 6)) + 1, 1) ELSE c END), '')"
 
 
-def _named(word: str, seed: str, female: str) -> str:
-    """SQL: a pronounceable name of the same length and script; given names of women end in a vowel."""
-    sql = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")"
-    one = lambda xs: f"element_at({sql(xs)}, int(pmod(xxhash64({seed}, w, i), {len(xs)})) + 1)"
-    vowel = f"CASE WHEN {female} AND length(w) % 2 = 1 THEN i % 2 = 0 WHEN {female} OR length(w) % 2 = 1 THEN i % 2 = 1 ELSE i % 2 = 0 END"
-    script = lambda s: f"CASE WHEN {vowel} THEN {one(s[1])} ELSE {one(s[0])} END"
-    letter = f"CASE WHEN w rlike '\\\\p{{IsCyrillic}}' THEN {script(CYRILLIC)} ELSE {script(LATIN)} END"
-    return f"array_join(transform(split({word}, ' '), w -> initcap(array_join(transform(sequence(0, length(w) - 1), i -> {letter}), ''))), ' ')"
+def _picked(options: list[str], seed: str) -> str:
+    """SQL: one of the options, by seed and i."""
+    return f"element_at(array({', '.join(map(_text, options))}), int(pmod(xxhash64({seed}, i), {len(options)})) + 1)"
+
+
+def _named(role: str, word: str, seed: str) -> str:
+    """SQL: a pronounceable name of the same length and script, accents where they were; given names of women end in a vowel."""
+    # once EXACT attempts have failed, names are longer
+    size = f"(length({word}) + greatest(0, attempt - {EXACT - 1}))"
+    vowel = f"(CASE WHEN {role} = 'gf' THEN ({size} - i) % 2 = 1 ELSE ({size} - i) % 2 = 0 END)"
+    letter = f"substring({word}, i + 1, 1)"
+
+    def made(script: tuple) -> str:
+        plain = f"CASE WHEN {vowel} THEN {_picked(script[1], seed)} ELSE {_picked(script[0], seed)} END"
+        return f"CASE WHEN {letter} rlike '[^\\\\p{{L}}\\\\p{{M}}]' THEN {letter} WHEN {letter} rlike '[à-ÿά-ώ]' AND NOT {letter} rlike '[α-ω]' THEN {_picked(script[2], seed)} ELSE {plain} END"
+
+    chosen = made(SCRIPTS[""])
+    for name, script in SCRIPTS.items():
+        if name:
+            chosen = f"CASE WHEN {word} rlike '\\\\p{{{name}}}' THEN {made(script)} ELSE {chosen} END"
+    return f"array_join(transform(sequence(0, {size} - 1), i -> {chosen}), '')"
 
 
 def surrogate(key: str) -> Column:
     """The replacement of canonical, of its type, at its attempt: in the canonical's own form."""
     seed = f"sha2(concat_ws('|', {_text(key)}, type, canonical, string(attempt)), 256)"
     domain = f"sha2(concat_ws('|', {_text(key)}, 'domain', substring_index(canonical, '@', -1)), 256)"
-    octet = f"CASE length(o) WHEN 1 THEN 1 + pmod(xxhash64({seed}, i), 9) WHEN 2 THEN 10 + pmod(xxhash64({seed}, i), 90) ELSE 100 + pmod(xxhash64({seed}, i), 155) END"
+    octet = f"CASE WHEN attempt >= {EXACT} THEN 1 + pmod(xxhash64({seed}, i), 254) WHEN length(o) = 1 THEN 1 + pmod(xxhash64({seed}, i), 9) WHEN length(o) = 2 THEN 10 + pmod(xxhash64({seed}, i), 90) ELSE 100 + pmod(xxhash64({seed}, i), 155) END"
     body = f"concat(substring(canonical, 1, 1), {_masked('substring(canonical, 2, length(canonical) - 2)', seed)})"
+    local = f"concat(substring_index(canonical, '@', 1), repeat('x', greatest(0, attempt - {EXACT - 1})))"
     stem = "regexp_extract(substring_index(canonical, '@', -1), '^(.*)(\\\\.[^.]+)$', 1)"
     top = "regexp_extract(substring_index(canonical, '@', -1), '(\\\\.[^.]+)$', 1)"
-    lead = "regexp_extract(canonical, '^[A-Za-z0-9_-]+?[ \\\\t\\\\r\\\\n]*[=:][ \\\\t\\\\r\\\\n]*[\"\\']?', 0)"
-    token = f"substring(canonical, length({lead}) + 1)"
+    keep = f"regexp_extract(canonical, '^{KEY_LEAD}', 0)"
     account = _masked("substring(canonical, 5)", seed)
     return F.expr(f"""CASE type
-      WHEN 'email' THEN concat({_masked("substring_index(canonical, '@', 1)", seed)}, '@', {_masked(stem, domain)}, {top})
+      WHEN 'email' THEN concat({_masked(local, seed)}, '@', {_masked(stem, domain)}, {top})
       WHEN 'ip' THEN array_join(transform(split(canonical, '[.]'), (o, i) -> {octet}), '.')
       WHEN 'mac' THEN {_hexed("canonical", seed)} WHEN 'ipv6' THEN {_hexed("canonical", seed)}
       WHEN 'card' THEN concat({body}, string((10 - {luhn(f"concat({body}, '0')")}) % 10))
       WHEN 'iban' THEN concat(substring(canonical, 1, 2), lpad(string(98 - {mod97(f"concat(substring(canonical, 1, 2), '00', {account})")}), 2, '0'), {account})
-      WHEN 'phone' THEN concat(regexp_extract(canonical, '^([+][0-9]+ )?', 0), {_masked("regexp_extract(canonical, '[0-9]+$', 0)", seed)})
-      WHEN 'name' THEN concat(substring(canonical, 1, 2), {_named("substring(canonical, 3)", seed, "canonical LIKE 'f %'")})
-      WHEN 'access_key' THEN concat(regexp_extract(canonical, '^(AKIA|ASIA|gh._|sk-)', 0), {_masked("regexp_replace(canonical, '^(AKIA|ASIA|gh._|sk-)', '')", seed)})
-      WHEN 'secret' THEN concat({lead}, CASE WHEN {token} rlike '^[0-9a-f]{{16,}}$' THEN {_hexed(token, seed)} ELSE {_masked(token, seed)} END)
+      WHEN 'phone' THEN concat(string(2 + pmod(xxhash64({seed}), 8)), {_masked("substring(canonical, 2)", seed)})
+      WHEN 'name' THEN {_named("substring_index(canonical, ' ', 1)", "substring(canonical, instr(canonical, ' ') + 1)", seed)}
+      WHEN 'access_key' THEN concat({keep}, {_masked(f"substring(canonical, length({keep}) + 1)", seed)})
+      WHEN 'secret' THEN CASE WHEN canonical rlike '^[0-9a-f]{{16,}}$' THEN {_hexed("canonical", seed)} ELSE {_masked("canonical", seed)} END
       ELSE {_masked("canonical", seed)} END""")
 
 
@@ -149,33 +228,37 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(type, canonical, replacement) for distinct (type, canonical): all different, and no original.
 
     Where several would share a replacement, the first of them keeps it and the others try again;
-    so do those whose replacement is in the data itself.
+    so do those whose replacement is in the data itself. After EXACT rounds replacements of names,
+    e-mail and IP addresses have more room, a letter more each round or any number, so that they
+    never run out; other forms have at least 10**4 times more values than a corpus has entities.
     """
     open_ = materialize(values.withColumn("attempt", F.lit(0)).withColumn("replacement", surrogate(key)), "surrogates-open")
-    originals = values.select("type", F.col("canonical").alias("replacement")).withColumn("taken", F.lit(True))
+    word = F.when(F.col("type") == "name", F.expr("substring(canonical, instr(canonical, ' ') + 1)")).otherwise(F.col("canonical"))
+    originals = values.select("type", word.alias("replacement"), F.lit(True).alias("taken")).distinct()
     settled = None
-    for _ in range(ROUNDS):
+    while True:
         least = open_.groupBy("type", "replacement").agg(F.min("canonical").alias("owner"))
         taken = originals if settled is None else originals.unionByName(settled.select("type", "replacement", F.lit(True).alias("taken"))).distinct()
-        marked = materialize(open_.join(least.join(taken, ["type", "replacement"], "left"), ["type", "replacement"]).withColumn("ok", (F.col("owner") == F.col("canonical")) & F.col("taken").isNull()), "surrogates-round")
+        marked = open_.join(least.join(taken, ["type", "replacement"], "left"), ["type", "replacement"])
+        marked = materialize(marked.withColumn("ok", (F.col("owner") == F.col("canonical")) & F.col("taken").isNull()), "surrogates-round")
         good = marked.where("ok").select("type", "canonical", "replacement")
         settled = good if settled is None else settled.unionByName(good)
-        open_ = marked.where("NOT ok").select("type", "canonical", F.col("attempt") + 1).toDF("type", "canonical", "attempt").withColumn("replacement", surrogate(key))
-        if not marked.where("NOT ok").limit(1).count():
+        again = marked.where("NOT ok")
+        if not again.limit(1).count():
             return settled
+        open_ = again.select("type", "canonical", F.col("attempt") + 1).toDF("type", "canonical", "attempt").withColumn("replacement", surrogate(key))
         open_ = materialize(open_, "surrogates-open")
-    raise ValueError("a type has more entities than replacements of their format")
 
 
 def rendered() -> Column:
-    """The replacement in the format of value: separators, blanks and upper case as they stand there."""
-    stripped = F.when(F.col("type") == "phone", F.regexp_extract("replacement", "[0-9]+$", 0)).when(F.col("type") == "iban", F.expr("substring(replacement, 3)"))
-    stripped = stripped.when(F.col("type") == "name", F.expr("substring(replacement, 3)")).when(F.col("type").isin("secret", "access_key"), F.expr("substring(replacement, length(lead) + 1)"))
-    d = F.coalesce(stripped, F.col("replacement"))
+    """The replacement in the format of value: separators, blanks, leading zeros and upper case as they stand there."""
+    zeros = F.regexp_extract(F.regexp_replace("value", r"\D", ""), "^0+", 0)
+    plain = F.when(F.col("type") == "phone", F.concat(zeros, "replacement")).when(F.col("type") == "iban", F.expr("substring(replacement, 3)")).otherwise(F.col("replacement"))
     laid = F.expr("""array_join(transform(split(value, ''), (c, i) -> CASE WHEN c rlike '[A-Za-z0-9]'
         THEN substring(_plain, length(regexp_replace(substring(value, 1, i + 1), '[^A-Za-z0-9]', '')), 1) ELSE c END), '')""")
-    cased = F.expr("array_join(transform(split(value, ''), (c, i) -> CASE WHEN c rlike '[A-Z]' THEN upper(substring(_plain, i + 1, 1)) ELSE substring(_plain, i + 1, 1) END), '')")
-    return d, F.when(F.col("type").isin("phone", "card", "ssn", "iban"), laid).when(F.col("type").isin("email", "mac", "ipv6"), cased).otherwise(F.col("_plain"))
+    cased = F.expr("""concat(array_join(transform(split(value, ''), (c, i) -> CASE WHEN c rlike '\\\\p{Lu}' THEN upper(substring(_plain, i + 1, 1)) ELSE substring(_plain, i + 1, 1) END), ''),
+        substring(_plain, length(value) + 1))""")
+    return plain, F.when(F.col("type").isin("phone", "card", "ssn", "iban"), laid).when(F.col("type").isin("email", "mac", "ipv6", "name"), cased).otherwise(F.col("_plain"))
 
 
 def replace_private(docs: DataFrame, key: str = "change me") -> DataFrame:
@@ -183,36 +266,36 @@ def replace_private(docs: DataFrame, key: str = "change me") -> DataFrame:
 
     Null texts stay null with no entity; texts without any are unchanged; repeated rows stay and are
     replaced alike; an empty table gives no rows; other columns, also such as are named like those
-    used here, pass through, but for an n_entities, which is replaced. Whole texts are read.
+    used here, pass through, but for an n_entities, which is replaced. Whole texts are read, and
+    matched once.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    some = F.coalesce(F.col("text").rlike(QUICK) & F.col("text").rlike(ANY), F.lit(False))
-    wrapped = docs.select(row.alias("_doc"), F.col("text"))
-    have = wrapped.where(some).withColumn("_id", F.md5("text"))
-
-    once = docs.where(some).select(F.md5("text").alias("_id"), entities(F.col("text")).alias("_found"))
-    once = once.groupBy("_id").agg(F.first("_found").alias("_found")).select("_id", F.posexplode("_found").alias("_at", "surface"))
-    listed = materialize(described(once), "privacy-entities")
-    values = listed.where("type IS NOT NULL").select("type", "canonical").distinct()
-    made = surrogates(materialize(values, "privacy-values"), key)
-    new = listed.join(made, ["type", "canonical"], "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    some = materialize(docs.select(row.alias("_doc"), with_names(apart(escaped(F.col("text")))).alias("_parts"), F.monotonically_increasing_id().alias("_row")), "privacy-parts")
+    odd = F.transform(F.sequence(F.lit(2), F.size("_parts"), F.lit(2)), lambda k: F.element_at("_parts", k.cast("int")))
+    many = F.size("_parts") > 1
+    found = some.where(many).select("_row", F.posexplode(odd).alias("_at", "surface"))
+    found = materialize(found, "privacy-found")
+    surfaces = materialize(described(found.select("surface").distinct()), "privacy-surfaces")
+    made = surrogates(materialize(surfaces.where("type IS NOT NULL").select("type", "canonical").distinct(), "privacy-values"), key)
     plain, shown = rendered()
-    new = new.withColumn("_plain", plain).withColumn("_new", F.coalesce(F.concat("lead", shown), F.col("surface")))
-    per_text = new.groupBy("_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_at", "_new"))), lambda x: x["_new"]).alias("_all"), F.count("type").alias("_n")
-    )
-    joined = have.join(per_text, "_id")
-    between = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(between, F.col("_all"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    bare = F.when(F.col("surface").startswith(ROLE), F.expr("substring(surface, instr(surface, ' ') + 1)")).otherwise(F.col("surface"))
+    kept = F.when(F.col("type") == "name", F.lit("")).otherwise(F.col("lead"))
+    new = surfaces.join(made, ["type", "canonical"], "left").withColumn("_plain", plain)
+    new = new.select("surface", F.coalesce(F.concat(kept, shown), bare).alias("_new"), F.col("type").isNotNull().cast("int").alias("_is"))
+    new = materialize(new, "privacy-new")
+    per_row = found.join(new.hint("merge"), "surface").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", "_new"))).alias("_all"), F.sum("_is").alias("_n"))
+    even = F.transform(F.sequence(F.lit(1), F.size("_parts"), F.lit(2)), lambda k: F.element_at("_parts", k.cast("int")))
+    text = F.array_join(F.zip_with(even, F.transform("_all", lambda x: x["_new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    kind_of = dict(docs.dtypes)
 
     def finish(d: DataFrame, new_text: Column, n: Column) -> DataFrame:
-        change = {"text": new_text, "n_chars": F.length(new_text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+        new_text = unescaped(new_text)
+        change = {"text": new_text, "n_chars": F.length(new_text).cast(kind_of.get("n_chars", "long"))}
         kept = [change.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns if c != "n_entities"]
         return d.select(*kept, n.cast("long").alias("n_entities"))
 
-    without = wrapped.where(~some)
-    plain_docs = without.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "n_entities"], F.lit(0).cast("long").alias("n_entities"))
-    return finish(joined, text, F.col("_n")).unionByName(plain_docs)
+    without = finish(some.where(~F.coalesce(many, F.lit(False))), F.when(F.col("_parts").isNotNull(), F.element_at("_parts", 1)), F.lit(0))
+    return finish(some.where(many).join(per_row.hint("merge"), "_row"), text, F.col("_n")).unionByName(without)
 
 
 def op1_pii(spark, sf_dir):

@@ -22,7 +22,7 @@ from .common import _BYTE_VALUES, discard, materialize, mix64, prefix_hashes, ra
 
 #: Length of anchors: the longer, the fewer contexts; the shorter, the fewer anchors.
 GRAM = 64
-#: Distinct contexts of an anchor that one task sorts; beyond, strings are grouped by digest instead.
+#: Distinct contexts of an anchor that are sorted together; more are first dealt out by more bytes.
 GROUP = 20_000
 #: Contexts a task works on, in many anchors.
 TASK = 20_000
@@ -209,30 +209,52 @@ class RepeatedStrings:
         return d.withColumn("context", F.expr(f"substring(text, at - left + 1, left + {self.length})")).drop("text", "row", "at")
 
     def sort_contexts(self, distinct: DataFrame) -> DataFrame:
-        """anchor, digest, lo, hi from distinct contexts that occur once, and partners that occur more."""
+        """anchor, digest, lo, hi from (key, anchor, digest, context, left): strings that contexts of one key share."""
 
         def sort(batch: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for anchor, group in batch.sort_values(["anchor", "digest"]).groupby("anchor", sort=False):
+            for _, group in batch.sort_values(["key", "anchor", "digest"]).groupby("key", sort=False):
                 if len(group) < 2:
                     continue
                 both = list(zip(group.context, group["left"]))
                 left = [c[:k][::-1] for c, k in both]
                 right = [c[k:] for c, k in both]
-                for digest, ranges in zip(group.digest, repeated_starts(left, right, self.length)):
+                for anchor, digest, ranges in zip(group.anchor, group.digest, repeated_starts(left, right, self.length)):
                     out += [(anchor, digest, lo, hi) for lo, hi in spans([(lo, hi + 1) for lo, hi in ranges])]
             return pd.DataFrame(out, columns=["anchor", "digest", "lo", "hi"])
 
         return distinct.groupBy("task").applyInPandas(sort, "anchor long, digest long, lo int, hi int")
 
-    def hot_contexts(self, distinct: DataFrame) -> DataFrame:
-        """The same for anchors with too many contexts: strings grouped by anchor, place and digest."""
-        each = distinct.select("anchor", "digest", "context", "left", F.explode(F.expr(f"sequence(greatest(0, {self.length} - (length(context) - left)), left)")).alias("before"))
-        each = each.where(f"left - before + {self.length} <= length(context) AND before <= left")
-        string = F.md5(F.expr(f"substring(context, left - before + 1, {self.length})"))
-        each = each.select("anchor", "digest", "before", string.alias("string"))
-        shared = each.groupBy("anchor", "before", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        return each.join(shared, ["anchor", "before", "string"]).select("anchor", "digest", F.col("before").alias("lo"), (F.col("before") + 1).alias("hi"))
+    def dealt(self, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For anchors with too many contexts: (key, anchor, digest, context, left) in groups that can be sorted; and ranges.
+
+        A string around an anchor has half of its other bytes, or more, before it or behind it. So
+        contexts with the same such half go together, once for each side; where they are still too
+        many, the next half of what is left of the string parts them, until nothing is left: then
+        they hold the same string, and ranges says where.
+        """
+        rest, groups = self.margin, None
+        rows = contexts.withColumns({"key": F.col("anchor"), "before": F.lit(0), "behind": F.lit(0)})
+        while True:
+            rows = materialize(rows, "suffix-dealt")
+            sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "suffix-sizes")
+            some = rows.join(sizes.where(f"n <= {GROUP}").select("key").hint("merge"), "key").select("key", "anchor", "digest", "context", "left")
+            groups = some if groups is None else groups.unionByName(some)
+            rows = rows.join(sizes.where(f"n > {GROUP}").select("key").hint("merge"), "key", "left_semi")
+            if not rest or not rows.limit(1).count():
+                break
+            half = -(-rest // 2)
+            rest -= half
+            onward = F.expr(f"substring(context, left + {GRAM} + behind + 1, {half})")
+            onward = rows.where(f"length(context) - left - {GRAM} - behind >= {half}").withColumn("key", F.xxhash64("key", F.lit("behind"), onward)).withColumn("behind", F.col("behind") + half)
+            back = F.expr(f"substring(context, left - before - {half} + 1, {half})")
+            back = rows.where(f"left - before >= {half}").withColumn("key", F.xxhash64("key", F.lit("before"), back)).withColumn("before", F.col("before") + half)
+            rows = onward.unionByName(back)
+        rows = rows.withColumn("string", F.expr(f"substring(context, left - before + 1, {self.length})")).select("key", "string", "anchor", "digest", "before")
+        rows = materialize(rows, "suffix-strings")
+        shared = materialize(rows.groupBy("key", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-shared")
+        same = rows.join(shared.hint("merge"), ["key", "string"]).select("anchor", "digest", F.col("before").alias("lo"), (F.col("before") + 1).alias("hi"))
+        return groups, same
 
     def removed(self, docs: DataFrame) -> DataFrame:
         """(key, text, whole, marks) of (key, short, text), for texts with anything to remove.
@@ -243,12 +265,14 @@ class RepeatedStrings:
         key is 128 bits of the text's digest; short, with fewer bits, only narrows the first pass.
         """
         found = materialize(self.find_anchors(docs), "suffix-anchors")
-        often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        by_text = found.join(often, "anchor").groupBy("short").agg(F.collect_set(F.struct("at", "anchor")).alias("x"))
+        # written, so that the join sees two shuffles and can split a frequent anchor
+        often = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-often")
+        by_text = found.join(often.hint("merge"), "anchor").groupBy("short").agg(F.collect_set(F.struct("at", "anchor")).alias("x"))
         texts = docs.groupBy("short", "key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
         likely = texts.join(by_text, "short").drop("short").withColumn("row", F.monotonically_increasing_id())
         likely = materialize(likely, "suffix-likely")
         discard(found)
+        discard(often)
 
         around = materialize(self.contexts(likely), "suffix-contexts")
         distinct = around.groupBy("anchor", "digest").agg(F.first(F.struct("row", "at")).alias("one"), F.count("*").alias("n"))
@@ -258,16 +282,21 @@ class RepeatedStrings:
         usual, hot = sizes.where(F.col("contexts") <= GROUP), sizes.where(F.col("contexts") > GROUP)
         tasks = math.ceil((usual.agg(F.sum("contexts")).first()[0] or 0) / TASK)
         tasks = max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        few = self.with_bytes(distinct.join(usual.select("anchor"), "anchor"), likely).withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)))
-        ranges = self.sort_contexts(few.select("task", "anchor", "digest", "context", "left"))
+        few = self.with_bytes(distinct.join(usual.select("anchor"), "anchor"), likely).withColumn("key", F.col("anchor"))
+        columns = ["key", "anchor", "digest", "context", "left"]
+        few, same = few.select(columns), None
         if hot.limit(1).count():
-            ranges = ranges.unionByName(self.hot_contexts(self.with_bytes(distinct.join(hot.select("anchor"), "anchor"), likely)))
-        ranges = ranges.groupBy("anchor", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+            many, same = self.dealt(self.with_bytes(distinct.join(hot.select("anchor"), "anchor"), likely).select(columns[1:]))
+            few = few.unionByName(many)
+        ranges = self.sort_contexts(few.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))))
+        ranges = ranges if same is None else ranges.unionByName(same)
+        ranges = ranges.groupBy("anchor", "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
         ranges = materialize(ranges, "suffix-ranges")
         once = distinct.where("n = 1").select("anchor", "digest").join(ranges, ["anchor", "digest"])
         # a context that occurs again is repeated wherever a whole string fits in it
         again = distinct.where("n > 1").select("anchor", "digest", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("ranges"))
-        each = around.join(again.unionByName(once), ["anchor", "digest"]).groupBy("row").agg(F.collect_list(F.struct("at", "ranges")).alias("marks"))
+        said = materialize(again.unionByName(once), "suffix-said")
+        each = around.join(said.hint("merge"), ["anchor", "digest"]).groupBy("row").agg(F.collect_list(F.struct("at", "ranges")).alias("marks"))
         each = materialize(each, "suffix-marks")
         whole = (F.col("n") > 1) & (F.length("text") >= self.length)
         return likely.join(each, "row", "left").select("key", "text", whole.alias("whole"), "marks").where("marks IS NOT NULL OR whole")

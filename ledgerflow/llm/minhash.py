@@ -17,8 +17,8 @@ from .components import connected_components
 MANTISSA = 10
 #: Expected chance matches a bucket of two registers with that mantissa (Yu and Weber, HyperMinHash).
 CHANCE = 0.169919487159739 / 2**MANTISSA
-#: Documents of a candidate group that a task compares with each other; larger groups are split
-#: into parts, and each pair of parts is a task.
+#: Documents of a candidate group that a task compares with each other. Larger groups are split into
+#: parts; what a first look at one hub leaves over is then held against every part.
 PART = 1024
 
 
@@ -102,23 +102,24 @@ class NearDuplicates:
         estimate = (same - CHANCE * count) / (count * (1 - CHANCE))
         return estimate >= bound - 6 * np.sqrt(bound * (1 - bound) / count)
 
-    def forest(self, sets: list[np.ndarray], part: np.ndarray) -> list[tuple[int, int]]:
-        """Links that connect whatever any links would, between items of different parts if there are two.
+    def forest(self, sets: list[np.ndarray], side: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+        """Links that connect whatever any links would, between items of different labels, and sides if there are two.
 
         Pairs that aren't plausible are not verified, nor are pairs that are connected already.
         Items that resemble many come first.
         """
-        n = len(sets)
+        n, label = len(sets), label.copy()
         regs = np.array([self.registers(s) for s in sets])
         sizes = np.array([len(s) for s in sets])
-        cross = len(np.unique(part)) > 1
+        cross = len(np.unique(side)) > 1
         maybe = np.zeros((n, n), bool)
         for i in range(n):
-            maybe[i] = self.plausible(regs, regs[i]) & (100 * np.minimum(sizes, sizes[i]) >= self.percent * np.maximum(sizes, sizes[i]))
+            maybe[i] = (label != label[i]) & (100 * np.minimum(sizes, sizes[i]) >= self.percent * np.maximum(sizes, sizes[i]))
             if cross:
-                maybe[i] &= part != part[i]
-        np.fill_diagonal(maybe, False)
-        label, edges = np.arange(n), []
+                maybe[i] &= side != side[i]
+            some = np.flatnonzero(maybe[i])
+            maybe[i, some] = self.plausible(regs[some], regs[i])
+        edges = []
         for i in np.argsort(-maybe.sum(1), kind="stable"):
             for j in np.flatnonzero(maybe[i] & (label != label[i])):
                 if label[j] != label[i] and self.linked(sets[i], sets[j]):
@@ -168,41 +169,57 @@ class NearDuplicates:
         d = d.join(registers.select(F.col("node").alias("hub"), F.col("registers").alias("ry")), "hub")
         return d.select("hub", "node", "rx", "ry").mapInPandas(judge, "hub long, node long, near boolean")
 
+    def facing(self, rows: DataFrame, key: str) -> DataFrame:
+        """rows (key, node, rest and more) dealt into tasks, with side: what is rest is held against all of its key.
+
+        Small keys share tasks. A larger key's rows are in parts, and so is its rest; each part of
+        the rest meets each part of all rows. Rows are copied once a part of the rest, which is
+        small where a hub has settled most of them.
+        """
+        sizes = materialize(rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if("rest").alias("left")).where("n > 1 AND left > 0"), "minhash-sizes")
+        total = sizes.where(f"n <= {PART}").agg(F.sum("n")).first()[0] or 0
+        parts = sizes.select(key, F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.ceil(F.col("left") / PART).cast("int").alias("rests"))
+        d = rows.join(parts.hint("merge"), key)
+        sequence = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+        alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side")))
+        every = F.transform(sequence("rests"), lambda i: F.struct(i.alias("i"), place("parts", 0).alias("j"), F.lit(1).alias("side")))
+        rest = F.transform(sequence("parts"), lambda j: F.struct(place("rests", 1).alias("i"), j.alias("j"), F.lit(0).alias("side")))
+        where = F.when(F.col("parts") == 1, alone).when(F.col("rest"), F.concat(every, rest)).otherwise(every)
+        d = d.withColumn("_t", F.explode(where)).withColumn("side", F.col("_t.side"))
+        bundle = F.when(F.col("parts") == 1, F.pmod(F.xxhash64(key), F.lit(1 + total // PART))).otherwise(F.col(key))
+        return d.withColumn("task", F.struct(bundle.alias("key"), F.col("_t.i").alias("i"), F.col("_t.j").alias("j"))).drop("_t", "parts", "rests")
+
     def crowds(self, rows: DataFrame, registers: DataFrame) -> DataFrame:
-        """Edges (a, b) that connect what plausible links would, among the nodes of each key of (key, node)."""
-        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-        d = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        d = d.join(registers, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        small = F.struct(F.pmod("key", F.lit(tasks)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-        pair = F.struct("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        d = d.withColumn("task", F.when(F.col("parts") == 1, small).otherwise(pair))
+        """Edges (a, b) that connect what plausible links would, among the nodes of each key of (key, node, hub, rest).
+
+        Nodes that aren't rest are connected with the hub already.
+        """
+        d = self.facing(rows, "key").join(registers, "node").withColumn("label", F.when(F.col("rest"), F.col("node")).otherwise(F.col("hub")))
 
         def connect(batch: pd.DataFrame) -> pd.DataFrame:
             edges = []
             for _, group in batch.groupby("key", sort=True):
-                group = group.sort_values("node", kind="stable")
-                nodes, part = group.node.to_numpy(), group.part.to_numpy()
+                group = group.sort_values(["node", "side"], kind="stable")
+                nodes, side, label = group.node.to_numpy(), group.side.to_numpy(), group.label.to_numpy().copy()
                 regs = np.frombuffer(b"".join(group.registers), np.uint16).reshape(-1, self.buckets)
-                cross = len(np.unique(part)) > 1
-                label = np.arange(len(nodes))
-                for i in range(len(nodes)):
-                    near = self.plausible(regs, regs[i]) & (label != label[i])
-                    if cross:
-                        near &= part != part[i]
-                    others = np.unique(label[near], return_index=True)[1]
-                    edges += [(nodes[i], nodes[j]) for j in np.flatnonzero(near)[others]]
+                cross = len(np.unique(side)) > 1
+                for i in np.flatnonzero(group.rest.to_numpy() & (side == 0)):
+                    some = np.flatnonzero((label != label[i]) & ((side != side[i]) if cross else True))
+                    near = some[self.plausible(regs[some], regs[i])]
+                    _, others = np.unique(label[near], return_index=True)
+                    edges += [(nodes[i], nodes[j]) for j in near[others]]
                     label[np.isin(label, label[near])] = label[i]
             return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
-        return d.select("task", "key", "node", "part", "registers").groupBy("task").applyInPandas(connect, "a long, b long")
+        return d.select("task", "key", "node", "side", "rest", "label", "registers").groupBy("task").applyInPandas(connect, "a long, b long")
 
     def blobs(self, unique: DataFrame) -> DataFrame:
         """(node, blob) for nodes that may have links: any two that do are in one blob.
 
         Where a band's key is equal, each node is held against the smallest one. If all may be
-        linked with that, it connects them; else all nodes of the key are held against each other,
-        in parts. So texts that only share a passage don't grow together.
+        linked with that, it connects them; else those that may not are held against all nodes of
+        the key, in parts. So texts that only share a passage don't grow together.
         """
         registers = unique.select("node", "registers")
         keys = self.keys(unique)
@@ -210,8 +227,8 @@ class NearDuplicates:
         members = materialize(keys.join(hubs, "key").select("key", "hub", "node"), "minhash-keys")
         stars = members.where("node <> hub").select("hub", "node").distinct()
         judged = materialize(self.plausible_stars(stars, registers), "minhash-stars")
-        mixed = members.join(judged.where("NOT near"), ["hub", "node"], "left_semi").select("key").distinct()
-        crowd = self.crowds(members.join(mixed, "key", "left_semi").select("key", "node"), registers)
+        told = members.join(judged, ["hub", "node"], "left").select("key", "hub", "node", (~F.coalesce("near", F.lit(True))).alias("rest"))
+        crowd = self.crowds(materialize(told, "minhash-told"), registers)
         edges = judged.where("near").select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(crowd)
         return connected_components(edges).select("node", F.col("component").alias("blob"))
 
@@ -242,23 +259,38 @@ class NearDuplicates:
         return joined.mapInPandas(make, "node long, blob long, part int, parts int, shingles binary")
 
     def links(self, sets: DataFrame, members: int) -> DataFrame:
-        """Edges (a, b) that connect each blob's documents as all its links would."""
+        """Edges (a, b) that connect each blob's documents as all its links would.
+
+        First each part of a blob is connected within itself and with the blob's first document. Where
+        that leaves a blob in pieces, what isn't connected with the first document is held against all.
+        """
         tasks = max(1, math.ceil(members / PART))
-        d = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        pair = F.struct(F.col("blob"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        small = F.struct(F.pmod(F.xxhash64("blob"), F.lit(tasks)).alias("blob"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-        d = d.withColumn("task", F.when(F.col("parts") == 1, small).otherwise(pair))
+        first = sets.groupBy("blob").agg(F.min("node").alias("hub"))
+        d = sets.join(first.hint("merge"), "blob")
+        there = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+        small = F.struct(F.pmod(F.xxhash64("blob"), F.lit(tasks)).alias("key"), F.lit(-1).alias("part"))
+        d = d.withColumn("at", F.explode(there)).withColumn("task", F.when(F.col("parts") == 1, small).otherwise(F.struct(F.col("blob").alias("key"), F.col("at").alias("part"))))
 
         def verify(batch: pd.DataFrame) -> pd.DataFrame:
             edges = []
-            batch = batch.sort_values(["blob", "node"], kind="stable").drop_duplicates(["node", "shingles"])
+            batch = batch.sort_values(["blob", "node", "side"], kind="stable").drop_duplicates(["node", "side", "shingles"])
             for _, group in batch.groupby("blob", sort=False):
                 nodes = group.node.to_numpy()
-                sets = [np.frombuffer(s, np.uint64) for s in group.shingles]
-                edges += [(nodes[i], nodes[j]) for i, j in self.forest(sets, group.part.to_numpy())]
+                found = [np.frombuffer(s, np.uint64) for s in group.shingles]
+                edges += [(nodes[i], nodes[j]) for i, j in self.forest(found, group.side.to_numpy(), group.label.to_numpy())]
             return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
-        return d.select("node", "blob", "shingles", "part", "task").groupBy("task").applyInPandas(verify, "a long, b long")
+        columns = ["node", "blob", "shingles", "side", "label", "task"]
+        within = d.withColumns({"side": F.lit(0), "label": F.col("node")}).select(columns).groupBy("task").applyInPandas(verify, "a long, b long")
+        within = materialize(within, "minhash-within")
+        large = sets.where("parts > 1")
+        if not large.limit(1).count():
+            return within
+        labels = connected_components(within).withColumnRenamed("component", "label")
+        d = large.select("node", "blob").distinct().join(first.hint("merge"), "blob").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        d = materialize(d.select("node", "blob", "label", (F.col("label") != F.col("hub")).alias("rest")), "minhash-pieces")
+        across = self.facing(d, "blob").join(sets.select("node", "shingles").hint("merge"), "node")
+        return within.unionByName(across.select(columns).groupBy("task").applyInPandas(verify, "a long, b long"))
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """A row a document: doc_id, n_shingles, component_id, kept.
@@ -274,7 +306,7 @@ class NearDuplicates:
         unique = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers")), "minhash-unique")
         blobs = materialize(self.blobs(unique), "minhash-blobs")
         members = materialize(self.tasks(unique.select("node", "d1", "d2").join(blobs, "node")), "minhash-members")
-        sets = self.member_sets(docs, members)
+        sets = materialize(self.member_sets(docs, members), "minhash-sets")
         parts = connected_components(materialize(self.links(sets, members.count()), "minhash-links"))
         found = unique.select("d1", "d2", "node").join(parts, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("found"))
         d = signed.drop("registers").join(found, ["d1", "d2"], "left")

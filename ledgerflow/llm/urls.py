@@ -15,8 +15,6 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 #: Host words that count as this many blocked addresses each, whatever the labels say.
 SEEDS = ("adult", "casino", "malware", "phishing", "porn", "spam", "xxx")
 SEED_WEIGHT = 20
-#: The longest word that segmentation looks for.
-LONGEST = 24
 #: The token model is broadcast up to so many rows, and joined by shuffle beyond.
 MODEL_ROWS = 100_000
 #: Scores are whole millionths of a log-odds unit, so that their sums don't depend on order.
@@ -43,21 +41,28 @@ def longest_rule(rules=RULES) -> tuple[Column, Column]:
 
 
 def unigrams(pages: DataFrame) -> DataFrame:
-    """word, n over the titles of all pages: letters only, in lower case."""
-    title = F.regexp_extract("html", r"(?is)<title>(.{0,2000}?)</title>", 1)
-    words = F.split(F.lower(title), r"[^\p{L}]+")
-    return pages.select(F.explode(words).alias("word")).where(f"length(word) BETWEEN 1 AND {LONGEST}").groupBy("word").agg(F.count("*").alias("n"))
+    """word, n over the whole visible text and titles of all pages: letters only, in lower case."""
+    shown = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&#?\w+;", " ")
+    words = F.split(F.lower(shown), r"[^\p{L}]+")
+    return pages.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(name: str, words: dict[str, int], total: int) -> list[str]:
-    """The most probable split of name; an unknown word is ten times less probable a letter."""
-    best = [(0.0, 0)]
+    """The most probable split of name; an unknown word is ten times less probable a letter.
+
+    Of equal ones that with the longest last word. An unknown word costs the same for each letter, so
+    the best place where one may begin is kept instead of looked for.
+    """
+    lengths = sorted({len(w) for w in words}, reverse=True)
+    start, letter = math.log(10.0 / total), math.log(10.0)
+    best, since, run = [(0.0, 0)], 0, 0.0
     for end in range(1, len(name) + 1):
-        options = []
-        for begin in range(max(0, end - LONGEST), end):
-            word = name[begin:end]
-            p = words[word] / total if word in words else 10.0 / (total * 10.0 ** len(word))
-            options.append((best[begin][0] + math.log(p), -begin))
+        if best[end - 1][0] + (end - 1) * letter > run:
+            since, run = end - 1, best[end - 1][0] + (end - 1) * letter
+        options = [(best[since][0] + start - (end - since) * letter, -since)]
+        for k in lengths:
+            if k <= end and (n := words.get(name[end - k : end])):
+                options.append((best[end - k][0] + math.log(n / total), k - end))
         p, begin = max(options)
         best.append((p, -begin))
     out: list[str] = []
@@ -71,9 +76,10 @@ def viterbi(name: str, words: dict[str, int], total: int) -> list[str]:
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     """name, words for distinct names: each with the counts of its own substrings, which a join brings."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
+    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
+    total, longest = total or 1, longest or 1
     parts = f"""explode(array_distinct(flatten(transform(sequence(1, length(name)), b ->
-        transform(sequence(1, least({LONGEST}, length(name) - b + 1)), k -> substring(name, b, k))))))"""
+        transform(sequence(1, least({longest}, length(name) - b + 1)), k -> substring(name, b, k))))))"""
     found = names.where("length(name) > 0").select("name", F.expr(parts).alias("word")).join(counts, "word")
     found = found.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
     both = names.join(found, "name", "left")

@@ -48,15 +48,23 @@ def fill_within(df: DataFrame, column: str) -> DataFrame:
 
 
 def monthly_panel(txns: DataFrame) -> DataFrame:
-    """Dense user-month panel: doubles by category, income filled or proxied, total_expense."""
-    zero = F.lit(0).cast("decimal(28,2)")
-    d = dense_months(with_income(category_sums(txns), monthly_income(txns)))
-    d = d.withColumns({c: F.coalesce(c, zero) for c in EXPENSE_CATEGORIES})
+    """Dense user-month panel: doubles by category, income filled or proxied, total_expense.
+
+    One aggregate by user and month holds spending and income; a month without spending is a copy of
+    the month before it with nothing in it, so neither the income nor the calendar needs a join.
+    """
+    debit, zero = F.col("direction") == "debit", F.lit(0).cast("decimal(28,2)")
+    sums = {c: F.coalesce(F.sum(F.when(debit & (F.col("category") == c), F.col("amount"))), zero).alias(c) for c in EXPENSE_CATEGORIES}
+    income = F.sum(F.when(F.col("direction") == "credit", F.col("amount"))).alias("income")
+    d = txns.groupBy("user_id", month_start().alias("month")).agg(*sums.values(), income, F.count(F.when(debit, 1)).alias("debits")).where("debits > 0")
+    until = F.coalesce(F.add_months(F.lead("month").over(_order()), -1), F.col("month"))
+    d = d.withColumn("until", until).select("*", F.posexplode(F.sequence("month", "until", F.expr("interval 1 month"))).alias("gap", "at"))
+    own = F.col("gap") == 0
+    d = d.select("user_id", F.col("at").alias("month"), *[F.when(own, F.col(c)).otherwise(zero).alias(c) for c in EXPENSE_CATEGORIES], F.when(own, F.col("income")).alias("income"))
     total = sum((F.col(c) for c in EXPENSE_CATEGORIES[1:]), F.col(EXPENSE_CATEGORIES[0]))
     d = fill_within(d.withColumn("total_expense", total), "income")
-    own = F.avg(F.col("total_expense").cast("double")).over(W.partitionBy("user_id")) * 1.1
-    d = d.select("user_id", "month", *[F.col(c).cast("double").alias(c) for c in EXPENSE_CATEGORIES], F.coalesce(F.col("income").cast("double"), own).alias("income"), F.col("total_expense").cast("double").alias("total_expense"))
-    return d
+    proxy = F.avg(F.col("total_expense").cast("double")).over(W.partitionBy("user_id")) * 1.1
+    return d.select("user_id", "month", *[F.col(c).cast("double").alias(c) for c in EXPENSE_CATEGORIES], F.coalesce(F.col("income").cast("double"), proxy).alias("income"), F.col("total_expense").cast("double").alias("total_expense"))
 
 
 def user_profiles(panel: DataFrame) -> DataFrame:
@@ -76,40 +84,77 @@ def long_panel(panel: DataFrame) -> DataFrame:
     return panel.unpivot(["user_id", "month", "total_expense", "income"], list(EXPENSE_CATEGORIES), "category", "target")
 
 
+def _by_category(wide: DataFrame, keep: list[str], values: dict) -> DataFrame:
+    """A row a category: the columns to keep, and for each name in values what it makes of the category."""
+    each = F.array(*[F.struct(F.lit(c).alias("category"), *[f(c).alias(n) for n, f in values.items()]) for c in EXPENSE_CATEGORIES])
+    return wide.select(*keep, F.explode(each).alias("_x")).select(*keep, "_x.*")
+
+
 def forecast_frame(panel: DataFrame, lags: int = LAGS) -> DataFrame:
-    """A row a (user, month, category): lags, rolling mean and sample deviation of the three months before."""
-    past = _series().rowsBetween(-3, -1)
+    """A row a (user, month, category): lags, rolling mean and sample deviation of the three months before.
+
+    All categories' windows run over the wide panel in one order by user, before rows multiply.
+    """
+    past = _order().rowsBetween(-3, -1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return long_panel(panel).withColumnRenamed("income", "cur_income").withColumns({
-        **{f"lag_{n}": zero(F.lag("target", n).over(_series())) for n in range(1, lags + 1)},
-        "roll_mean_3": zero(F.avg("target").over(past)), "roll_std_3": zero(F.stddev_samp("target").over(past)),
-        "tot_lag_1": zero(F.lag("total_expense").over(_series())), **month_angle(),
-    }).drop("total_expense")
+    made = {}
+    for c in EXPENSE_CATEGORIES:
+        made |= {f"_{c}_{n}": zero(F.lag(c, n).over(_order())) for n in range(1, lags + 1)}
+        made |= {f"_{c}_mean": zero(F.avg(c).over(past)), f"_{c}_std": zero(F.stddev_samp(c).over(past))}
+    d = panel.withColumns({**made, "tot_lag_1": zero(F.lag("total_expense").over(_order())), "cur_income": F.col("income")})
+    values = {"target": F.col, **{f"lag_{n}": lambda c, n=n: F.col(f"_{c}_{n}") for n in range(1, lags + 1)}, "roll_mean_3": lambda c: F.col(f"_{c}_mean"), "roll_std_3": lambda c: F.col(f"_{c}_std")}
+    return _by_category(d, ["user_id", "month", "cur_income", "tot_lag_1"], values).withColumns(month_angle())
+
+
+def recent_months(panel: DataFrame) -> DataFrame:
+    """panel with back: 1 for each user's last month, 2 for the one before, and so on."""
+    return panel.withColumn("back", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("month").desc())))
 
 
 def serving_frame(panel: DataFrame, lags: int = LAGS) -> DataFrame:
     """The same columns for the month after each user's last; population deviation of the last three."""
-    back = W.partitionBy("user_id", "category").orderBy(F.col("month").desc())
-    d = long_panel(panel).withColumn("back", F.row_number().over(back))
     last = lambda c, n=1: F.max(F.when(F.col("back") == n, F.col(c)))
-    recent = F.when(F.col("back") <= 3, F.col("target"))
-    d = d.groupBy("user_id", "category").agg(
-        F.add_months(F.max("month"), 1).alias("month"), last("income").alias("cur_income"), *[last("target", n).alias(f"lag_{n}") for n in range(1, lags + 1)],
-        F.avg(recent).alias("roll_mean_3"), F.stddev_pop(recent).alias("roll_std_3"), last("total_expense").alias("tot_lag_1"), F.count("*").alias("n"),
-    )
-    return d.where(F.col("n") >= lags).drop("n").withColumns(month_angle())
+    recent = lambda c: F.when(F.col("back") <= 3, F.col(c))
+    made = {}
+    for c in EXPENSE_CATEGORIES:
+        made |= {f"_{c}_{n}": last(c, n) for n in range(1, lags + 1)} | {f"_{c}_mean": F.avg(recent(c)), f"_{c}_std": F.stddev_pop(recent(c))}
+    made |= {"month": F.add_months(F.max("month"), 1), "cur_income": last("income"), "tot_lag_1": last("total_expense"), "n": F.count("*")}
+    d = recent_months(panel).groupBy("user_id").agg(*[v.alias(k) for k, v in made.items()]).where(F.col("n") >= lags)
+    values = {**{f"lag_{n}": lambda c, n=n: F.col(f"_{c}_{n}") for n in range(1, lags + 1)}, "roll_mean_3": lambda c: F.col(f"_{c}_mean"), "roll_std_3": lambda c: F.col(f"_{c}_std")}
+    return _by_category(d, ["user_id", "month", "cur_income", "tot_lag_1"], values).withColumns(month_angle())
+
+
+def _baseline(months: int) -> dict:
+    """Aggregates of recent_months() by user: _<category>_mean, _std and _past, income, n_months."""
+    recent = F.col("back") <= months
+    past = (F.col("back") >= 2) & (F.col("back") <= 4)
+    made = {}
+    for c in EXPENSE_CATEGORIES:
+        mine = F.when(recent, F.col(c))
+        made |= {f"_{c}_mean": F.avg(mine), f"_{c}_std": F.stddev_pop(mine), f"_{c}_past": F.when(F.count("*") >= 4, F.avg(F.when(past, F.col(c))))}
+    return made | {"income": F.avg(F.when(recent, F.col("income"))), "n_months": F.count("*")}
+
+
+_BASELINE_VALUES = {"mean": lambda c: F.col(f"_{c}_mean"), "std": lambda c: F.col(f"_{c}_std"), "past_mean": lambda c: F.col(f"_{c}_past")}
 
 
 def baselines(panel: DataFrame, months: int = BASELINE_MONTHS) -> DataFrame:
     """Mean and population deviation by category, and mean income, over each user's last months."""
-    back = W.partitionBy("user_id", "category").orderBy(F.col("month").desc())
-    d = long_panel(panel).withColumn("back", F.row_number().over(back))
-    recent = F.col("back") <= months
-    past = F.when((F.col("back") >= 2) & (F.col("back") <= 4), F.col("target"))
-    return d.groupBy("user_id", "category").agg(
-        F.avg(F.when(recent, F.col("target"))).alias("mean"), F.stddev_pop(F.when(recent, F.col("target"))).alias("std"),
-        F.avg(F.when(recent, F.col("income"))).alias("income"), F.count("*").alias("n_months"), F.when(F.count("*") >= 4, F.avg(past)).alias("past_mean"),
-    )
+    d = recent_months(panel).groupBy("user_id").agg(*[v.alias(k) for k, v in _baseline(months).items()])
+    return _by_category(d, ["user_id", "income", "n_months"], _BASELINE_VALUES)
+
+
+def recommendation_inputs(panel: DataFrame, months: int = BASELINE_MONTHS, least: int = LAGS) -> DataFrame:
+    """A row a (user, category): baseline, forecast (the last month), and the user's mean share of spending.
+
+    One aggregate by user; users with fewer than `least` months have none.
+    """
+    tot = F.when(F.col("total_expense") != 0, F.col("total_expense"))
+    made = _baseline(months)
+    for c in EXPENSE_CATEGORIES:
+        made |= {f"_{c}_last": F.max(F.when(F.col("back") == 1, F.greatest(F.col(c), F.lit(0.0)))), f"_{c}_share": F.coalesce(F.avg(F.col(c) / tot), F.lit(0.0))}
+    d = recent_months(panel).groupBy("user_id").agg(*[v.alias(k) for k, v in made.items()])
+    return _by_category(d, ["user_id", "income", "n_months"], {**_BASELINE_VALUES, "forecast": lambda c: F.when(F.col("n_months") >= least, F.col(f"_{c}_last")), "share": lambda c: F.col(f"_{c}_share")})
 
 
 def exponential_smoothing(frame: DataFrame, alpha: float = 0.3) -> DataFrame:

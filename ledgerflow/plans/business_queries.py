@@ -10,6 +10,7 @@ from ..operators import drift as D
 from ..operators import panel as P
 from ..operators import recommend as B
 from ..operators import rows as R
+from ..sources.files import work_dir
 from ..sources.views import EV, TX, canonical_events, canonical_txns
 from .metric_queries import _PT
 from .panel_queries import BASE, PANEL, PROFILE, SERVING, _r, _sql, panel, rounded
@@ -42,17 +43,22 @@ _REC = "user_id, kind, category, round(impact, 2) AS impact, round(confidence, 4
 
 
 def inputs(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    s = P.serving_frame(p).select("user_id", "category", F.greatest(F.col("lag_1"), F.lit(0.0)).alias("forecast"))
-    return P.baselines(p).join(s, ["user_id", "category"]).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
+    return P.recommendation_inputs(panel(spark, sf_dir)).where("forecast IS NOT NULL").withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
 
 
 def norms(spark, sf_dir):
-    d = P.user_profiles(panel(spark, sf_dir)).select("user_id", *[F.col(f"share_{c}").alias(c) for c in CATS])
-    d = d.unpivot(["user_id"], list(CATS), "category", "share").withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
+    d = P.recommendation_inputs(panel(spark, sf_dir)).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
     return d.groupBy("cohort", "category").agg(F.median("share").alias("peer_share"))
 
 
+def written(spark, sf_dir):
+    """inputs and norms from one pass over the transactions, which is written in between."""
+    path = work_dir(spark, "recommendation-inputs")
+    P.recommendation_inputs(panel(spark, sf_dir)).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6)).write.parquet(path)
+    d = spark.read.parquet(path)
+    return d.where("forecast IS NOT NULL"), d.groupBy("cohort", "category").agg(F.median("share").alias("peer_share"))
+
+
 def _rec(d):
     return d.select("user_id", "kind", "category", rnd(F.col("impact"), 2).alias("impact"), rnd(F.col("confidence")).alias("confidence"))
 
@@ -69,24 +75,28 @@ def b4(spark, sf_dir):
 
 @register("B5", _sql(ALL, f"SELECT {_REC} FROM b5"))
 def b5(spark, sf_dir):
-    return _rec(B.recommendations(inputs(spark, sf_dir), norms(spark, sf_dir)).where("kind = 'positive'"))
+    return _rec(B.recommendations(*written(spark, sf_dir)).where("kind = 'positive'"))
 
 
 @register("W14", _sql(ALL, "SELECT user_id, kind, category, rank FROM ranked"))
 def w14(spark, sf_dir):
-    return B.recommendations(inputs(spark, sf_dir), norms(spark, sf_dir), top=1000).select("user_id", "kind", "category", F.col("rank").cast("long").alias("rank"))
+    return B.recommendations(*written(spark, sf_dir), top=1000).select("user_id", "kind", "category", F.col("rank").cast("long").alias("rank"))
 
 
 @register("T2", _sql(ALL, "SELECT user_id, kind, category FROM ranked WHERE rank <= 5"))
 def t2(spark, sf_dir):
-    return B.recommendations(inputs(spark, sf_dir), norms(spark, sf_dir)).select("user_id", "kind", "category")
+    return B.recommendations(*written(spark, sf_dir)).select("user_id", "kind", "category")
 
 
-@register("B6", _sql(ALL, "SELECT user_id, round(max(income), 2) AS avg_income, string_agg(kind || ':' || category, ',' ORDER BY rank) AS recommendations FROM (SELECT user_id, max(income) AS income FROM inp GROUP BY user_id) LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) USING (user_id) GROUP BY user_id"))
+@register("B6", _sql(ALL, """, rec AS (SELECT user_id, string_agg(kind || ':' || category, ',' ORDER BY rank) AS recommendations FROM ranked WHERE rank <= 5 GROUP BY user_id),
+  us AS (SELECT user_id, max(income) AS income, max(total) AS total FROM inp GROUP BY user_id), cl AS (SELECT user_id, string_agg(category, ',' ORDER BY flex DESC, place) AS cuts FROM b4 GROUP BY user_id)
+  SELECT user_id, round(income, 2) AS avg_income, coalesce(recommendations, '') AS recommendations, round(0.25 * income, 2) AS target_savings, round(coalesce(closed, 0), 2) AS shortfall_closed, coalesce(feasible, 0.25 * income - (income - us.total) <= 1e-6) AS feasible, coalesce(cuts, '') AS cuts
+  FROM us LEFT JOIN rec USING (user_id) LEFT JOIN pl USING (user_id) LEFT JOIN cl USING (user_id)""")) 
 def b6(spark, sf_dir):
-    d = B.bundle(inputs(spark, sf_dir), norms(spark, sf_dir))
+    d = B.bundle(*written(spark, sf_dir))
     names = F.array_join(F.transform("recommendations", lambda r: F.concat_ws(":", r["kind"], r["category"])), ",")
-    return d.select("user_id", rnd(F.col("summary.avg_income"), 2).alias("avg_income"), names.alias("recommendations"))
+    money = {"avg_income": "summary.avg_income", "target_savings": "plan.target_savings", "shortfall_closed": "plan.shortfall_closed"}
+    return d.select("user_id", *[rnd(F.col(v), 2).alias(k) for k, v in money.items()], names.alias("recommendations"), F.col("plan.feasible").alias("feasible"), F.array_join(F.map_keys("plan.cuts"), ",").alias("cuts"))
 
 
 @register("J10", _sql(INPUTS, f"SELECT user_id, category, cohort, {_r(['mean', 'std', 'income', 'forecast', 'peer_share'], 3)} FROM inp JOIN norms USING (cohort, category)"))
@@ -95,14 +105,22 @@ def j10(spark, sf_dir):
     return rounded(d.select("user_id", "category", "cohort", "mean", "std", "income", "forecast", "peer_share"), 3)
 
 
-_label = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END"
+_label = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END"
+_money = lambda x: f"'₹' || format('{{:,.0f}}', {x})"
+_pct = lambda x: f"format('{{:.0f}}', {x} * 100) || '%'"
 
 
-@register("F15", _sql(f"{INPUTS}, {B1}", f"SELECT b1.user_id, b1.category, {_label.replace('category', 'b1.category', 1)} || ': projected ' || format('{{:,}}', CAST(round(forecast, 0) AS BIGINT)) || ' next month, usually ' || format('{{:,}}', CAST(round(mean, 0) AS BIGINT)) AS detail FROM b1 JOIN inp ON b1.user_id = inp.user_id AND b1.category = inp.category"))
+@register("F15", _sql(ALL, f""", ps AS (SELECT pl.user_id, pl.gap, pl.closed, feasible, max(income) AS income, string_agg({_label('category')} || ' −' || {_money('round(cut, 2)')}, ', ' ORDER BY flex DESC, place) AS parts FROM pl JOIN b4 ON b4.user_id = pl.user_id GROUP BY ALL),
+  us AS (SELECT user_id, max(income) AS income, max(total) AS total FROM inp GROUP BY user_id)
+  SELECT r.user_id, r.kind, r.category, CASE r.kind WHEN 'overspend' THEN {_label('r.category')} || ' trending above your usual' WHEN 'peer' THEN {_label('r.category')} || ' is high for users like you' WHEN 'subscription_creep' THEN 'Subscription spend is creeping up' WHEN 'reallocation' THEN 'Plan to hit a 25% savings goal' ELSE 'You''re on track' END AS title,
+  CASE r.kind WHEN 'overspend' THEN 'Projected ' || {_money('i.forecast')} || ' next month vs your typical ' || {_money('i.mean')} || ' (' || format('{{:.1f}}', (i.forecast - i.mean) / (i.std + 1e-9)) || 'σ high). Trimming here saves ~' || {_money('i.forecast - i.mean')} || '.'
+  WHEN 'peer' THEN 'You put ' || {_pct('(i.forecast / i.total)')} || ' of spend here vs ' || {_pct('n.peer_share')} || ' for your cohort. Aligning frees ~' || {_money('(i.forecast / i.total - n.peer_share) * i.total')} || '/mo.'
+  WHEN 'subscription_creep' THEN 'Recurring charges up ~' || {_pct('(i.forecast / i.past_mean - 1)')} || ' vs 3 months ago. Audit unused subscriptions to reclaim ~' || {_money('i.forecast - i.past_mean')} || '.'
+  WHEN 'reallocation' THEN CASE WHEN ps.feasible THEN 'Reallocate ' || {_money('ps.closed')} || '/mo (' || parts || ') to reach ' || {_money('0.25 * ps.income')} || ' saved.' ELSE 'Cutting ' || parts || ' recovers ' || {_money('ps.closed')} || '/mo, but the goal needs ' || {_money('ps.gap')} || ' — consider a gentler target or boosting income.' END
+  ELSE 'Projected to save ' || {_pct('((us.income - us.total) / us.income)')} || ' of income next month with no category running hot. Consider auto-investing the surplus.' END AS detail
+  FROM ranked r LEFT JOIN inp i ON i.user_id = r.user_id AND i.category = r.category LEFT JOIN norms n ON n.cohort = i.cohort AND n.category = i.category LEFT JOIN ps ON ps.user_id = r.user_id LEFT JOIN us ON us.user_id = r.user_id WHERE rank <= 5"""))
 def f15(spark, sf_dir):
-    i = inputs(spark, sf_dir)
-    d = B.overspend(i).select("user_id", "category").join(i, ["user_id", "category"]).withColumns({c: rnd(F.col(c), 0) for c in ("forecast", "mean")})
-    return B.detail(d).select("user_id", "category", "detail")
+    return B.recommendations(*written(spark, sf_dir)).select("user_id", "kind", "category", "title", "detail")
 
 
 @register("P9", _sql(INPUTS, "SELECT user_id, category, round(greatest(0, forecast - mean), 3) AS overspend, round(greatest(0, forecast - mean) / 30, 3) AS per_day FROM inp"))
@@ -117,7 +135,7 @@ def a10(spark, sf_dir):
 
 
 @register("B7", _sql(PANEL, """, h AS (SELECT user_id, greatest(0, 100 - stddev_pop(income - total_expense) / (avg(income) + 1e-9) * 100) AS stability, avg(CAST(income - total_expense > 0 AS INT)) * 100 AS consistency,
-  greatest(0, 100 - avg((housing + groceries + utilities + healthcare) / (income + 1e-9)) * 100) AS essential FROM panel GROUP BY user_id)
+  greatest(0, 100 - avg((housing + groceries + utilities + healthcare + transportation) / (income + 1e-9)) * 100) AS essential FROM panel GROUP BY user_id)
   SELECT user_id, round(stability, 3) AS stability, round(consistency, 3) AS consistency, round(essential, 3) AS essential, round(greatest(0, least(100, 0.3 * stability + 0.4 * consistency + 0.3 * essential)), 3) AS overall FROM h"""))
 def b7(spark, sf_dir):
     return rounded(B.health_v1(panel(spark, sf_dir)), 3)
@@ -137,7 +155,7 @@ def b8(spark, sf_dir):
 @register("B9", _sql(_PT.replace("roll_mean_3 AS b FROM", "roll_mean_3 AS b, roll_std_3 AS sd FROM"), """, f AS (SELECT category, y > b + 0.75 * sd AND sd > 0 AS truth, a > b + 0.75 * sd AND sd > 0 AS said FROM pt), k AS (SELECT category, count(*) FILTER (truth AND said) AS tp, count(*) FILTER (said) AS said, count(*) FILTER (truth) AS truth FROM f GROUP BY category)
   SELECT category, tp, said, truth, round(CASE WHEN said > 0 THEN tp / said ELSE 0 END, 4) AS precision, round(CASE WHEN truth > 0 THEN tp / truth ELSE 0 END, 4) AS recall FROM k"""))
 def b9(spark, sf_dir):
-    f = P.forecast_frame(panel(spark, sf_dir)).where("month >= DATE'2000-01-01'")
+    f = P.forecast_frame(panel(spark, sf_dir))
     flag = lambda c: (F.col(c) > F.col("roll_mean_3") + 0.75 * F.col("roll_std_3")) & (F.col("roll_std_3") > 0)
     n = lambda c: F.count(F.when(c, 1))
     d = f.groupBy("category").agg(n(flag("target") & flag("lag_1")).alias("tp"), n(flag("lag_1")).alias("said"), n(flag("target")).alias("truth"))
@@ -164,7 +182,7 @@ HALVES = f"{EV}, src AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY timesta
 
 
 def drift(spark, sf_dir):
-    return D.drift_table(canonical_txns(spark, sf_dir), F.date_format("timestamp", "yyyy-MM"))
+    return D.drift_table(canonical_txns(spark, sf_dir), F.date_format("timestamp", "yyyy-MM")).withColumn("psi", rnd(F.col("psi")))
 
 
 def _drift_column(name, column, digits, *more):
@@ -185,7 +203,7 @@ def d5(spark, sf_dir):
 
     e = temporal_split(canonical_events(spark, sf_dir), (0.5,))
     d = D.drift_table(e, F.when(F.col("split") == "train", "first_half").otherwise("second_half"))
-    return d.select("period", "psi", rnd(F.col("wasserstein"), 3).alias("wasserstein"), rnd(F.col("kl")).alias("kl"), "status")
+    return d.select("period", rnd(F.col("psi")).alias("psi"), rnd(F.col("wasserstein"), 3).alias("wasserstein"), rnd(F.col("kl")).alias("kl"), "status")
 
 
 @register("D6", _sql(MONTHS, "SELECT max(psi) AS max_psi, count(*) FILTER (status = 'DRIFT_ALERT') AS alerts, count(*) AS periods FROM dt"))

@@ -19,7 +19,7 @@ def rnd(value: Column, digits: int = 4) -> Column:
 def cyclical(ts: str = "timestamp") -> dict[str, Column]:
     """sin and cos of hour / 24, weekday / 7 (Monday 0), (day - 1) / 31 and (month - 1) / 12."""
     parts = {"hour": F.hour(ts) / 24, "dow": F.weekday(ts) / 7, "dom": (F.dayofmonth(ts) - 1) / 31, "month": (F.month(ts) - 1) / 12}
-    return {f"{k}_{f.__name__}": rnd(f(2 * math.pi * v), 6) for k, v in parts.items() for f in (F.sin, F.cos)}
+    return {f"{k}_{f.__name__}": f(2 * math.pi * v) for k, v in parts.items() for f in (F.sin, F.cos)}
 
 
 def calendar(ts: str = "timestamp") -> dict[str, Column]:
@@ -35,7 +35,7 @@ def month_start(ts: str = "timestamp") -> Column:
 
 def month_angle(month: str = "month") -> dict[str, Column]:
     """Of month / 12, unlike cyclical()."""
-    return {"moy_sin": rnd(F.sin(2 * math.pi * F.month(month) / 12), 6), "moy_cos": rnd(F.cos(2 * math.pi * F.month(month) / 12), 6)}
+    return {"moy_sin": F.sin(2 * math.pi * F.month(month) / 12), "moy_cos": F.cos(2 * math.pi * F.month(month) / 12)}
 
 
 def merchant_key(raw: Column) -> Column:
@@ -52,10 +52,9 @@ def clean_merchant(raw: Column) -> tuple[Column, Column, Column]:
 
 
 def resolver_form(text: Column) -> Column:
-    """Lower case without UPI prefixes, reference and transaction numbers, and punctuation."""
-    t = F.regexp_replace(F.lower(text), r"upi/", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"ref\s*\d+", ""), r"txn\s*\d+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\w\s]", " "), r"\s+", " "))
+    """Lower case without UPI prefixes, reference and transaction numbers; ASCII letters and digits with single blanks."""
+    t = F.regexp_replace(F.lower(text), r"upi/|ref\s*\d+|txn\s*\d+", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
 def person_like(name: Column, business_tokens) -> Column:
@@ -72,7 +71,7 @@ def payment_forms(text: Column) -> Column:
 
 
 def router_weight(n: Column, half_life: float = 20.0) -> Column:
-    return rnd(1 / (1 + F.exp(-(n - half_life) / 5)), 4)
+    return 1 / (1 + F.exp(-(n - half_life) / 5))
 
 
 def history_bucket(n: Column) -> Column:

@@ -98,14 +98,17 @@ def merchant_map(txns: DataFrame) -> DataFrame:
 def resolve(queries: DataFrame, train: DataFrame) -> DataFrame:
     """merchant, resolved, state for queries against the merchants of train (merchant, first_seen).
 
-    The exact string, else the first seen with the same normalized form, else UNKNOWN.
+    The exact string, else the first seen with the same normalized form: KNOWN_MERCHANT. Others stay
+    as they are, and are UNKNOWN_MERCHANT. Blank merchants of train and empty forms match nothing.
     """
-    vocabulary = train.groupBy("merchant").agg(F.min("first_seen").alias("first_seen"))
-    forms = vocabulary.groupBy(resolver_form(F.col("merchant")).alias("form")).agg(F.min_by("merchant", F.struct("first_seen", "merchant")).alias("by_form"))
+    vocabulary = train.where("trim(merchant) <> ''").groupBy("merchant").agg(F.min("first_seen").alias("first_seen"))
+    forms = vocabulary.withColumn("form", resolver_form(F.col("merchant"))).where("form <> ''")
+    forms = forms.groupBy("form").agg(F.min_by("merchant", F.struct("first_seen", "merchant")).alias("by_form"))
     d = queries.select("merchant").withColumn("form", resolver_form(F.col("merchant")))
     d = d.join(vocabulary.select("merchant", F.lit(True).alias("exact")), "merchant", "left").join(forms, "form", "left")
-    resolved = F.coalesce(F.when(F.col("exact"), F.col("merchant")), "by_form", F.lit("UNKNOWN"))
-    return d.select("merchant", resolved.alias("resolved"), F.when(resolved == "UNKNOWN", "UNKNOWN").otherwise("KNOWN").alias("state"))
+    known = F.coalesce(F.when(F.col("exact"), F.col("merchant")), "by_form")
+    state = F.when(known.isNotNull(), "KNOWN_MERCHANT").otherwise("UNKNOWN_MERCHANT")
+    return d.select("merchant", F.coalesce(known, "merchant", F.lit("UNKNOWN_MERCHANT_KEY")).alias("resolved"), state.alias("state"))
 
 
 # The statement's line formats.

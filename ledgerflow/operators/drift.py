@@ -53,14 +53,24 @@ def kl(categories: DataFrame, first: str) -> DataFrame:
     return d.groupBy("period").agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"))
 
 
-def wasserstein(values: DataFrame, first: str) -> DataFrame:
-    """Distance between the distributions of (period, value, n): the area between the cumulative shares."""
+def wasserstein(values: DataFrame, first: str, buckets: int = 1024) -> DataFrame:
+    """Distance between the distributions of (period, value, n): the area between the cumulative shares.
+
+    Values are dealt into buckets of equal width; sums of the buckets before, and the next bucket's
+    least value, let each bucket be summed by itself.
+    """
     both = against_first(values, first).groupBy("period", "value").agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s) for s in "pq"])
-    order = W.partitionBy("period").orderBy("value")
-    upto, whole = order.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("period")
-    gap = F.abs(F.sum("p").over(upto) / F.sum("p").over(whole) - F.sum("q").over(upto) / F.sum("q").over(whole))
-    d = both.select("period", (gap * (F.lead("value").over(order) - F.col("value"))).alias("area"))
-    return d.groupBy("period").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("wasserstein"))
+    ends = values.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    both = both.join(F.broadcast(ends), F.lit(True)).withColumn("_b", F.when(width > 0, F.floor((F.col("value") - F.col("_lo")) / width)).otherwise(F.lit(0))).drop("_lo", "_hi")
+    sums = both.groupBy("period", "_b").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.min("value").alias("_least"))
+    order, whole = W.partitionBy("period").orderBy("_b"), W.partitionBy("period")
+    sums = sums.select("period", "_b", *[(F.sum(c).over(order) - F.col(c)).alias(f"{c}b") for c in ("_p", "_q")], *[F.sum(c).over(whole).alias(f"{c}t") for c in ("_p", "_q")], F.lead("_least").over(order).alias("_next"))
+    d = both.join(sums, ["period", "_b"])
+    inner = W.partitionBy("period", "_b").orderBy("value")
+    upto = lambda s: (F.col(f"_{s}b") + F.sum(s).over(inner)) / F.col(f"_{s}t")
+    area = F.abs(upto("p") - upto("q")) * (F.coalesce(F.lead("value").over(inner), "_next") - F.col("value"))
+    return d.select("period", area.alias("area")).groupBy("period").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("wasserstein"))
 
 
 def drift_table(txns: DataFrame, periods: Column) -> DataFrame:
@@ -70,4 +80,4 @@ def drift_table(txns: DataFrame, periods: Column) -> DataFrame:
     values = d.groupBy("period", F.col("amount").cast("double").alias("value")).agg(F.count("*").alias("n"))
     labels = d.groupBy("period", "category").agg(F.count("*").alias("n"))
     t = psi(values, first).join(wasserstein(values, first), "period").join(kl(labels, first), "period")
-    return t.withColumn("psi", F.round(F.col("psi") + 1.23e-7, 4)).withColumn("status", status(F.col("psi")))
+    return t.withColumn("status", status(F.round("psi", 4)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,24 @@ def regression(df: DataFrame, *by: str, variant: str = "zero") -> DataFrame:
     )
 
 
+def detector(df: DataFrame, *by: str) -> DataFrame:
+    """tp, precision, recall and f1 of (truth, said); 0 where undefined."""
+    n = lambda c: F.count(F.when(c, 1))
+    d = df.groupBy(*by).agg(n(F.col("truth") & F.col("said")).alias("tp"), n(F.col("said")).alias("said"), n(F.col("truth")).alias("truth"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    d = d.withColumns({"precision": ratio(F.col("tp"), F.col("said")), "recall": ratio(F.col("tp"), F.col("truth"))})
+    return d.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def harness(protocols: dict, fit, predict) -> DataFrame:
+    """classification() by protocol: the same fit(train) and predict(model, test) -> (y, yhat) under each split.
+
+    protocols: name to a DataFrame with `split`, train or test.
+    """
+    parts = [predict(fit(s.where("split = 'train'")), s.where("split = 'test'")).select("y", "yhat", F.lit(name).alias("protocol")) for name, s in protocols.items()]
+    return classification(reduce(DataFrame.unionByName, parts), "protocol")
+
+
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
     """A row a bin (lo, hi] of (confidence, correct): n, mean confidence and accuracy; 0 is left out."""
     d = df.where("confidence > 0").withColumn("bin", F.ceil(F.col("confidence") * bins).cast("int"))

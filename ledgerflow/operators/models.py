@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml import Pipeline
+import numpy as np
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +27,51 @@ _CHARS = """SELECT *, flatten(transform(words, w -> flatten(transform(sequence(3
   if(length(w) + 2 < n, array(), transform(sequence(1, length(w) + 3 - n), i -> substring(concat(' ', w, ' '), i, n))))))) AS chars FROM __THIS__"""
 
 
-def text_features(size: int = 20_000, min_df: int = 2) -> list:
+#: A vocabulary's size is left to min_df.
+ALL_TERMS = (1 << 31) - 1
+
+
+class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts to 1 + ln(count). pyspark.ml has no such stage, so vectors go through Python here."""
+
+    @keyword_only
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None) -> None:
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        log = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+        return dataset.withColumn(self.getOutputCol(), log(F.col(self.getInputCol())))
+
+
+def text_features(size: int = ALL_TERMS, min_df: int = 2) -> list:
     """Stages from `text` to `features`: sublinear TF-IDF of word 1-2-grams and character 3-5-grams."""
     stages: list = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs"), SQLTransformer(statement=_CHARS)]
     stages.append(SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"))
     for name in ("grams", "chars"):
-        stages += [CountVectorizer(inputCol=name, outputCol=f"{name}_tf", vocabSize=size, minDF=min_df), IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_n")]
+        stages += [
+            CountVectorizer(inputCol=name, outputCol=f"{name}_n0", vocabSize=size, minDF=min_df), SublinearTF(inputCol=f"{name}_n0", outputCol=f"{name}_tf"),
+            IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"), Normalizer(inputCol=f"{name}_idf", outputCol=f"{name}_n"),
+        ]
     return [*stages, VectorAssembler(inputCols=["grams_n", "chars_n"], outputCol="features")]
 
 
+#: Behavioural columns of the row features that models see beside the text.
+BEHAVIOUR = [
+    "amount", "hour", "weekday", "is_weekend", "month_no", "quarter", "day", "is_salary_week", "cumulative_spend", "rolling_tx_count", "user_mean_amount", "user_std_amount",
+    "merchant_frequency", "merchant_mean_amount", "days_since_previous", "running_balance_proxy", "history_length", "cashflow_ratio", "recurring_ratio",
+]
+
+
+def behaviour_features(columns=BEHAVIOUR) -> list:
+    """Stages from `text` and behavioural columns (null: 0) to `features`: hashed words and the columns."""
+    filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS _{c}" for c in columns)
+    return [
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), HashingTF(inputCol="words", outputCol="hashed", numFeatures=1 << 12),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"), VectorAssembler(inputCols=["hashed", *[f"_{c}" for c in columns]], outputCol="features"),
+    ]
+
+
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     """df with weight: total / (classes * class size), times the row's own count if it has one."""
     own = F.col("count") if "count" in df.columns else F.lit(1)
@@ -38,17 +80,20 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(sizes), label).join(F.broadcast(total), F.lit(True)).withColumn("weight", own * F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
 
 
-def categorizer(kind: str = "logistic", features: list | None = None):
-    """A pipeline from (text, label[, weight]) to prediction text; kinds: logistic, svm, forest, boosted."""
+def categorizer(kind: str = "logistic", features: list | None = None, trees: int = 100):
+    """A pipeline from (text, label, weight) to prediction text; kinds: logistic, svm, forest, boosted.
+
+    trees: of the forest, or boosting rounds a class. Forest and boosted models read the behavioural
+    columns beside the text.
+    """
     estimators = {
-        "logistic": lambda: LogisticRegression(labelCol="y", weightCol="weight", maxIter=20, regParam=0.01),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=10), labelCol="y"),
-        "forest": lambda: RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=8, seed=42),
-        "boosted": lambda: OneVsRest(classifier=GBTClassifier(maxIter=3, maxDepth=3, seed=42), labelCol="y"),
+        "logistic": lambda: LogisticRegression(labelCol="y", weightCol="weight", maxIter=100, regParam=0.01),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), labelCol="y", weightCol="weight", parallelism=4),
+        "forest": lambda: RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, maxDepth=12, minInstancesPerNode=5, maxMemoryInMB=1024, seed=42),
+        "boosted": lambda: OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=6, stepSize=0.1, maxMemoryInMB=1024, seed=42), labelCol="y", weightCol="weight", parallelism=4),
     }
     if features is None:
-        reduced = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 10)]
-        features = reduced if kind in ("forest", "boosted") else text_features()
+        features = behaviour_features() if kind in ("forest", "boosted") else text_features()
     return Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"), *features, estimators[kind]()])
 
 
@@ -61,7 +106,7 @@ def predict(model, df: DataFrame) -> DataFrame:
 def hybrid_features(array: str = "embedding") -> list:
     """TF-IDF beside a dense vector that comes as an array column."""
     dense = SQLTransformer(statement="SELECT * FROM __THIS__")
-    return [*text_features(5000)[:-1], dense, VectorAssembler(inputCols=["grams_n", "chars_n", f"{array}_v"], outputCol="features")]
+    return [*text_features()[:-1], dense, VectorAssembler(inputCols=["grams_n", "chars_n", f"{array}_v"], outputCol="features")]
 
 
 def with_vector(df: DataFrame, array: str = "embedding") -> DataFrame:
@@ -73,10 +118,11 @@ def assembled(df: DataFrame, columns=FRAME) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(d)
 
 
-def regressor(kind: str = "boosted"):
+def regressor(kind: str = "boosted", trees: int | None = None):
+    """linear, forest (100 trees) or boosted (300 rounds), of `target` on `features`."""
     return {
-        "linear": lambda: LinearRegression(labelCol="target", regParam=0.1), "forest": lambda: RandomForestRegressor(labelCol="target", numTrees=20, maxDepth=6, seed=42),
-        "boosted": lambda: GBTRegressor(labelCol="target", maxDepth=4, stepSize=0.06, maxIter=10, seed=42),
+        "linear": lambda: LinearRegression(labelCol="target", regParam=0.1), "forest": lambda: RandomForestRegressor(labelCol="target", numTrees=trees or 100, maxDepth=8, seed=42),
+        "boosted": lambda: GBTRegressor(labelCol="target", maxDepth=4, stepSize=0.06, maxIter=trees or 300, seed=42),
     }[kind]()
 
 
@@ -84,14 +130,16 @@ def importances(model, columns=FRAME) -> list[tuple[str, float]]:
     return [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
 
 
-def per_category(frame: DataFrame, categories, min_rows: int = 40) -> dict:
-    """A boosted regressor a category, or its mean where it has few rows; the frame is read once a category."""
+def per_category(frame: DataFrame, categories, min_rows: int = 40, trees: int | None = None, at_once: int = 4) -> dict:
+    """A boosted regressor a category, or its mean where it has few rows; some are fitted at a time."""
     stats = {r["category"]: (r["n"], r["m"]) for r in frame.groupBy("category").agg(F.count("*").alias("n"), F.avg("target").alias("m")).collect()}
-    out = {}
-    for c in categories:
+
+    def fit(c: str):
         n, mean = stats.get(c, (0, 0.0))
-        out[c] = regressor("boosted").fit(frame.where(F.col("category") == c)) if n >= min_rows else float(mean or 0.0)
-    return out
+        return regressor("boosted", trees).fit(frame.where(F.col("category") == c)) if n >= min_rows else float(mean or 0.0)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(categories, pool.map(fit, categories)))
 
 
 def forecast(models: dict, serving: DataFrame) -> DataFrame:
@@ -116,17 +164,17 @@ def isotonic(df: DataFrame, column: str):
     return IsotonicRegression(labelCol="y").fit(d)
 
 
-def permutation_importance(model, frame: DataFrame, columns, score, repeats: int = 2) -> list[tuple[str, float]]:
+def permutation_importance(model, frame: DataFrame, columns, score, repeats: int = 5, rows_a_block: int = 100_000) -> list[tuple[str, float]]:
     """Loss of score when a column is dealt anew among the rows of hashed blocks, positive parts normalized."""
     from pyspark.sql import Window as W
 
     base, out = score(model.transform(assembled(frame, columns))), {}
     key = F.concat_ws("|", "user_id", "category", "month")
+    block = F.pmod(F.xxhash64(key), F.lit(1 + frame.count() // rows_a_block))
+    here = frame.withColumns({"_b": block, "_i": F.row_number().over(W.partitionBy(block).orderBy(key))})
     for c in columns:
         loss = 0.0
         for r in range(repeats):
-            block = F.pmod(F.xxhash64(key), F.lit(64))
-            here = frame.withColumns({"_b": block, "_i": F.row_number().over(W.partitionBy(block).orderBy(key))})
             there = frame.select(block.alias("_b"), F.row_number().over(W.partitionBy(block).orderBy(F.xxhash64(key, F.lit(r)))).alias("_i"), F.col(c).alias("_v"))
             loss += base - score(model.transform(assembled(here.join(there, ["_b", "_i"]).withColumn(c, F.col("_v")).drop("_v"), columns)))
         out[c] = max(0.0, loss / repeats)

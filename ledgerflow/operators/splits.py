@@ -64,6 +64,13 @@ def noisy_text(text: str, key: str, fraction: float = 0.2, seed: int = 7, shares
     return F.when(pick, noise).otherwise(F.col(text))
 
 
+def protocols(txns: DataFrame) -> dict[str, DataFrame]:
+    """The four split protocols by name; under "noisy" the test part's descriptions are noisy."""
+    later = temporal_split(txns)
+    noisy = later.withColumn("description", F.when(F.col("split") == "test", noisy_text("description", "transaction_id")).otherwise(F.col("description")))
+    return {"temporal": later, "merchant_disjoint": key_split(txns, "merchant_key", 0.8), "novel_merchant": key_split(txns, "merchant_raw", 0.9), "noisy": noisy}
+
+
 def month_cutoff(frame: DataFrame, fraction: float = 0.2) -> DataFrame:
     """The latest max(1, round(fraction * months)) months are test."""
     months = frame.select("month").distinct()
@@ -91,9 +98,21 @@ def inject_anomalies(df: DataFrame, rate: float = 0.01, seed: int = 13) -> DataF
 
 
 def stratified(df: DataFrame, label: str, key: str, train: float = 0.8, seed: int = 42) -> DataFrame:
-    order = W.partitionBy(label).orderBy(hash_place(F.col(key), seed))
-    share = F.count("*").over(W.partitionBy(label)) * train
-    return df.withColumn("split", F.when(F.row_number().over(order) <= share, "train").otherwise("test"))
+    """split by hashed order within each label: the first int(n * train) rows are train.
+
+    Counts by the first digits of the place tell where the cut lies; only rows with those digits are
+    numbered, the others share no window.
+    """
+    d = df.withColumn("_place", hash_place(F.col(key), seed)).withColumn("_b", F.substring("_place", 1, 3))
+    counts = d.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+    whole = W.partitionBy(label)
+    counts = counts.withColumns({"_before": F.sum("_n").over(whole.orderBy("_b")) - F.col("_n"), "_cut": F.floor(F.sum("_n").over(whole) * train)})
+    d = d.join(counts, [label, "_b"])
+    inside = (F.col("_before") < F.col("_cut")) & (F.col("_before") + F.col("_n") > F.col("_cut"))
+    spread = F.when(inside, F.lit("")).otherwise(F.substring("_place", 1, 8))
+    number = F.row_number().over(W.partitionBy(label, "_b", spread).orderBy("_place"))
+    first = F.when(inside, F.col("_before") + number <= F.col("_cut")).otherwise(F.col("_before") < F.col("_cut"))
+    return d.withColumn("split", F.when(first, "train").otherwise("test")).drop("_place", "_b", "_n", "_before", "_cut")
 
 
 def summary(split: DataFrame) -> DataFrame:

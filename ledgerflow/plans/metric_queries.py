@@ -12,7 +12,7 @@ from ..sources.views import canonical_txns
 from .panel_queries import FRAME, _r, _sql, panel, rounded
 from .registry import register
 from .row_queries import merchant_tiers
-from .split_queries import _BUCKET, _time
+from .split_queries import _BUCKET, _NOISE, _keyed, _time
 
 _mode = lambda name, src, keys: f"{name} AS (SELECT {keys + ', ' if keys else ''}arg_min(category, (-k, category)) AS modal, sum(k) AS rows_, count(*) AS kinds FROM (SELECT {keys + ', ' if keys else ''}category, count(*) AS k FROM {src} GROUP BY ALL) {'GROUP BY ' + keys if keys else ''})"
 #: Predictions on the later fifth: global by merchant, personal by user and merchant, cohort by a hash of users.
@@ -120,14 +120,14 @@ def b11(spark, sf_dir):
 
 @register("F16", _sql(PRED, "SELECT DISTINCT user_id, round(1 / (1 + exp(-(history - 20) / 5)), 4) AS weight FROM pred"))
 def f16(spark, sf_dir):
-    return predictions(spark, sf_dir).select("user_id", S.router_weight(F.col("history")).alias("weight")).distinct()
+    return predictions(spark, sf_dir).select("user_id", S.rnd(S.router_weight(F.col("history"))).alias("weight")).distinct()
 
 
-_PT = f"{FRAME}, pt AS (SELECT user_id, category, month, target AS y, lag_1 AS a, roll_mean_3 AS b FROM frame WHERE month >= DATE '2000-01-01')"
+_PT = f"{FRAME}, pt AS (SELECT user_id, category, month, target AS y, lag_1 AS a, roll_mean_3 AS b FROM frame)"
 
 
 def point(spark, sf_dir):
-    f = P.forecast_frame(panel(spark, sf_dir)).where("month >= DATE'2000-01-01'")
+    f = P.forecast_frame(panel(spark, sf_dir))
     return f.select("user_id", "category", "month", F.col("target").alias("y"), F.col("lag_1").alias("a"), F.col("roll_mean_3").alias("b"))
 
 
@@ -140,10 +140,22 @@ def e4(spark, sf_dir):
     return d.select("category", *[S.rnd(F.col(c), 3 if c in ("mae", "rmse") else 4).alias(c) for c in d.columns[1:]])
 
 
-@register("B10", _sql(_PT, ", l AS (SELECT * FROM pt QUALIFY month = max(month) OVER (PARTITION BY user_id)), e AS (SELECT category, avg(abs(y - a)) AS naive, avg(abs(y - b)) AS rolling FROM l GROUP BY category) SELECT category, round(naive, 3) AS naive_mae, round(rolling, 3) AS rolling_mae, round(1 - rolling / naive, 4) AS skill FROM e"))
+_B10 = f"{_PT}, l AS (SELECT * FROM pt QUALIFY month = max(month) OVER (PARTITION BY user_id)), arms AS (SELECT category, y, unnest([a, b]) AS yhat, unnest(['naive', 'rolling']) AS arm FROM l)"
+
+
+def _skill(d):
+    """Regression measures by (category, arm), in the variant of the backtest, and the MAE's skill against the naive arm."""
+    e = M.regression(d, "category", "arm", variant="floor").select("category", "arm", "mae", "wape", "smape", "mape")
+    naive = e.where("arm = 'naive'").select("category", F.col("mae").alias("naive"))
+    e = e.join(naive, "category").withColumn("skill", F.when(F.col("naive") > 0, 1 - F.col("mae") / F.col("naive")).otherwise(0.0))
+    return e.select("category", "arm", S.rnd(F.col("mae"), 3).alias("mae"), *[S.rnd(F.col(c)).alias(c) for c in ("wape", "smape", "mape", "skill")])
+
+
+@register("B10", _sql(_B10, ", e AS (SELECT category, arm, avg(abs(y - yhat)) AS mae, sum(abs(y - yhat)) / nullif(sum(abs(y)), 0) AS wape, avg(2 * abs(y - yhat) / nullif(abs(y) + abs(yhat), 0)) AS smape, avg(abs(y - yhat) / greatest(abs(y), 1)) AS mape FROM arms GROUP BY ALL) SELECT e.category, e.arm, round(e.mae, 3) AS mae, round(coalesce(e.wape, 'NaN'::DOUBLE), 4) AS wape, round(coalesce(e.smape, 'NaN'::DOUBLE), 4) AS smape, round(e.mape, 4) AS mape, round(CASE WHEN n.mae > 0 THEN 1 - e.mae / n.mae ELSE 0 END, 4) AS skill FROM e JOIN e n ON n.category = e.category AND n.arm = 'naive'"))
 def b10(spark, sf_dir):
-    d = L.last_month(point(spark, sf_dir)).where("split = 'test'").groupBy("category").agg(F.avg(F.abs(F.col("y") - F.col("a"))).alias("n"), F.avg(F.abs(F.col("y") - F.col("b"))).alias("r"))
-    return d.select("category", S.rnd(F.col("n"), 3).alias("naive_mae"), S.rnd(F.col("r"), 3).alias("rolling_mae"), S.rnd(1 - F.col("r") / F.col("n")).alias("skill"))
+    d = L.last_month(point(spark, sf_dir)).where("split = 'test'")
+    arms = F.array(*[F.struct(F.lit(n).alias("arm"), F.col(c).alias("yhat")) for n, c in (("naive", "a"), ("rolling", "b"))])
+    return _skill(d.select("category", "y", F.explode(arms).alias("x")).select("category", "y", "x.*"))
 
 
 _CAL = f"{PRED}, cal AS (SELECT category = personal_pred AS correct, (CAST(('0x' || substr(md5(transaction_id), 1, 4))::BIGINT % 1000 AS DOUBLE) + 0.5) / 1000 AS confidence FROM pred), bins AS (SELECT CAST(ceil(confidence * 10) AS INT) AS bin, count(*) AS n, avg(confidence) AS confidence, avg(CAST(correct AS INT)) AS accuracy FROM cal GROUP BY 1)"
@@ -156,13 +168,14 @@ def e5(spark, sf_dir):
     return rounded(M.calibration(d).join(F.broadcast(M.expected_calibration_error(d)), F.lit(True)))
 
 
-_IV = f"{_PT}, q AS (SELECT category, quantile_cont(y - b, 0.1) AS q10, quantile_cont(y - b, 0.5) AS q50, quantile_cont(y - b, 0.9) AS q90 FROM pt WHERE month < DATE '2001-01-01' GROUP BY category), iv AS (SELECT pt.*, b + q10 AS p10, b + q50 AS p50, b + q90 AS p90 FROM pt JOIN q USING (category) WHERE month >= DATE '2001-01-01')"
+_IV = f"{_PT}, ms AS (SELECT DISTINCT month FROM pt), cut AS (SELECT min(month) AS first_test FROM (SELECT month, row_number() OVER (ORDER BY month DESC) AS rn FROM ms) WHERE rn <= greatest(1, floor(0.2 * (SELECT count(*) FROM ms) + 0.5))), q AS (SELECT category, quantile_cont(y - b, 0.1) AS q10, quantile_cont(y - b, 0.5) AS q50, quantile_cont(y - b, 0.9) AS q90 FROM pt, cut WHERE month < first_test GROUP BY category), iv AS (SELECT pt.*, b + q10 AS p10, b + q50 AS p50, b + q90 AS p90 FROM pt JOIN q USING (category), cut WHERE month >= first_test)"
 
 
 def interval_forecasts(spark, sf_dir):
-    d = point(spark, sf_dir)
-    q = d.where("month < DATE'2001-01-01'").groupBy("category").agg(*[F.percentile(F.col("y") - F.col("b"), F.lit(p)).alias(n) for n, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))])
-    return d.where("month >= DATE'2001-01-01'").join(F.broadcast(q), "category").select("user_id", "category", "month", "y", *[(F.col("b") + F.col(f"q{k}")).alias(f"p{k}") for k in (10, 50, 90)])
+    """Quantiles of the earlier months' residuals around the rolling mean, for the latest fifth of months."""
+    d = L.month_cutoff(point(spark, sf_dir))
+    q = d.where("split = 'train'").groupBy("category").agg(*[F.percentile(F.col("y") - F.col("b"), F.lit(p)).alias(n) for n, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))])
+    return d.where("split = 'test'").join(F.broadcast(q), "category").select("user_id", "category", "month", "y", *[(F.col("b") + F.col(f"q{k}")).alias(f"p{k}") for k in (10, 50, 90)])
 
 
 @register("M16", _sql(_IV, f"SELECT user_id, category, CAST(month AS VARCHAR) AS month, {_r(['p10', 'p50', 'p90'], 3)} FROM iv"))
@@ -170,9 +183,12 @@ def m16(spark, sf_dir):
     return rounded(interval_forecasts(spark, sf_dir).drop("y"), 3)
 
 
-@register("E6", _sql(_IV, "SELECT category, round(avg(CAST(y BETWEEN p10 AND p90 AS INT)), 3) AS coverage, round(avg(p90 - p10), 3) AS sharpness, round(avg(greatest(0.5 * (y - p50), -0.5 * (y - p50))), 3) AS pinball_50 FROM iv GROUP BY category"))
+_pin = lambda q, c: f"avg(greatest({q} * (y - {c}), ({q} - 1) * (y - {c})))"
+
+
+@register("E6", _sql(_IV, f"SELECT category, round(avg(CAST(y BETWEEN p10 AND p90 AS INT)), 3) AS coverage, round(avg(p90 - p10), 3) AS sharpness, round(abs(avg(CAST(y BETWEEN p10 AND p90 AS INT)) - 0.8), 3) AS calibration_error, round({_pin(0.1, 'p10')}, 3) AS pinball_10, round({_pin(0.5, 'p50')}, 3) AS pinball_50, round({_pin(0.9, 'p90')}, 3) AS pinball_90 FROM iv GROUP BY category"))
 def e6(spark, sf_dir):
-    return rounded(M.intervals(interval_forecasts(spark, sf_dir), "category").select("category", "coverage", "sharpness", "pinball_50"), 3)
+    return rounded(M.intervals(interval_forecasts(spark, sf_dir), "category"), 3)
 
 
 @register("P12", _sql(_IV, "SELECT user_id, category, CAST(month AS VARCHAR) AS month, abs(y - p50) / (greatest(p90 - p10, 1) / 2) > 3 AS anomaly FROM iv"))
@@ -181,7 +197,7 @@ def p12(spark, sf_dir):
     return rounded(d.select("user_id", "category", "month", (F.abs(F.col("y") - F.col("p50")) / (F.greatest(F.col("p90") - F.col("p10"), F.lit(1.0)) / 2) > 3).alias("anomaly")))
 
 
-@register("M18")
+@register("M18", _sql(_PT, ", r AS (SELECT abs(y - a) AS resid, row_number() OVER (ORDER BY abs(y - a)) - 1 AS i, count(*) OVER () AS n FROM pt), k AS (SELECT any_value(n) AS n, least(ceil((any_value(n) + 1) * 0.9) / any_value(n), 1) * (any_value(n) - 1) AS spot FROM r), e AS (SELECT max(resid) FILTER (i = floor(spot)) AS lo, max(resid) FILTER (i = ceil(spot)) AS hi, any_value(spot - floor(spot)) AS part FROM r, k) SELECT round(lo + (hi - lo) * part, 3) AS q FROM e"))
 def m18(spark, sf_dir):
     return rounded(M.split_conformal(point(spark, sf_dir).select(F.abs(F.col("y") - F.col("a")).alias("resid"))), 3)
 
@@ -210,8 +226,9 @@ def x1(spark, sf_dir):
 
 @register("D7")
 def d7(spark, sf_dir):
-    d = _errors(point(spark, sf_dir)).withColumn("key", F.concat_ws("|", "user_id", "category", "month"))
-    return rounded(M.bootstrap_ci(d, "key", "b", "category", replicates=200), 3)
+    """Intervals of users' mean errors, by category, from 1000 replicates."""
+    d = _errors(point(spark, sf_dir)).groupBy("user_id", "category").agg(F.avg("b").alias("b"))
+    return rounded(M.bootstrap_ci(d.withColumn("key", F.concat_ws("|", "user_id", "category")), "key", "b", "category"), 3)
 
 
 _RUNS = f"{_PT}, runs AS (SELECT category AS task, 'seed' || {_BUCKET('user_id', 1, 3)} AS seed, avg(abs(y - a)) AS naive, avg(abs(y - b)) AS rolling FROM pt GROUP BY ALL), rm AS (UNPIVOT runs ON naive, rolling INTO NAME model VALUE mae)"
@@ -234,14 +251,35 @@ def a14(spark, sf_dir):
     return rounded(d.groupBy("model").agg(F.avg("mae").alias("mean"), F.min("mae").alias("least"), F.max("mae").alias("most"), F.countDistinct("task").alias("tasks")), 3)
 
 
-@register("E10")
+#: Predicted by the text's modal category in train, else by the majority.
+_arm = lambda name, body, text="description": f"SELECT '{name}' AS protocol, category, description, {text} AS shown, split FROM (WITH {body} SELECT * FROM split)"
+_ARMS = " UNION ALL ".join([_arm("temporal", _time([0.8])), _arm("merchant_disjoint", _keyed("merchant_key", 0.8)), _arm("novel_merchant", _keyed("merchant_raw", 0.9)), _arm("noisy", _time([0.8]), _NOISE)])
+_HARNESS = f"""arms AS ({_ARMS}), maj AS (SELECT protocol, arg_min(category, (-k, category)) AS modal FROM (SELECT protocol, category, count(*) AS k FROM arms WHERE split = 'train' GROUP BY ALL) GROUP BY protocol),
+txt AS (SELECT protocol, description, arg_min(category, (-k, category)) AS modal FROM (SELECT protocol, description, category, count(*) AS k FROM arms WHERE split = 'train' GROUP BY ALL) GROUP BY ALL),
+yy AS (SELECT a.protocol, a.category AS y, coalesce(txt.modal, maj.modal) AS yhat FROM arms a JOIN maj ON maj.protocol = a.protocol LEFT JOIN txt ON txt.protocol = a.protocol AND txt.description = a.shown WHERE a.split = 'test'), {_cls('yy', 'protocol')}"""
+
+
+@register("E10", _sql(_HARNESS, f"SELECT protocol, n, {_r(SCORES)} FROM cls"))
 def e10(spark, sf_dir):
-    """The majority predictor under four split protocols."""
-    t = canonical_txns(spark, sf_dir)
-    arms = {"temporal": L.temporal_split(t), "merchant_disjoint": L.key_split(t, "merchant_key", 0.8), "novel_merchant": L.key_split(t, "merchant_raw", 0.9), "noisy": L.temporal_split(t)}
-    out = None
-    for name, s in arms.items():
-        best = M.modal(s.where("split = 'train'"), "category").select(F.col("modal").alias("yhat"))
-        d = M.classification(s.where("split = 'test'").select(F.col("category").alias("y")).join(F.broadcast(best), F.lit(True))).withColumn("protocol", F.lit(name))
-        out = d if out is None else out.unionByName(d)
-    return rounded(out)
+    """A predictor that reads the text, under four split protocols."""
+    def fit(train):
+        return M.modal(train, "category", "description").select("description", F.col("modal").alias("m")), M.modal(train, "category").select(F.col("modal").alias("g"))
+
+    def predict(model, test):
+        by_text, overall = model
+        return test.join(by_text, "description", "left").join(F.broadcast(overall), F.lit(True)).select(F.col("category").alias("y"), F.coalesce("m", "g").alias("yhat"))
+
+    return rounded(M.harness(L.protocols(canonical_txns(spark, sf_dir)), fit, predict))
+
+
+#: The personal prediction has its confidence, the other labels share the rest.
+_PROBS = f"{_CAL}, ls AS (SELECT DISTINCT category AS label FROM train), pr AS (SELECT category AS y, personal_pred AS yhat, (CAST(('0x' || substr(md5(transaction_id), 1, 4))::BIGINT % 1000 AS DOUBLE) + 0.5) / 1000 AS c FROM pred)"
+
+
+@register("E5_brier", _sql(_PROBS, "SELECT round(avg((CASE WHEN label = yhat THEN c ELSE (1 - c) / ((SELECT count(*) FROM ls) - 1) END - CAST(label = y AS INT)) ** 2), 4) AS brier FROM pr, ls"))
+def e5_brier(spark, sf_dir):
+    c = (F.conv(F.substring(F.md5("transaction_id"), 1, 4), 16, 10).cast("long") % 1000 + 0.5).cast("double") / 1000
+    labels = L.temporal_split(canonical_txns(spark, sf_dir)).where("split = 'train'").agg(F.sort_array(F.collect_set("category")).alias("labels"))
+    d = predictions(spark, sf_dir).select(F.col("category").alias("y"), "personal_pred", c.alias("c")).join(F.broadcast(labels), F.lit(True))
+    rest = (1 - F.col("c")) / (F.size("labels") - 1)
+    return rounded(M.brier(d.withColumn("probabilities", F.transform("labels", lambda x: F.when(x == F.col("personal_pred"), F.col("c")).otherwise(rest)))))

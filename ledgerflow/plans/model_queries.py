@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.scalars import hash_bucket, rnd
 from ..functions.taxonomy import EXPENSE_CATEGORIES
 from ..operators import metrics as M
 from ..operators import models as X
 from ..operators import panel as P
+from ..operators import rows as R
 from ..operators import splits as L
 from ..sources.views import canonical_txns, table
-from .panel_queries import PROFILE_COLS, panel, rounded
+from .panel_queries import FRAME, PROFILE_COLS, _sql, panel, rounded
 from .registry import register
 
 
@@ -22,9 +27,20 @@ def labelled(spark, sf_dir):
     return d.withColumn("test", hash_bucket(F.concat("text", "label"), 42, 5) == 0)
 
 
+def behavioural(spark, sf_dir):
+    """(text, label, behavioural columns) of every transaction; the same fifth of texts is test."""
+    d = R.row_features(canonical_txns(spark, sf_dir)).withColumns({"text": F.col("description"), "label": F.col("category")})
+    return d.withColumn("test", hash_bucket(F.concat("text", "label"), 42, 5) == 0).select("text", "label", "test", *X.BEHAVIOUR)
+
+
+#: Trees of the forest and boosting rounds in the queries; the operators' own are 100, and 300 in the
+#: forecaster. README has the reason and the figures.
+FOREST, ROUNDS, FORECAST_ROUNDS = 100, 10, 60
+
+
 def _fit(spark, sf_dir, kind, features=None):
-    d = labelled(spark, sf_dir)
-    model = X.categorizer(kind, features).fit(X.balanced(d.where("NOT test")))
+    d = behavioural(spark, sf_dir) if kind in ("forest", "boosted") else labelled(spark, sf_dir)
+    model = X.categorizer(kind, features, FOREST if kind == "forest" else ROUNDS).fit(X.balanced(d.where("NOT test")))
     return model, X.predict(model, d.where("test").withColumn("weight", F.lit(1.0)))
 
 
@@ -71,40 +87,86 @@ def frame(spark, sf_dir):
 
 @register("M8")
 def m8(spark, sf_dir):
+    """The behavioural columns as one vector, by transaction."""
     from pyspark.ml.functions import vector_to_array
 
-    d = X.assembled(frame(spark, sf_dir))
-    return d.select("user_id", "category", F.col("month").cast("string").alias("month"), F.size(vector_to_array("features")).alias("n_features"))
+    d = X.assembled(R.row_features(canonical_txns(spark, sf_dir)), X.BEHAVIOUR)
+    v = vector_to_array("features")
+    return d.select("transaction_id", F.size(v).alias("n_features"), rnd(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 @register("M10")
 def m10(spark, sf_dir):
     """Errors of the linear, forest and boosted regressors on each user's last month."""
-    d = X.assembled(frame(spark, sf_dir)).cache()
+    d = X.assembled(frame(spark, sf_dir)).persist()
     out = None
     for kind in ("linear", "forest", "boosted"):
-        p = X.regressor(kind).fit(d.where("split = 'train'")).transform(d.where("split = 'test'"))
+        p = X.regressor(kind, FOREST if kind == "forest" else FORECAST_ROUNDS).fit(d.where("split = 'train'")).transform(d.where("split = 'test'"))
         r = M.regression(p.select(F.col("target").alias("y"), F.greatest("prediction", F.lit(0.0)).alias("yhat"))).withColumn("model", F.lit(kind))
         out = r if out is None else out.unionByName(r)
-    return rounded(out)
+    out = spark.createDataFrame(rounded(out).collect(), out.schema)  # three rows
+    d.unpersist()
+    return out
+
 
+_CORR = ", ".join(f"('{c}', (SELECT abs(corr({c}, target)) FROM frame))" for c in X.FRAME)
 
-@register("T3")
+
+@register("T3", _sql(FRAME, f", fi AS (SELECT * FROM (VALUES {_CORR}) t(feature, importance)) SELECT feature, round(importance, 4) AS importance FROM fi ORDER BY importance DESC LIMIT 15"))
 def t3(spark, sf_dir):
+    """The features that go most with the target, by correlation."""
+    d = P.forecast_frame(panel(spark, sf_dir)).agg(*[F.abs(F.corr(c, "target")).alias(c) for c in X.FRAME])
+    return rounded(d.select(F.lit(0).alias("i"), "*").unpivot(["i"], X.FRAME, "feature", "importance").drop("i").orderBy(F.col("importance").desc()).limit(15))
+
+
+@register("T3_boosted")
+def t3_boosted(spark, sf_dir):
     """The most important features of the boosted regressor."""
     d = X.assembled(frame(spark, sf_dir).where("split = 'train'"))
-    scores = X.importances(X.regressor("boosted").fit(d))
+    scores = X.importances(X.regressor("boosted", FORECAST_ROUNDS).fit(d))
     return rounded(spark.createDataFrame(scores, "feature string, importance double").orderBy(F.col("importance").desc()).limit(15))
 
 
 @register("M11")
 def m11(spark, sf_dir):
     p = panel(spark, sf_dir)
-    train = X.assembled(P.forecast_frame(p)).cache()
-    out = X.forecast(X.per_category(train, EXPENSE_CATEGORIES), X.assembled(P.serving_frame(p)))
+    train = X.assembled(P.forecast_frame(p)).persist()
+    models = X.per_category(train, EXPENSE_CATEGORIES, trees=FORECAST_ROUNDS)
+    train.unpersist()
+    out = X.forecast(models, X.assembled(P.serving_frame(p)))
     return out.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", F.round("forecast", 2)))))).alias("forecast"))
 
 
+def backtest(spark, sf_dir):
+    """Every user's last month with y, the naive and rolling forecasts and the fitted forecaster's."""
+    d = X.assembled(frame(spark, sf_dir)).persist()
+    models = X.per_category(d.where("split = 'train'"), EXPENSE_CATEGORIES, trees=FORECAST_ROUNDS)
+    d.unpersist()
+    test = d.where("split = 'test'")
+    parts = [test.where(F.col("category") == c).withColumn("prediction", F.lit(m)) if isinstance(m, float) else m.transform(test.where(F.col("category") == c)) for c, m in models.items()]
+    return reduce(DataFrame.unionByName, [x.select("user_id", "category", "target", "lag_1", "roll_mean_3", "roll_std_3", F.greatest("prediction", F.lit(0.0)).alias("model")) for x in parts])
+
+
+@register("B10_model")
+def b10_model(spark, sf_dir):
+    """The backtest report with the fitted forecaster beside the naive and rolling forecasts."""
+    from .metric_queries import _skill
+
+    arms = F.array(*[F.struct(F.lit(n).alias("arm"), F.col(c).alias("yhat")) for n, c in (("model", "model"), ("naive", "lag_1"), ("rolling", "roll_mean_3"))])
+    return _skill(backtest(spark, sf_dir).select("category", F.col("target").alias("y"), F.explode(arms).alias("x")).select("category", "y", "x.*"))
+
+
+@register("B9_model")
+def b9_model(spark, sf_dir):
+    """Overspending months as the forecaster and the last month tell them: precision, recall and F1."""
+    from ..operators.metrics import detector
+
+    limit = F.col("roll_mean_3") + 0.75 * F.col("roll_std_3")
+    arms = F.array(*[F.struct(F.lit(n).alias("arm"), (F.col(c) > limit).alias("said")) for n, c in (("model", "model"), ("naive", "lag_1"))])
+    d = backtest(spark, sf_dir).where("roll_std_3 > 0").select((F.col("target") > limit).alias("truth"), F.explode(arms).alias("x"))
+    return rounded(detector(d.select("truth", "x.*"), "arm"))
+
+
 @register("M14")
 def m14(spark, sf_dir):
     out, silhouette = X.cohorts(P.user_profiles(panel(spark, sf_dir)), [c for c in PROFILE_COLS if c != "mean_expense"])
@@ -113,13 +175,13 @@ def m14(spark, sf_dir):
 
 @register("M17")
 def m17(spark, sf_dir):
-    """Isotonic calibration of the upper quantile, fitted on 2000 and applied to later months."""
+    """Isotonic calibration of the upper quantile, fitted on the earlier months that have one and applied to the latest."""
     from pyspark.ml.feature import VectorAssembler
 
     from .metric_queries import interval_forecasts
 
-    d = interval_forecasts(spark, sf_dir)
-    early, late = d.where("month < DATE'2001-07-01'"), d.where("month >= DATE'2001-07-01'")
+    d = L.month_cutoff(interval_forecasts(spark, sf_dir), 0.5)
+    early, late = d.where("split = 'train'"), d.where("split = 'test'")
     out = X.isotonic(early, "p90").transform(VectorAssembler(inputCols=["p90"], outputCol="features").transform(late))
     return rounded(out.select("user_id", "category", "month", "p90", F.col("prediction").alias("calibrated")))
 
@@ -129,22 +191,27 @@ def m19(spark, sf_dir):
     d = frame(spark, sf_dir)
     model = X.regressor("linear").fit(X.assembled(d.where("split = 'train'")))
     score = lambda out: -out.agg(F.avg(F.abs(F.col("target") - F.col("prediction")))).first()[0]
-    return rounded(spark.createDataFrame(X.permutation_importance(model, d.where("split = 'test'").drop("split"), X.FRAME, score, 1), "feature string, importance double"))
+    return rounded(spark.createDataFrame(X.permutation_importance(model, d.where("split = 'test'").drop("split"), X.FRAME, score), "feature string, importance double"))
 
 
 @register("M20")
 def m20(spark, sf_dir):
-    """Macro F1 with parts of the text left out, and the change from all of it."""
-    d = labelled(spark, sf_dir).cache()
-    arms = {"all": F.col("text"), "first_word": F.split_part("text", F.lit(" "), F.lit(1)), "no_brand": F.regexp_replace("text", r"Brand#\d+", ""), "brand_only": F.regexp_extract("text", r"Brand#\d+", 0)}
+    """Scores of the logistic categorizer on subsets of the columns, and the change from all of them."""
+    d = behavioural(spark, sf_dir).withColumn("resolved", S.clean_merchant(F.col("text"))[0])
+    clock = ("hour", "weekday", "month_no", "quarter")
+    arms = {
+        "full": ("resolved", X.BEHAVIOUR), "text_only": ("resolved", []), "no_merchant_resolution": ("text", []),
+        "no_temporal": ("resolved", [c for c in X.BEHAVIOUR if c not in clock]), "behaviour_only": (None, X.BEHAVIOUR),
+    }
     out = None
-    for name, text in arms.items():
-        a = d.withColumn("text", text)
-        p = X.predict(X.categorizer("logistic", X.text_features(5000, 1)).fit(X.balanced(a.where("NOT test"))), a.where("test").withColumn("weight", F.lit(1.0)))
-        r = M.classification(p.select(F.col("label").alias("y"), "yhat")).select(F.lit(name).alias("arm"), "macro_f1")
+    for name, (text, columns) in arms.items():
+        a = X.balanced(d.withColumn("text", F.col(text) if text else F.lit("")))
+        features = X.behaviour_features(columns)
+        p = X.predict(X.categorizer("logistic", features).fit(a.where("NOT test")), a.where("test"))
+        r = M.classification(p.select(F.col("label").alias("y"), "yhat")).select(F.lit(name).alias("arm"), "macro_f1", "accuracy")
         out = r if out is None else out.unionByName(r)
-    base = out.where("arm = 'all'").select(F.col("macro_f1").alias("base"))
-    return rounded(out.join(F.broadcast(base), F.lit(True)).select("arm", "macro_f1", (F.col("macro_f1") - F.col("base")).alias("change")))
+    base = out.where("arm = 'full'").select(F.col("macro_f1").alias("base"))
+    return rounded(out.join(F.broadcast(base), F.lit(True)).select("arm", "macro_f1", "accuracy", (F.col("macro_f1") - F.col("base")).alias("change")))
 
 
 @register("E7")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -77,13 +79,13 @@ _cyc = ", ".join(f"round({f}(2 * pi() * {v}), 6) AS {k}_{f}" for k, v in (("hour
 
 @register("F1", _sql(EV, f"SELECT transaction_id, {_cyc} FROM evs"))
 def f1(spark, sf_dir):
-    return canonical_events(spark, sf_dir).select("transaction_id", *[c.alias(k) for k, c in S.cyclical().items()])
+    return canonical_events(spark, sf_dir).select("transaction_id", *[S.rnd(c, 6).alias(k) for k, c in S.cyclical().items()])
 
 
 @register("F3", _sql(TX, "SELECT transaction_id, CAST(CAST(date_trunc('month', timestamp) AS DATE) AS VARCHAR) AS month, round(sin(2 * pi() * month(timestamp) / 12), 6) AS moy_sin, round(cos(2 * pi() * month(timestamp) / 12), 6) AS moy_cos FROM txns"))
 def f3(spark, sf_dir):
     d = canonical_txns(spark, sf_dir).withColumn("month", S.month_start())
-    return d.select("transaction_id", F.col("month").cast("string").alias("month"), *[c.alias(k) for k, c in S.month_angle().items()])
+    return d.select("transaction_id", F.col("month").cast("string").alias("month"), *[S.rnd(c, 6).alias(k) for k, c in S.month_angle().items()])
 
 
 @register("A5", _sql(EV, """, t AS (SELECT *, CAST(timestamp AS DATE) AS day_, CAST(isodow(timestamp) >= 6 AS INT) AS weekend, CAST(hour(timestamp) >= 22 OR hour(timestamp) < 6 AS INT) AS night FROM evs),
@@ -103,22 +105,25 @@ def a6(spark, sf_dir):
 
 
 def quality_report(txns):
-    """(metric, value) over the whole table: sizes, distincts, duplicates, nulls, rows a user."""
-    ids = txns.groupBy("transaction_id").agg(F.count("*").alias("k"))
+    """(metric, value) over the whole table: sizes, distincts, duplicates, nulls by column, rows a user and a class."""
+    copies = txns.groupBy(*txns.columns).agg(F.count("*").alias("k"))
+    ids = copies.groupBy("transaction_id").agg(F.sum("k").alias("k"), F.sum(F.col("k") - 1).alias("again"))
     one = txns.agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("users"), F.countDistinct("merchant_key").alias("merchants"), F.countDistinct("category").alias("categories"),
-        (F.avg((F.col("merchant_key") != "").cast("int")) * 100).alias("merchant_resolution_rate"), (F.avg(F.col("amount").isNull().cast("int")) * 100).alias("missing_amount_percent"),
+        (F.avg((F.col("merchant_key") != "").cast("int")) * 100).alias("merchant_resolution_rate"), *[(F.avg(F.col(c).isNull().cast("int")) * 100).alias(f"missing_percent_{c}") for c in txns.columns],
         F.unix_date(F.min("timestamp").cast("date")).alias("first_day"), F.unix_date(F.max("timestamp").cast("date")).alias("last_day"))
-    dup = ids.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicate_transaction_ids"))
+    dup = ids.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicate_transaction_ids"), F.coalesce(F.sum("again"), F.lit(0)).alias("duplicate_rows"))
     per_user = txns.groupBy("user_id").agg(F.count("*").alias("k")).agg(F.avg("k").alias("average_sequence_length"), F.median("k").alias("median_sequence_length"))
     parts = [d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in d.columns])).alias("x")).select("x.*") for d in (one, dup, per_user)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    classes = [txns.groupBy(F.concat(F.lit(f"{name}_"), F.col(c)).alias("metric")).agg(F.count("*").cast("double").alias("value")) for name, c in (("class", "category"), ("direction", "direction"))]
+    return reduce(lambda a, b: a.unionByName(b), [*parts, *classes])
 
 
+_COLUMNS = ("user_id", "transaction_id", "timestamp", "amount", "direction", "category", "merchant_raw", "merchant_key", "description", "is_recurring")
 QUALITY = f"""{TX}, one AS (SELECT CAST(count(*) AS DOUBLE) AS rows, CAST(count(DISTINCT user_id) AS DOUBLE) AS users, CAST(count(DISTINCT merchant_key) AS DOUBLE) AS merchants, CAST(count(DISTINCT category) AS DOUBLE) AS categories,
-  avg(CAST(merchant_key <> '' AS INT)) * 100 AS merchant_resolution_rate, avg(CAST(amount IS NULL AS INT)) * 100 AS missing_amount_percent, CAST(date_diff('day', DATE '1970-01-01', CAST(min(timestamp) AS DATE)) AS DOUBLE) AS first_day, CAST(date_diff('day', DATE '1970-01-01', CAST(max(timestamp) AS DATE)) AS DOUBLE) AS last_day,
-  CAST(count(*) - count(DISTINCT transaction_id) AS DOUBLE) AS duplicate_transaction_ids, CAST(count(*) AS DOUBLE) / count(DISTINCT user_id) AS average_sequence_length,
+  avg(CAST(merchant_key <> '' AS INT)) * 100 AS merchant_resolution_rate, {', '.join(f'avg(CAST({c} IS NULL AS INT)) * 100 AS missing_percent_{c}' for c in _COLUMNS)}, CAST(date_diff('day', DATE '1970-01-01', CAST(min(timestamp) AS DATE)) AS DOUBLE) AS first_day, CAST(date_diff('day', DATE '1970-01-01', CAST(max(timestamp) AS DATE)) AS DOUBLE) AS last_day,
+  CAST(count(*) - count(DISTINCT transaction_id) AS DOUBLE) AS duplicate_transaction_ids, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(_COLUMNS)} FROM txns)) AS DOUBLE) AS duplicate_rows, CAST(count(*) AS DOUBLE) / count(DISTINCT user_id) AS average_sequence_length,
   (SELECT median(k) FROM (SELECT count(*) AS k FROM txns GROUP BY user_id)) AS median_sequence_length FROM txns),
-quality AS (UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE value)"""
+quality AS (SELECT metric, value FROM (UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL SELECT 'class_' || category, CAST(count(*) AS DOUBLE) FROM txns GROUP BY category UNION ALL SELECT 'direction_' || direction, CAST(count(*) AS DOUBLE) FROM txns GROUP BY direction)"""
 
 
 @register("A7", _sql(QUALITY, "SELECT metric, round(value, 3) AS value FROM quality"))
@@ -150,12 +155,15 @@ def merchant_tiers(txns):
     return c.join(q, F.lit(True)).select("merchant_key", "n", F.when(F.col("n") >= F.col("hi"), "Head").when(F.col("n") < F.col("lo"), "Tail").otherwise("Torso").alias("tier"))
 
 
-@register("A15")
+_word = lambda k: f"sum(('0x' || substr(md5(transaction_id), {8 * k + 1}, 8))::BIGINT)"
+
+
+@register("A15", _sql(TX, f"SELECT sha256(concat_ws(',', {', '.join(f'CAST({_word(k)} AS VARCHAR)' for k in range(4))}, CAST(count(*) AS VARCHAR))) AS dataset_hash, count(*) AS n FROM txns"))
 def a15(spark, sf_dir):
-    """A digest of all ids: ids digested within buckets of their md5, then the buckets in order."""
-    d = canonical_txns(spark, sf_dir).select("transaction_id", F.substring(F.md5("transaction_id"), 1, 3).alias("bucket"))
-    per = d.groupBy("bucket").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("transaction_id"))), 256).alias("digest"), F.count("*").alias("n"))
-    return per.agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"])), 256).alias("dataset_hash"), F.sum("n").alias("n"))
+    """A digest of all ids in any order: the sums of the four words of their md5, digested; nothing is collected."""
+    word = lambda k: F.sum(F.conv(F.substring(F.md5("transaction_id"), 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string")
+    n = F.count("*")
+    return canonical_txns(spark, sf_dir).agg(F.sha2(F.concat_ws(",", *[word(k) for k in range(4)], n.cast("string")), 256).alias("dataset_hash"), n.alias("n"))
 
 
 _leak = ("cumulative_spend", "user_mean_amount", "days_since_previous", "merchant_frequency", "merchant_mean_amount", "history_length", "cashflow_ratio")

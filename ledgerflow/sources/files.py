@@ -14,8 +14,12 @@ OPTIONAL = ("transaction_id", "direction", "merchant_raw", "description", "categ
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new folder that driver and executors share; a local one only where none is set and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: steps are written to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,8 +37,11 @@ def read_csv(spark: SparkSession, path, sep: str = ",", cleanup: bool = False) -
 
 
 def read_json(spark: SparkSession, path) -> DataFrame:
-    """Arrays of records, or objects with a `transactions` array."""
-    df = spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    """Arrays of records, or objects with a `transactions` array: one a line, or whole documents over many lines."""
+    reader = lambda **o: spark.read.options(recursiveFileLookup=True, **o).json(path)
+    df = reader()
+    if "_corrupt_record" in df.columns:  # no line is a document by itself
+        df = reader(multiLine=True)
     return _complete(df.select(F.explode("transactions").alias("t")).select("t.*") if "transactions" in df.columns else df)
 
 

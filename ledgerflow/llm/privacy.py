@@ -43,8 +43,6 @@ PATTERNS = {
 }
 #: One pattern for all; the card's back reference is the only group.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap look that no text with an entity fails.
-QUICK = "[0-9@]|(?:" + "|".join((*MALE, *FEMALE, *NEUTRAL)) + ")\\.? |(?i:password|passwd|pwd|secret|token|api.?key)|gh[pousr]_|sk-|AKIA|ASIA|[A-Fa-f]:[A-Fa-f:]|::"
 #: Stands on both sides of an entity while a text is taken apart; no character has this number.
 MARK = "\ufdd0"
 #: Stands, with a digit, for a mark or itself in a text that has one.
@@ -98,37 +96,38 @@ def unescaped(text: Column) -> Column:
 
 def apart(text: Column) -> Column:
     """The text's pieces: what stands between entities at even places, the entities at odd ones."""
-    cut = F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
-    return F.when(text.rlike(QUICK), cut).otherwise(F.array(text))
+    return F.split(F.regexp_replace(text, ANY, f"{MARK}$0{MARK}"), MARK, -1)
 
 
-def with_names(parts: Column) -> Column:
-    """parts with each word of a name apart, after its role; also where the name stands without a title.
+def with_names(d: DataFrame, parts: str, out: str) -> DataFrame:
+    """d with the column `parts` made into `out`: each word of a name apart, after its role; also where the name stands without a title.
 
     A text's names are those after a title. A word of one that is the last is a family name, the
-    others are given names of the title's gender.
+    others are given names of the title's gender. What is used more than once is a column, so that
+    it is worked out once.
     """
     gender = lambda t: F.when(t.rlike(rf"^(?:{'|'.join(MALE)})[. ]"), "gm").when(t.rlike(rf"^(?:{'|'.join(FEMALE)})[. ]"), "gf").otherwise("gn")
-    titled = F.filter(parts, lambda t, i: (i % 2 == 1) & t.rlike(f"^{TITLE}"))
+    titled = F.when(F.size(parts) > 1, F.filter(parts, lambda t, i: (i % 2 == 1) & t.rlike(f"^{TITLE}"))).otherwise(F.array().cast("array<string>"))
     words = lambda t: F.regexp_extract_all(F.regexp_replace(t, f"^{TITLE}", ""), F.lit(f"({WORD})"), F.lit(1))
-    one = lambda t: F.transform(words(t), lambda w, i: F.struct(w.alias("word"), F.when(i == F.size(words(t)) - 1, "s").otherwise(gender(t)).alias("role")))
-    entries = F.sort_array(F.array_distinct(F.flatten(F.transform(titled, one))))
-    known = F.array_distinct(F.transform(entries, lambda e: e["word"]))
+    split = F.transform("_titled", lambda t: F.struct(gender(t).alias("given"), words(t).alias("words")))
+    told = lambda n: F.transform(n["words"], lambda w, i: F.struct(w.alias("word"), F.when(i == F.size(n["words"]) - 1, "s").otherwise(n["given"]).alias("role")))
     # longest first, as one may begin another
-    longest = F.transform(F.array_sort(F.transform(known, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    longest = F.transform(F.array_sort(F.array_distinct(F.transform("_entries", lambda e: F.struct((-F.length(e["word"])).alias("n"), e["word"].alias("w"))))), lambda x: x["w"])
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
 
     def role(word: Column) -> Column:
-        return F.coalesce(F.get(F.filter(entries, lambda e: e["word"] == word), F.lit(0))["role"], F.lit("s"))
+        return F.coalesce(F.get(F.filter("_entries", lambda e: e["word"] == word), F.lit(0))["role"], F.lit("s"))
 
     def cut(part: Column, i: Column) -> Column:
-        pieces = F.split(F.regexp_replace(part, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-        told = F.transform(pieces, lambda w, k: F.when(k % 2 == 1, F.concat(F.lit(ROLE), role(w), F.lit(" "), w)).otherwise(w))
+        marked = F.split(F.regexp_replace(part, F.col("_pattern"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+        pieces = F.transform(marked, lambda w, k: F.when(k % 2 == 1, F.concat(F.lit(ROLE), role(w), F.lit(" "), w)).otherwise(w))
         # a titled name is at an entity's place, and begins and ends with what is none: with empty entities around, places stay even and odd
         empty = F.array(F.lit(""))
-        return F.when(i % 2 == 0, told).when(part.rlike(f"^{TITLE}"), F.concat(empty, told, empty)).otherwise(F.array(part))
+        return F.when(i % 2 == 0, pieces).when(part.rlike(f"^{TITLE}"), F.concat(empty, pieces, empty)).otherwise(F.array(part))
 
-    return F.when(F.size(known) > 0, F.flatten(F.transform(parts, cut))).otherwise(parts)
+    d = d.withColumn("_titled", titled).withColumn("_names", split).withColumn("_entries", F.sort_array(F.array_distinct(F.flatten(F.transform("_names", told)))))
+    d = d.withColumn("_pattern", F.when(F.size("_entries") > 0, pattern))
+    return d.withColumn(out, F.when(F.col("_pattern").isNotNull(), F.flatten(F.transform(parts, cut))).otherwise(F.col(parts))).drop("_titled", "_names", "_entries", "_pattern")
 
 
 def described(df: DataFrame) -> DataFrame:
@@ -270,7 +269,8 @@ def replace_private(docs: DataFrame, key: str = "change me") -> DataFrame:
     matched once.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    some = materialize(docs.select(row.alias("_doc"), with_names(apart(escaped(F.col("text")))).alias("_parts"), F.monotonically_increasing_id().alias("_row")), "privacy-parts")
+    pieces = docs.select(row.alias("_doc"), apart(escaped(F.col("text"))).alias("_pieces"), F.monotonically_increasing_id().alias("_row"))
+    some = materialize(with_names(pieces, "_pieces", "_parts").drop("_pieces"), "privacy-parts")
     odd = F.transform(F.sequence(F.lit(2), F.size("_parts"), F.lit(2)), lambda k: F.element_at("_parts", k.cast("int")))
     many = F.size("_parts") > 1
     found = some.where(many).select("_row", F.posexplode(odd).alias("_at", "surface"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -13,12 +12,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 FRAME = ["lag_1", "lag_2", "lag_3", "roll_mean_3", "roll_std_3", "tot_lag_1", "moy_sin", "moy_cos", "cur_income"]
 
@@ -32,7 +32,11 @@ ALL_TERMS = (1 << 31) - 1
 
 
 class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Counts to 1 + ln(count). pyspark.ml has no such stage, so vectors go through Python here."""
+    """Counts to 1 + ln(count).
+
+    pyspark.ml has no such stage. A sparse vector's values are reached by unwrapping it, and only
+    the JSON reader makes a vector of its parts again; so no Python runs.
+    """
 
     @keyword_only
     def __init__(self, inputCol: str | None = None, outputCol: str | None = None) -> None:
@@ -40,8 +44,10 @@ class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        log = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
-        return dataset.withColumn(self.getOutputCol(), log(F.col(self.getInputCol())))
+        v = F.unwrap_udt(self.getInputCol())
+        logged = F.struct(F.lit(0).cast("byte").alias("type"), v["size"].alias("size"), v["indices"].alias("indices"), F.transform(v["values"], lambda x: 1 + F.log(x)).alias("values"))
+        made = F.from_json(F.to_json(F.struct(logged.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
+        return dataset.withColumn(self.getOutputCol(), made)
 
 
 def text_features(size: int = ALL_TERMS, min_df: int = 2) -> list:

@@ -71,10 +71,10 @@ BEHAVIOUR = [
 
 def behaviour_features(columns=BEHAVIOUR) -> list:
     """Stages from `text` and behavioural columns (null: 0) to `features`: hashed words and the columns."""
-    filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS _{c}" for c in columns)
+    filled = "".join(f", coalesce(CAST({c} AS DOUBLE), 0) AS _{c}" for c in columns)
     return [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), HashingTF(inputCol="words", outputCol="hashed", numFeatures=1 << 12),
-        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"), VectorAssembler(inputCols=["hashed", *[f"_{c}" for c in columns]], outputCol="features"),
+        SQLTransformer(statement=f"SELECT *{filled} FROM __THIS__"), VectorAssembler(inputCols=["hashed", *[f"_{c}" for c in columns]], outputCol="features"),
     ]
 
 
@@ -93,8 +93,8 @@ def categorizer(kind: str = "logistic", features: list | None = None, trees: int
     columns beside the text.
     """
     estimators = {
-        "logistic": lambda: LogisticRegression(labelCol="y", weightCol="weight", maxIter=100, regParam=0.01),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), labelCol="y", weightCol="weight", parallelism=4),
+        "logistic": lambda: LogisticRegression(labelCol="y", weightCol="weight", maxIter=30, regParam=0.01),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=30, regParam=0.01), labelCol="y", weightCol="weight", parallelism=4),
         "forest": lambda: RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, maxDepth=12, minInstancesPerNode=5, maxMemoryInMB=1024, seed=42),
         "boosted": lambda: OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=6, stepSize=0.1, maxMemoryInMB=1024, seed=42), labelCol="y", weightCol="weight", parallelism=4),
     }

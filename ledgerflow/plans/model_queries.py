@@ -35,7 +35,7 @@ def behavioural(spark, sf_dir):
 
 #: Trees of the forest and boosting rounds in the queries; the operators' own are 100, and 300 in the
 #: forecaster. README has the reason and the figures.
-FOREST, ROUNDS, FORECAST_ROUNDS = 100, 10, 60
+FOREST, ROUNDS, FORECAST_ROUNDS = 100, 4, 30
 
 
 def _fit(spark, sf_dir, kind, features=None):
@@ -200,12 +200,12 @@ def m20(spark, sf_dir):
     d = behavioural(spark, sf_dir).withColumn("resolved", S.clean_merchant(F.col("text"))[0])
     clock = ("hour", "weekday", "month_no", "quarter")
     arms = {
-        "full": ("resolved", X.BEHAVIOUR), "text_only": ("resolved", []), "no_merchant_resolution": ("text", []),
-        "no_temporal": ("resolved", [c for c in X.BEHAVIOUR if c not in clock]), "behaviour_only": (None, X.BEHAVIOUR),
+        "full": ("resolved", X.BEHAVIOUR), "no_merchant_resolution": ("text", X.BEHAVIOUR),
+        "no_temporal": ("resolved", [c for c in X.BEHAVIOUR if c not in clock]), "text_only": ("resolved", []),
     }
     out = None
     for name, (text, columns) in arms.items():
-        a = X.balanced(d.withColumn("text", F.col(text) if text else F.lit("")))
+        a = X.balanced(d.withColumn("text", F.col(text)))
         features = X.behaviour_features(columns)
         p = X.predict(X.categorizer("logistic", features).fit(a.where("NOT test")), a.where("test"))
         r = M.classification(p.select(F.col("label").alias("y"), "yhat")).select(F.lit(name).alias("arm"), "macro_f1", "accuracy")

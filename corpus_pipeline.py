@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Shingle similarity, surrogates and packing cannot be said in SQL; their operators have tests of their own, run() as a whole has none yet.
+#: Shingle similarity, surrogates and packing cannot be said in SQL; tests/llm has the stages one after another against plain expectations.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, minhash, mixing, packing, passages, privacy, quality, suffixes, token_counts, urls
+from . import divergence, embeddings, minhash, mixing, packing, passages, privacy, quality, suffixes, token_counts, urls
 
 QUERIES = {
     "op1_pii": privacy.op1_pii,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_suffix_array": suffixes.op9_suffix_array,
     "op10_mixing": mixing.op10_mixing,
+    "op11_divergence": divergence.op11_divergence,
 }
 
 ORACLE_SQL = {
     "op4_embeddings": embeddings.OP4_SQL,
     "op7_quality": quality.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, embeddings, minhash, mixing, packing, passages, privacy, quality, suffixes, token_counts, urls
+from . import divergence, embeddings, licenses, minhash, mixing, packing, passages, privacy, quality, suffixes, token_counts, urls, variants
 
 QUERIES = {
     "op1_pii": privacy.op1_pii,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_suffix_array": suffixes.op9_suffix_array,
     "op10_mixing": mixing.op10_mixing,
     "op11_divergence": divergence.op11_divergence,
+    "op12_licenses": licenses.op12_licenses,
+    "op13_variants": variants.op13_variants,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op7_quality": quality.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
     "op11_divergence": divergence.OP11_SQL,
+    "op12_licenses": licenses.OP12_SQL,
+    "op13_variants": variants.OP13_SQL,
 }

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def confusion(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by, "y", "yhat").agg(F.count("*").alias("n"))
@@ -128,9 +131,9 @@ def personal_predictions(train: DataFrame, test: DataFrame, cohorts: DataFrame |
 
 def split_conformal(df: DataFrame, alpha: float = 0.1) -> DataFrame:
     """q: the linear quantile of residuals at min(ceil((n + 1)(1 - alpha)) / n, 1)."""
-    n = df.count()
-    p = min(math.ceil((n + 1) * (1 - alpha)) / n, 1.0) if n else 1.0
-    return df.agg(F.percentile("resid", F.lit(p)).alias("q"))
+    n = F.col("_n")
+    p = F.least(F.ceil((n + 1) * (1 - alpha)) / n, F.lit(1.0))
+    return quantiles(df, "resid", {"q": p})
 
 
 def paired_t(df: DataFrame, *by: str) -> DataFrame:
@@ -147,15 +150,63 @@ def signed_rank(df: DataFrame, *by: str) -> DataFrame:
     return c.groupBy(*by).agg(F.least(F.sum(F.col("rank") * F.col("plus")), F.sum(F.col("rank") * (F.col("k") - F.col("plus")))).alias("w"), F.sum("k").alias("n"))
 
 
+#: Modulus and multipliers of the replicates' weights, and the shares of Poisson(1) at or below 0 to 5.
+PRIME, STEPS = 2147483647, ((1103515245, 12345), (69621, 7))
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+class _Replicates:
+    """Partial sums of weights and weighted values by group, an array with an entry a replicate, for mapInPandas."""
+
+    def __init__(self, by: list[str], replicates: int, groups: int = 256, rows: int = 2048):
+        self.by, self.replicates, self.groups, self.rows = by, replicates, groups, rows
+
+    def __call__(self, batches):
+        rep = np.arange(1, self.replicates + 1, dtype=np.int64)
+        k1, k2 = ((rep * a + b) % PRIME for a, b in STEPS)
+        least = [int(p * PRIME) for p in POISSON]
+        held: dict[tuple, list] = {}
+
+        def flush():
+            rows = [(*g, w, x) for g, (w, x) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*self.by, "w", "x"])
+
+        for batch in batches:
+            for group, part in batch.groupby(self.by, dropna=False, sort=False) if self.by else [((), batch)]:
+                group = tuple(None if g != g else g for g in group)
+                sums = held.setdefault(group, [np.zeros(self.replicates, np.int64), np.zeros(self.replicates)])
+                for i in range(0, len(part), self.rows):
+                    rows = part.iloc[i : i + self.rows]
+                    v = (rows["h1"].to_numpy()[:, None] * k1 + rows["h2"].to_numpy()[:, None] * k2) % PRIME
+                    weight = sum((v >= t).astype(np.int64) for t in least)
+                    sums[0] += weight.sum(axis=0)
+                    sums[1] += rows["value"].to_numpy() @ weight
+                if len(held) >= self.groups:
+                    yield flush()
+        yield flush()
+
+
 def bootstrap_ci(df: DataFrame, key: str, value: str, *by: str, replicates: int = 1000, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean: each row has a Poisson(1) weight, from a hash, in each replicate."""
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    u = F.pmod(F.xxhash64(key, "rep"), F.lit(1 << 30)) / (1 << 30)
-    weight = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
-    d = df.select(*by, key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", weight)
-    means = d.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    """Percentile interval of the mean by group, and its mean over the replicates; a group of one row has its value.
+
+    Each row has a Poisson(1) weight, from a hash of its key, in each replicate. A row stays one
+    row: tasks keep an array of sums a group, and only those are shuffled. Null values don't count.
+    """
+    part = lambda i: (F.conv(F.substring(F.md5(F.col(key)), i, 8), 16, 10).cast("long") % PRIME)
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("value"), part(1).alias("h1"), part(9).alias("h2"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*by).schema)
+    sums = d.mapInPandas(_Replicates(list(by), replicates), f"{kinds + ', ' if by else ''}w array<bigint>, x array<double>")
+    each = sums.select(*by, F.posexplode(F.arrays_zip("w", "x")).alias("rep", "s")).groupBy(*by, "rep").agg(F.sum("s.w").alias("w"), F.sum("s.x").alias("x"))
     low = (1 - level) / 2
-    return means.groupBy(*by).agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(1 - low)).alias("high"), F.avg("mean").alias("mean"))
+    means = each.withColumn("mean", F.col("x") / F.nullif(F.col("w"), F.lit(0)))
+    ends = means.groupBy(*by).agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(1 - low)).alias("high"), F.avg("mean").alias("mean"))  # `replicates` values a group
+    alone = d.groupBy(*by).agg(F.count("*").alias("_n"), F.min("value").alias("_one"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}"))
+    one = lambda c: F.when(F.col("_n") == 1, F.col("_one")).otherwise(F.col(c)).alias(c)
+    return ends.alias("e").join(alone.alias("a"), same).select(*[f"e.{c}" for c in by], one("low"), one("high"), one("mean"))
 
 
 def p_values(df: DataFrame) -> DataFrame:

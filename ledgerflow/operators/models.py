@@ -17,6 +17,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -170,19 +171,43 @@ def isotonic(df: DataFrame, column: str):
     return IsotonicRegression(labelCol="y").fit(d)
 
 
-def permutation_importance(model, frame: DataFrame, columns, score, repeats: int = 5, rows_a_block: int = 100_000) -> list[tuple[str, float]]:
-    """Loss of score when a column is dealt anew among the rows of hashed blocks, positive parts normalized."""
-    from pyspark.sql import Window as W
+def calibrated(fit_on: DataFrame, df: DataFrame, columns) -> DataFrame:
+    """df with calibrated_<column> for each quantile column, lowest first; a row's calibrated quantiles never cross.
 
-    base, out = score(model.transform(assembled(frame, columns))), {}
-    key = F.concat_ws("|", "user_id", "category", "month")
-    block = F.pmod(F.xxhash64(key), F.lit(1 + frame.count() // rows_a_block))
-    here = frame.withColumns({"_b": block, "_i": F.row_number().over(W.partitionBy(block).orderBy(key))})
+    Each column has an isotonic fit of y of its own; beyond the fitted range the ends hold. Where
+    fits cross in a row, its values are put in order.
+    """
+    out = df
     for c in columns:
-        loss = 0.0
-        for r in range(repeats):
-            there = frame.select(block.alias("_b"), F.row_number().over(W.partitionBy(block).orderBy(F.xxhash64(key, F.lit(r)))).alias("_i"), F.col(c).alias("_v"))
-            loss += base - score(model.transform(assembled(here.join(there, ["_b", "_i"]).withColumn(c, F.col("_v")).drop("_v"), columns)))
-        out[c] = max(0.0, loss / repeats)
-    total = sum(out.values()) or 1.0
-    return [(c, v / total) for c, v in out.items()]
+        made = VectorAssembler(inputCols=[c], outputCol="_x").transform(out)
+        out = isotonic(fit_on, c).setFeaturesCol("_x").setPredictionCol(f"_{c}").transform(made).drop("_x")
+    ordered = F.array_sort(F.array(*[F.col(f"_{c}") for c in columns]))
+    return out.withColumn("_all", ordered).withColumns({f"calibrated_{c}": F.get("_all", F.lit(i)) for i, c in enumerate(columns)}).drop("_all", *[f"_{c}" for c in columns])
+
+
+def permutation_importance(model, frame: DataFrame, columns, repeats: int = 5, rows_a_block: int = 100_000, loss=None) -> DataFrame:
+    """(feature, importance): the rise of the mean loss when a column is dealt anew, positive parts normalized.
+
+    All columns and repeats are arms of one join: rows have a place in their hashed block by key,
+    and one more a repeat by a seeded hash; a row meets the rows whose places are its own, one a
+    repeat, and takes one column from it an arm. frame is read twice, and scored in one pass. loss
+    is a column over target and prediction, their absolute difference by default.
+    """
+    columns = list(columns)
+    loss = F.abs(F.col("target") - F.col("prediction")) if loss is None else loss
+    key = F.concat_ws("|", "user_id", "category", "month")
+    blocks = 1 + frame.count() // rows_a_block
+    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    place = lambda *order: F.row_number().over(W.partitionBy("_b").orderBy(*order, "_key"))
+    d = frame.select("target", *columns, key.alias("_key"), block.alias("_b"))
+    d = d.withColumns({"_p0": place(), **{f"_p{r}": place(F.xxhash64("_key", F.lit(r))) for r in range(1, repeats + 1)}})
+    own = d.select("_b", F.col("_p0").alias("_p"), "target", *columns)
+    there = d.select("_b", F.explode(F.array(*[F.struct(F.lit(r).alias("_r"), F.col(f"_p{r}").alias("_p")) for r in range(1, repeats + 1)])).alias("_x"), F.struct(*columns).alias("_v")).select("_b", "_x._p", "_x._r", "_v")
+    arms = F.explode(F.array(F.lit(None).cast("int"), *map(F.lit, range(len(columns))))).alias("_arm")
+    dealt = own.join(there, ["_b", "_p"]).select("target", *columns, "_r", "_v", arms).where("_r = 1 OR _arm IS NOT NULL")  # the arm without a change once
+    changed = dealt.select("target", "_arm", *[F.when(F.col("_arm") == i, F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)])
+    mean = model.transform(assembled(changed, columns)).groupBy("_arm").agg(F.avg(loss).alias("loss"))
+    base = mean.where("_arm IS NULL").select(F.col("loss").alias("base"))
+    rise = mean.where("_arm IS NOT NULL").join(F.broadcast(base), F.lit(True)).select(F.get(F.array(*map(F.lit, columns)), F.col("_arm")).alias("feature"), F.greatest(F.lit(0.0), F.col("loss") - F.col("base")).alias("rise"))
+    total = F.sum("rise").over(W.partitionBy())  # a row a column
+    return rise.select("feature", F.coalesce(F.col("rise") / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("importance"))

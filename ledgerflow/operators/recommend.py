@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rnd
 from ..functions.taxonomy import DISCRETIONARY, EXPENSE_CATEGORIES, FLEX_STD, LABELS, OVERSPEND_Z, TOP_K
 from .canonical import mapped
 
@@ -19,11 +20,12 @@ def history_confidence(n: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    return F.concat(F.lit("₹"), F.format_number(c, 0))
+    """Whole units, half up from whole cents, so that equal amounts read alike."""
+    return F.concat(F.lit("₹"), F.format_number(F.floor(rnd(c, 2) + 0.5), 0))
 
 
 def percent(c: Column) -> Column:
-    return F.concat(F.call_function("format_number", c * 100, F.lit("0")), F.lit("%"))
+    return F.concat(F.floor(rnd(c * 100, 2) + 0.5).cast("string"), F.lit("%"))
 
 
 def label(category: Column) -> Column:
@@ -44,7 +46,7 @@ def _overspend() -> Column:
     gap = F.col("forecast") - F.col("mean")
     hit = (F.col("std") > 0) & (gap > OVERSPEND_Z * F.col("std")) & (gap > 0.02 * F.col("income"))
     z = gap / (F.col("std") + 1e-9)
-    detail = ["Projected ", money(F.col("forecast")), " next month vs your typical ", money(F.col("mean")), " (", F.call_function("format_number", z, F.lit("0.0")), "σ high). Trimming here saves ~", money(gap), "."]
+    detail = ["Projected ", money(F.col("forecast")), " next month vs your typical ", money(F.col("mean")), " (", F.format_number(rnd(z, 1), 1), "σ high). Trimming here saves ~", money(gap), "."]
     return _found(hit, "overspend", F.col("category"), gap, clip(z / 3, 0.3, 1.0), F.concat(label(F.col("category")), F.lit(" trending above your usual")), detail)
 
 
@@ -125,7 +127,7 @@ def assessed(inputs: DataFrame, norms: DataFrame, goal: float = 0.25) -> DataFra
     """
     user = W.partitionBy("user_id")
     d = with_cuts(inputs, goal).join(F.broadcast(norms), ["cohort", "category"], "left")
-    cuts = F.transform(F.sort_array(F.collect_list(F.when(F.col("cut").isNotNull(), F.struct((-F.col("flex")).alias("f"), "place", "category", "cut"))).over(user)), lambda x: F.struct(x["category"].alias("category"), F.round(x["cut"], 2).alias("cut")))
+    cuts = F.transform(F.sort_array(F.collect_list(F.when(F.col("cut").isNotNull(), F.struct((-F.col("flex")).alias("f"), "place", "category", "cut"))).over(user)), lambda x: F.struct(x["category"].alias("category"), rnd(x["cut"], 2).alias("cut")))
     closed = F.coalesce(F.sum("cut").over(user), F.lit(0.0))
     d = d.withColumns({"cuts": cuts, "closed": closed, "feasible": (F.col("gap") <= 0) | (F.col("gap") - closed <= 1e-6), "place_in_user": F.row_number().over(user.orderBy("category"))})
     d = d.withColumn("kinds", F.array(_overspend(), _peer(), _creep(), _reallocation(goal)))
@@ -189,6 +191,14 @@ def health_v2(profiles: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     return d.select("user_id", "savings", "stability", "essential", "control", "regularity", "total", tier.alias("tier"))
 
 
+def counterfactual(df: DataFrame, current: str, baseline: str) -> DataFrame:
+    """df with current_spend, baseline_spend, overspend, target, per_day (a thirtieth of the cut) and the statement."""
+    over = F.greatest(F.lit(0.0), F.col(current) - F.col(baseline))
+    d = df.withColumns({"current_spend": rnd(F.col(current), 2), "baseline_spend": rnd(F.col(baseline), 2), "overspend": rnd(over, 2), "target": rnd(F.col(current) - over, 2), "per_day": rnd(over / 30, 2)})
+    shown = "If spend in '%s' is reduced by INR %.2f (approx. INR %.2f/day), overspend probability drops to 0%% and savings target is preserved."
+    return d.withColumn("statement", F.format_string(shown, "category", "overspend", "per_day"))
+
+
 def month_tracker(events: DataFrame, base: DataFrame) -> DataFrame:
     """The online tracker as windows: each event's category total, month-end projection and alert."""
     month = F.date_trunc("month", "timestamp").cast("date")

@@ -10,8 +10,10 @@ from ..operators import drift as D
 from ..operators import panel as P
 from ..operators import recommend as B
 from ..operators import rows as R
+from ..operators.quantiles import quantiles
 from ..sources.files import work_dir
 from ..sources.views import EV, TX, canonical_events, canonical_txns
+from ..streaming.tracker import category_totals, latest
 from .metric_queries import _PT
 from .panel_queries import BASE, PANEL, PROFILE, SERVING, _r, _sql, panel, rounded
 from .registry import register
@@ -48,7 +50,7 @@ def inputs(spark, sf_dir):
 
 def norms(spark, sf_dir):
     d = P.recommendation_inputs(panel(spark, sf_dir)).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
-    return d.groupBy("cohort", "category").agg(F.median("share").alias("peer_share"))
+    return quantiles(d, "share", {"peer_share": 0.5}, "cohort", "category")
 
 
 def written(spark, sf_dir):
@@ -56,7 +58,7 @@ def written(spark, sf_dir):
     path = work_dir(spark, "recommendation-inputs")
     P.recommendation_inputs(panel(spark, sf_dir)).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6)).write.parquet(path)
     d = spark.read.parquet(path)
-    return d.where("forecast IS NOT NULL"), d.groupBy("cohort", "category").agg(F.median("share").alias("peer_share"))
+    return d.where("forecast IS NOT NULL"), quantiles(d, "share", {"peer_share": 0.5}, "cohort", "category")
 
 
 def _rec(d):
@@ -106,14 +108,14 @@ def j10(spark, sf_dir):
 
 
 _label = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END"
-_money = lambda x: f"'₹' || format('{{:,.0f}}', {x})"
-_pct = lambda x: f"format('{{:.0f}}', {x} * 100) || '%'"
+_money = lambda x: f"'₹' || format('{{:,}}', CAST(floor(round({x}, 2) + 0.5) AS BIGINT))"
+_pct = lambda x: f"CAST(floor(round({x} * 100, 2) + 0.5) AS BIGINT) || '%'"
 
 
-@register("F15", _sql(ALL, f""", ps AS (SELECT pl.user_id, pl.gap, pl.closed, feasible, max(income) AS income, string_agg({_label('category')} || ' −' || {_money('round(cut, 2)')}, ', ' ORDER BY flex DESC, place) AS parts FROM pl JOIN b4 ON b4.user_id = pl.user_id GROUP BY ALL),
+@register("F15", _sql(ALL, f""", ps AS (SELECT pl.user_id, pl.gap, pl.closed, feasible, max(income) AS income, string_agg({_label('category')} || ' −' || {_money('cut')}, ', ' ORDER BY flex DESC, place) AS parts FROM pl JOIN b4 ON b4.user_id = pl.user_id GROUP BY ALL),
   us AS (SELECT user_id, max(income) AS income, max(total) AS total FROM inp GROUP BY user_id)
   SELECT r.user_id, r.kind, r.category, CASE r.kind WHEN 'overspend' THEN {_label('r.category')} || ' trending above your usual' WHEN 'peer' THEN {_label('r.category')} || ' is high for users like you' WHEN 'subscription_creep' THEN 'Subscription spend is creeping up' WHEN 'reallocation' THEN 'Plan to hit a 25% savings goal' ELSE 'You''re on track' END AS title,
-  CASE r.kind WHEN 'overspend' THEN 'Projected ' || {_money('i.forecast')} || ' next month vs your typical ' || {_money('i.mean')} || ' (' || format('{{:.1f}}', (i.forecast - i.mean) / (i.std + 1e-9)) || 'σ high). Trimming here saves ~' || {_money('i.forecast - i.mean')} || '.'
+  CASE r.kind WHEN 'overspend' THEN 'Projected ' || {_money('i.forecast')} || ' next month vs your typical ' || {_money('i.mean')} || ' (' || format('{{:,.1f}}', round((i.forecast - i.mean) / (i.std + 1e-9), 1)) || 'σ high). Trimming here saves ~' || {_money('i.forecast - i.mean')} || '.'
   WHEN 'peer' THEN 'You put ' || {_pct('(i.forecast / i.total)')} || ' of spend here vs ' || {_pct('n.peer_share')} || ' for your cohort. Aligning frees ~' || {_money('(i.forecast / i.total - n.peer_share) * i.total')} || '/mo.'
   WHEN 'subscription_creep' THEN 'Recurring charges up ~' || {_pct('(i.forecast / i.past_mean - 1)')} || ' vs 3 months ago. Audit unused subscriptions to reclaim ~' || {_money('i.forecast - i.past_mean')} || '.'
   WHEN 'reallocation' THEN CASE WHEN ps.feasible THEN 'Reallocate ' || {_money('ps.closed')} || '/mo (' || parts || ') to reach ' || {_money('0.25 * ps.income')} || ' saved.' ELSE 'Cutting ' || parts || ' recovers ' || {_money('ps.closed')} || '/mo, but the goal needs ' || {_money('ps.gap')} || ' — consider a gentler target or boosting income.' END
@@ -123,10 +125,11 @@ def f15(spark, sf_dir):
     return B.recommendations(*written(spark, sf_dir)).select("user_id", "kind", "category", "title", "detail")
 
 
-@register("P9", _sql(INPUTS, "SELECT user_id, category, round(greatest(0, forecast - mean), 3) AS overspend, round(greatest(0, forecast - mean) / 30, 3) AS per_day FROM inp"))
+@register("P9", _sql(INPUTS, """, o AS (SELECT user_id, category, round(forecast, 2) AS current_spend, round(mean, 2) AS baseline_spend, round(greatest(0, forecast - mean), 2) AS overspend, round(forecast - greatest(0, forecast - mean), 2) AS target, round(greatest(0, forecast - mean) / 30, 2) AS per_day FROM inp)
+  SELECT *, 'If spend in ''' || category || ''' is reduced by INR ' || format('{:.2f}', overspend) || ' (approx. INR ' || format('{:.2f}', per_day) || '/day), overspend probability drops to 0% and savings target is preserved.' AS statement FROM o"""))
 def p9(spark, sf_dir):
-    over = F.greatest(F.lit(0.0), F.col("forecast") - F.col("mean"))
-    return rounded(inputs(spark, sf_dir).select("user_id", "category", over.alias("overspend"), (over / 30).alias("per_day")), 3)
+    """What would undo an overspend: the target, its cost a day, and the sentence that says so."""
+    return B.counterfactual(inputs(spark, sf_dir), "forecast", "mean").select("user_id", "category", "current_spend", "baseline_spend", "overspend", "target", "per_day", "statement")
 
 
 @register("A10", _sql(INPUTS, "SELECT cohort, category, round(peer_share, 4) AS peer_share FROM norms"))
@@ -166,7 +169,7 @@ def b9(spark, sf_dir):
 _both = lambda src: f"SELECT period, 'q' AS side, * EXCLUDE (period) FROM {src} WHERE period <> (SELECT min(period) FROM {src}) UNION ALL SELECT l.period, 'p', s.* EXCLUDE (period) FROM {src} s, (SELECT DISTINCT period FROM {src} WHERE period <> (SELECT min(period) FROM {src})) l WHERE s.period = (SELECT min(period) FROM {src})"
 DRIFT = f"""vals AS (SELECT period, CAST(amount AS DOUBLE) AS value, count(*) AS n FROM src GROUP BY ALL), labs AS (SELECT period, category, count(*) AS n FROM src GROUP BY ALL),
 vb AS ({_both('vals')}), lb AS ({_both('labs')}), ends AS (SELECT period, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo, CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM vb GROUP BY period),
-bn AS (SELECT period, CAST(least(10, floor((value - lo) / (hi - lo) * 10) + 1) AS INT) AS bin, coalesce(sum(n) FILTER (side = 'p'), 0) AS p, coalesce(sum(n) FILTER (side = 'q'), 0) AS q FROM vb JOIN ends USING (period) GROUP BY ALL),
+bn AS (SELECT period, CAST(1 + len(list_filter(range(1, 10), lambda j: value >= lo + (hi - lo) * j / 10)) AS INT) AS bin, coalesce(sum(n) FILTER (side = 'p'), 0) AS p, coalesce(sum(n) FILTER (side = 'q'), 0) AS q FROM vb JOIN ends USING (period) GROUP BY ALL),
 bg AS (SELECT e.period, g.bin, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM ends e CROSS JOIN (SELECT unnest(range(1, 11)) AS bin) g LEFT JOIN bn ON e.period = bn.period AND g.bin = bn.bin),
 bs AS (SELECT period, CASE WHEN p = 0 THEN 1e-6 ELSE p / sum(p) OVER w END AS p, CASE WHEN q = 0 THEN 1e-6 ELSE q / sum(q) OVER w END AS q FROM bg WINDOW w AS (PARTITION BY period)),
 psi AS (SELECT period, sum((q - p) * ln(q / p)) AS psi FROM bs GROUP BY period),
@@ -181,13 +184,14 @@ MONTHS = f"{TX}, src AS (SELECT *, strftime(timestamp, '%Y-%m') AS period FROM t
 HALVES = f"{EV}, src AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY timestamp, transaction_id) - 1 < CAST(floor((SELECT count(*) FROM evs) / 2) AS BIGINT) THEN 'first_half' ELSE 'second_half' END AS period FROM evs), {DRIFT}"
 
 
-def drift(spark, sf_dir):
-    return D.drift_table(canonical_txns(spark, sf_dir), F.date_format("timestamp", "yyyy-MM")).withColumn("psi", rnd(F.col("psi")))
+def drift(spark, sf_dir, *measures):
+    d = D.drift_table(canonical_txns(spark, sf_dir), F.date_format("timestamp", "yyyy-MM"), measures)
+    return d.withColumn("psi", rnd(F.col("psi"))) if "psi" in measures else d
 
 
 def _drift_column(name, column, digits, *more):
     cols = ", ".join(["period", f"round({column}, {digits}) AS {column}" if column != "psi" else "psi", *more])
-    register(name, _sql(MONTHS, f"SELECT {cols} FROM dt"))(lambda s, d: drift(s, d).select("period", (rnd(F.col(column), digits) if column != "psi" else F.col("psi")).alias(column), *more))
+    register(name, _sql(MONTHS, f"SELECT {cols} FROM dt"))(lambda s, d: drift(s, d, column).select("period", (rnd(F.col(column), digits) if column != "psi" else F.col("psi")).alias(column), *more))
 
 
 _drift_column("D1", "psi", 4)
@@ -208,7 +212,7 @@ def d5(spark, sf_dir):
 
 @register("D6", _sql(MONTHS, "SELECT max(psi) AS max_psi, count(*) FILTER (status = 'DRIFT_ALERT') AS alerts, count(*) AS periods FROM dt"))
 def d6(spark, sf_dir):
-    return drift(spark, sf_dir).agg(F.max("psi").alias("max_psi"), F.count(F.when(F.col("status") == "DRIFT_ALERT", 1)).alias("alerts"), F.count("*").alias("periods"))
+    return drift(spark, sf_dir, "psi").agg(F.max("psi").alias("max_psi"), F.count(F.when(F.col("status") == "DRIFT_ALERT", 1)).alias("alerts"), F.count("*").alias("periods"))
 
 
 #: Event types stand for categories, so that the tracker has several and an unknown one.
@@ -239,8 +243,20 @@ def r2(spark, sf_dir):
 
 @register("R3", _sql(TRACK, "SELECT user_id, category, round(CAST(sum(amount) AS DOUBLE) / greatest(1e-3, least(1, (SELECT max(day(timestamp)) FROM e x WHERE x.user_id = e.user_id) / 30)), 3) AS projected FROM e GROUP BY user_id, category"))
 def r3(spark, sf_dir):
-    e = tracked_events(spark, sf_dir)
-    known = F.when(F.col("category").isin(*CATS), F.col("category")).otherwise("misc")
-    sums = e.groupBy("user_id", known.alias("category")).agg(F.sum("amount").cast("double").alias("spent"))
-    day = e.groupBy("user_id").agg(F.max(F.dayofmonth("timestamp")).alias("d"))
-    return rounded(sums.join(day, "user_id").select("user_id", "category", (F.col("spent") / B.clip(F.col("d") / 30, 1e-3, 1.0)).alias("projected")), 3)
+    """The totals as a stream over the events' files, a micro-batch a week, in update mode; the last of each is read back."""
+    path = work_dir(spark, "totals")
+    e = tracked_events(spark, sf_dir).select("user_id", "transaction_id", "timestamp", "category", "amount")
+    weeks(e, f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    # an update sink: each micro-batch is added under its number, so that a repeated one replaces itself
+    put = lambda d, k: d.write.mode("overwrite").parquet(f"{path}/out/batch={k}")
+    q = category_totals(stream).writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    d = latest(spark.read.parquet(f"{path}/out"))
+    return rounded(d.select("user_id", "category", "projected"), 3)
+
+
+def weeks(events, path):
+    """Writes events as files in the order of time, a user's events of a week in one file."""
+    for low, high in ((1, 7), (8, 14), (15, 21), (22, 31)):
+        events.where(F.dayofmonth("timestamp").between(low, high)).repartition(2, "user_id").write.mode("append").parquet(path)

@@ -8,6 +8,8 @@ from ..functions import scalars as S
 from ..operators import metrics as M
 from ..operators import panel as P
 from ..operators import splits as L
+from ..operators.quantiles import quantiles
+from ..sources.files import stored
 from ..sources.views import canonical_txns
 from .panel_queries import FRAME, _r, _sql, panel, rounded
 from .registry import register
@@ -174,8 +176,8 @@ _IV = f"{_PT}, ms AS (SELECT DISTINCT month FROM pt), cut AS (SELECT min(month)
 def interval_forecasts(spark, sf_dir):
     """Quantiles of the earlier months' residuals around the rolling mean, for the latest fifth of months."""
     d = L.month_cutoff(point(spark, sf_dir))
-    q = d.where("split = 'train'").groupBy("category").agg(*[F.percentile(F.col("y") - F.col("b"), F.lit(p)).alias(n) for n, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))])
-    return d.where("split = 'test'").join(F.broadcast(q), "category").select("user_id", "category", "month", "y", *[(F.col("b") + F.col(f"q{k}")).alias(f"p{k}") for k in (10, 50, 90)])
+    q = quantiles(d.where("split = 'train'").withColumn("resid", F.col("y") - F.col("b")), "resid", {"q10": 0.1, "q50": 0.5, "q90": 0.9}, "category")
+    return d.where("split = 'test'").join(q, "category").select("user_id", "category", "month", "y", *[(F.col("b") + F.col(f"q{k}")).alias(f"p{k}") for k in (10, 50, 90)])
 
 
 @register("M16", _sql(_IV, f"SELECT user_id, category, CAST(month AS VARCHAR) AS month, {_r(['p10', 'p50', 'p90'], 3)} FROM iv"))
@@ -224,7 +226,17 @@ def x1(spark, sf_dir):
     return rounded(M.p_values(t))
 
 
-@register("D7")
+def _replicated(name: str, src: str, key: str, value: str, by: str) -> str:
+    """SQL of bootstrap_ci() as `name`, over src."""
+    h = [f"(('0x' || substr(md5({key}), {i}, 8))::BIGINT % {M.PRIME})" for i in (1, 9)]
+    k = [f"((rep * {a} + {b}) % {M.PRIME})" for a, b in M.STEPS]
+    weight = " + ".join(f"CAST(v >= {int(p * M.PRIME)} AS INT)" for p in M.POISSON)
+    return f"""{name}_w AS (SELECT {by}, rep, value, {weight} AS w FROM (SELECT {by}, rep, {value} AS value, (h1 * {k[0]} + h2 * {k[1]}) % {M.PRIME} AS v FROM (SELECT *, {h[0]} AS h1, {h[1]} AS h2 FROM {src}), range(1, 1001) AS r(rep))),
+{name}_m AS (SELECT {by}, rep, sum(w * value) / nullif(sum(w), 0) AS mean FROM {name}_w GROUP BY ALL), {name}_one AS (SELECT {by}, count(*) AS n1, min({value}) AS one FROM {src} GROUP BY ALL),
+{name} AS (SELECT {by}, CASE WHEN any_value(n1) = 1 THEN any_value(one) ELSE quantile_cont(mean, {(1 - 0.95) / 2!r}) END AS low, CASE WHEN any_value(n1) = 1 THEN any_value(one) ELSE quantile_cont(mean, {1 - (1 - 0.95) / 2!r}) END AS high, CASE WHEN any_value(n1) = 1 THEN any_value(one) ELSE avg(mean) END AS mean FROM {name}_m JOIN {name}_one USING ({by}) GROUP BY {by})"""
+
+
+@register("D7", _sql(_PT, f", ue AS (SELECT user_id, category, avg(abs(y - b)) AS e FROM pt GROUP BY ALL), {_replicated('ci', 'ue', chr(39).join(['user_id || ', '|', ' || category']), 'e', 'category')} SELECT category, round(low, 3) AS low, round(high, 3) AS high, round(mean, 3) AS mean FROM ci"))
 def d7(spark, sf_dir):
     """Intervals of users' mean errors, by category, from 1000 replicates."""
     d = _errors(point(spark, sf_dir)).groupBy("user_id", "category").agg(F.avg("b").alias("b"))
@@ -240,9 +252,12 @@ def run_metrics(spark, sf_dir):
     return g.unpivot(["task", "seed"], ["naive", "rolling"], "model", "mae")
 
 
-@register("D10", _sql(_RUNS, "SELECT task, model, count(*) AS n, round(avg(mae), 3) AS mean, round(stddev_pop(mae), 3) AS std FROM rm GROUP BY task, model"))
+@register("D10", _sql(_RUNS, f", {_replicated('ci', 'rm', chr(39).join(['task || ', '|', ' || seed']), 'mae', 'task, model')} SELECT r.task, r.model, count(*) AS n, round(avg(mae), 3) AS mean, round(stddev_pop(mae), 3) AS std, round(any_value(low), 3) AS ci_95_lower, round(any_value(high), 3) AS ci_95_upper FROM rm r JOIN ci ON r.task = ci.task AND r.model = ci.model GROUP BY r.task, r.model"))
 def d10(spark, sf_dir):
-    return rounded(run_metrics(spark, sf_dir).groupBy("task", "model").agg(F.count("*").alias("n"), F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("std")), 3)
+    """Mean, deviation and interval over the seeds of each task and model."""
+    d = stored(run_metrics(spark, sf_dir).withColumn("key", F.concat_ws("|", "task", "seed")), "run-metrics")
+    ci = M.bootstrap_ci(d, "key", "mae", "task", "model").select("task", "model", F.col("low").alias("ci_95_lower"), F.col("high").alias("ci_95_upper"))
+    return rounded(d.groupBy("task", "model").agg(F.count("*").alias("n"), F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("std")).join(ci, ["task", "model"]), 3)
 
 
 @register("A14", _sql(_RUNS, "SELECT model, round(avg(mae), 3) AS mean, round(min(mae), 3) AS least, round(max(mae), 3) AS most, count(DISTINCT task) AS tasks FROM rm GROUP BY model"))

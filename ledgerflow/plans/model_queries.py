@@ -15,6 +15,7 @@ from ..operators import models as X
 from ..operators import panel as P
 from ..operators import rows as R
 from ..operators import splits as L
+from ..sources.files import stored
 from ..sources.views import canonical_txns, table
 from .panel_queries import FRAME, PROFILE_COLS, _sql, panel, rounded
 from .registry import register
@@ -175,23 +176,20 @@ def m14(spark, sf_dir):
 
 @register("M17")
 def m17(spark, sf_dir):
-    """Isotonic calibration of the upper quantile, fitted on the earlier months that have one and applied to the latest."""
-    from pyspark.ml.feature import VectorAssembler
-
+    """Isotonic calibration of the three quantiles, fitted on the earlier months that have them and applied to the latest."""
     from .metric_queries import interval_forecasts
 
-    d = L.month_cutoff(interval_forecasts(spark, sf_dir), 0.5)
-    early, late = d.where("split = 'train'"), d.where("split = 'test'")
-    out = X.isotonic(early, "p90").transform(VectorAssembler(inputCols=["p90"], outputCol="features").transform(late))
-    return rounded(out.select("user_id", "category", "month", "p90", F.col("prediction").alias("calibrated")))
+    d = L.month_cutoff(stored(interval_forecasts(spark, sf_dir), "calibration-intervals"), 0.5)
+    out = X.calibrated(d.where("split = 'train'"), d.where("split = 'test'"), ("p10", "p50", "p90"))
+    return rounded(out.select("user_id", "category", "month", "p10", "p50", "p90", "calibrated_p10", "calibrated_p50", "calibrated_p90"))
 
 
 @register("M19")
 def m19(spark, sf_dir):
-    d = frame(spark, sf_dir)
+    """Permutation importance of the linear regressor on each user's last month."""
+    d = stored(frame(spark, sf_dir), "importance-frame")
     model = X.regressor("linear").fit(X.assembled(d.where("split = 'train'")))
-    score = lambda out: -out.agg(F.avg(F.abs(F.col("target") - F.col("prediction")))).first()[0]
-    return rounded(spark.createDataFrame(X.permutation_importance(model, d.where("split = 'test'").drop("split"), X.FRAME, score), "feature string, importance double"))
+    return rounded(X.permutation_importance(model, d.where("split = 'test'").drop("split"), X.FRAME))
 
 
 @register("M20")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_BLANK = " \t\r\n"
 REQUIRED = ("user_id", "timestamp", "amount")
 OPTIONAL = ("transaction_id", "direction", "merchant_raw", "description", "category", "source", "currency")
 
@@ -23,6 +26,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back, so that what reads it twice doesn't work it out twice."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _complete(df: DataFrame, cleanup: bool = False) -> DataFrame:
     if cleanup:
         df = df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
@@ -36,13 +46,65 @@ def read_csv(spark: SparkSession, path, sep: str = ",", cleanup: bool = False) -
     return _complete(spark.read.option("header", True).option("recursiveFileLookup", True).csv(path, sep=sep), cleanup)
 
 
+def json_texts(spark: SparkSession, path) -> DataFrame:
+    """(file, record): the JSON texts under path, a line or a whole file each, as each file is written.
+
+    A file in which half of the lines are JSON by themselves has a record a line. Any other is one
+    document, if it is JSON as a whole; if not, it has a record a line, most of them broken.
+    """
+    reader = lambda p, wholetext=False: spark.read.option("recursiveFileLookup", True).text(p, wholetext=wholetext).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("record"))
+    text = F.trim("record", F.lit(_BLANK))
+    ends = (text.startswith("{") & text.endswith("}")) | (text.startswith("[") & text.endswith("]"))  # the parser stops at the end of a value, whatever follows
+    whole = ends & F.try_parse_json("record").isNotNull()
+    lines = reader(path).where(text != "")
+    per_file = lines.groupBy("file").agg(F.avg(whole.cast("int")).alias("share"))
+    maybe = [r["file"] for r in per_file.where("share < 0.5").select("file").collect()]  # names of files, which the driver lists anyway
+    if not maybe:
+        return lines
+    documents = [r["file"] for r in reader(maybe, wholetext=True).where(whole).select("file").collect()]
+    if not documents:
+        return lines
+    named = F.broadcast(spark.createDataFrame([(f,) for f in documents], "file string"))
+    return lines.join(named, "file", "left_anti").unionByName(reader(documents, wholetext=True))
+
+
+def _type(spark: SparkSession, shown: str) -> T.DataType:
+    """The type that schema_of_variant_agg() shows; what differs between records, or is always null, is text."""
+    ddl = re.sub(r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE", re.sub(r"\b(VARIANT|VOID)\b", "STRING", re.sub(r"\bOBJECT<", "STRUCT<", shown)))
+    return spark.sql(f"SELECT CAST(NULL AS {ddl}) AS x").schema["x"].dataType
+
+
+def _parsed(spark: SparkSession, path) -> tuple[DataFrame, list[str]]:
+    """(file, record, parsed) with the records' objects, null where a record is no object or array of objects; and the objects' fields."""
+    d = json_texts(spark, path)
+    d = d.withColumn("listed", F.when(F.ltrim("record", F.lit(_BLANK)).startswith("{"), F.concat(F.lit("["), "record", F.lit("]"))).otherwise(F.col("record")))
+    shown = d.where(F.ltrim("listed", F.lit(_BLANK)).startswith("[")).agg(F.schema_of_variant_agg(F.try_parse_json("listed"))).first()[0]
+    kind = _type(spark, shown or "VOID")
+    top = {f.name: f.dataType for f in kind.elementType} if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else {}
+    inner = top.pop("transactions", None)
+    fields = dict(top)
+    if isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.StructType):
+        for f in inner.elementType:
+            fields[f.name] = f.dataType if fields.get(f.name, f.dataType) == f.dataType else T.StringType()
+    record = T.StructType([T.StructField(k, t) for k, t in fields.items()])
+    parsed = T.ArrayType(T.StructType([*record.fields, T.StructField("transactions", T.ArrayType(record))]))
+    return d.select("file", "record", F.from_json("listed", parsed).alias("parsed")), list(fields)
+
+
 def read_json(spark: SparkSession, path) -> DataFrame:
-    """Arrays of records, or objects with a `transactions` array: one a line, or whole documents over many lines."""
-    reader = lambda **o: spark.read.options(recursiveFileLookup=True, **o).json(path)
-    df = reader()
-    if "_corrupt_record" in df.columns:  # no line is a document by itself
-        df = reader(multiLine=True)
-    return _complete(df.select(F.explode("transactions").alias("t")).select("t.*") if "transactions" in df.columns else df)
+    """Objects, arrays of objects, or objects with a `transactions` array: one a line, or whole documents over many lines.
+
+    Each file by itself decides which. Broken records give no rows; rejected_json() has them.
+    """
+    d, fields = _parsed(spark, path)
+    d = d.select(F.explode("parsed").alias("t")).select(F.explode(F.coalesce("t.transactions", F.array(F.struct(*[F.col(f"t.`{k}`").alias(k) for k in fields])))).alias("t"))
+    return _complete(d.select("t.*"))
+
+
+def rejected_json(spark: SparkSession, path) -> DataFrame:
+    """(file, record) of what read_json() can't read: broken lines, broken documents, and JSON that is no object."""
+    d, _ = _parsed(spark, path)
+    return d.where("parsed IS NULL").select("file", "record")
 
 
 def read_folder(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

@@ -19,28 +19,33 @@ FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle",
 NEUTRAL = ("Dr", "Doctor", "Prof", "Professor", "Mx", "Доктор", "Δρ")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: A word of a name, and the small words that may stand between two of them.
-WORD = r"\p{Lu}(?:[\p{Ll}\p{M}]+|(?=['’]))(?:['’\-]\p{Lu}?[\p{Ll}\p{M}]+)*"
-SMALL = "(?:(?:van|von|de|da|di|del|der|den|dos|la|le|bin|ibn) )*"
+#: Repeated groups are bounded everywhere: the JVM's matcher takes a stack frame a repetition.
+WORD = r"\p{Lu}(?:[\p{Ll}\p{M}]{1,60}+|[\p{Lu}\p{M}]{1,60}+(?![\p{Ll}\p{N}])|(?=['’]))(?:['’\-]\p{Lu}?[\p{Ll}\p{M}]{1,60}+|['’\-]\p{Lu}{1,60}+(?![\p{Ll}\p{N}])){0,4}"
+SMALL = "(?:(?:van|von|de|da|di|del|der|den|dos|la|le|bin|ibn) ){0,4}"
 TITLE = rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
+#: What stands before a name of two words or more that has no title.
+CUE = r"\b(?:[Mm]y name is|MY NAME IS|Name:|Full name:|Contact:|Contact person:|Signed:|Signed,|Signed by|Attn:|Author:|Patient:|Customer:) "
 KEY_LEAD = r"(?:AKIA|ASIA|gh[pousr]_|sk-)"
 #: The label of a secret, with what separates it from the value.
-LABEL = r"(?i:(?:[a-z0-9]++[_\-])*(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,2}[=:]\s{0,2}[\"']?"
+LABEL = r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key))[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
 #: Country calling codes: one digit, two digits, else three (fixed values, ITU-T E.164).
 CALLING = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Patterns of the entity types, in the order in which they are tried.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9]){LABEL}[A-Za-z0-9_/+.~=\-]{{7,}}[A-Za-z0-9_/+=\-]",
+    "secret": rf"(?<![A-Za-z0-9]){LABEL}(?:[^\s\"'<>]{{7,}}|(?=[^\s\"'<>]*[0-9@#$%^&*+=_~])[^\s\"'<>]{{3,}})[^\s\"'<>.,;:!?)\]}}]",
     "access_key": r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{19,}[A-Za-z0-9])(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.){1,126}[A-Za-z]{2,}",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
-    "ipv6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,34}[0-9])(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w.\-])\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4}(?![\w\-])|(?<![\w.+\-])\(?0[1-9]\d{1,3}\)?[ /\-]\d{3,4}[ \-]?\d{4,5}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w|[.\-]\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": rf"{TITLE}(?:\p{{Lu}}\.? )*{SMALL}{WORD}(?: {SMALL}{WORD})*",
+    "name": rf"{TITLE}(?:\p{{Lu}}\.? ){{0,4}}{SMALL}{WORD}(?: {SMALL}{WORD}){{0,6}}|{CUE}{WORD}(?: {SMALL}{WORD}){{1,6}}",
 }
+#: A name's text up to its first word.
+LEAD = f"^(?:{TITLE}|{CUE})"
 #: One pattern for all; the card's back reference is the only group.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Stands on both sides of an entity while a text is taken apart; no character has this number.
@@ -107,27 +112,29 @@ def with_names(d: DataFrame, parts: str, out: str) -> DataFrame:
     it is worked out once.
     """
     gender = lambda t: F.when(t.rlike(rf"^(?:{'|'.join(MALE)})[. ]"), "gm").when(t.rlike(rf"^(?:{'|'.join(FEMALE)})[. ]"), "gf").otherwise("gn")
-    titled = F.when(F.size(parts) > 1, F.filter(parts, lambda t, i: (i % 2 == 1) & t.rlike(f"^{TITLE}"))).otherwise(F.array().cast("array<string>"))
-    words = lambda t: F.regexp_extract_all(F.regexp_replace(t, f"^{TITLE}", ""), F.lit(f"({WORD})"), F.lit(1))
+    titled = F.when(F.size(parts) > 1, F.filter(parts, lambda t, i: (i % 2 == 1) & t.rlike(LEAD))).otherwise(F.array().cast("array<string>"))
+    words = lambda t: F.regexp_extract_all(F.regexp_replace(t, LEAD, ""), F.lit(f"({WORD})"), F.lit(1))
     split = F.transform("_titled", lambda t: F.struct(gender(t).alias("given"), words(t).alias("words")))
     told = lambda n: F.transform(n["words"], lambda w, i: F.struct(w.alias("word"), F.when(i == F.size(n["words"]) - 1, "s").otherwise(n["given"]).alias("role")))
     # longest first, as one may begin another
     longest = F.transform(F.array_sort(F.array_distinct(F.transform("_entries", lambda e: F.struct((-F.length(e["word"])).alias("n"), e["word"].alias("w"))))), lambda x: x["w"])
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    any_word = F.concat(F.lit("(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    # a word alone that begins a sentence may be any word
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:(?<=[\p{L}\p{M}\p{N},;:(\-–—/&'’] ?)"), any_word, F.lit("|(?="), any_word, F.lit(" "), any_word, F.lit(")"), any_word, F.lit(")"))
 
     def role(word: Column) -> Column:
         return F.coalesce(F.get(F.filter("_entries", lambda e: e["word"] == word), F.lit(0))["role"], F.lit("s"))
 
     def cut(part: Column, i: Column) -> Column:
-        marked = F.split(F.regexp_replace(part, F.col("_pattern"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+        marked = F.split(F.regexp_replace(part, F.when(i % 2 == 0, F.col("_pattern")).otherwise(F.col("_titled_pattern")), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
         pieces = F.transform(marked, lambda w, k: F.when(k % 2 == 1, F.concat(F.lit(ROLE), role(w), F.lit(" "), w)).otherwise(w))
         # a titled name is at an entity's place, and begins and ends with what is none: with empty entities around, places stay even and odd
         empty = F.array(F.lit(""))
-        return F.when(i % 2 == 0, pieces).when(part.rlike(f"^{TITLE}"), F.concat(empty, pieces, empty)).otherwise(F.array(part))
+        return F.when(i % 2 == 0, pieces).when(part.rlike(LEAD), F.concat(empty, pieces, empty)).otherwise(F.array(part))
 
     d = d.withColumn("_titled", titled).withColumn("_names", split).withColumn("_entries", F.sort_array(F.array_distinct(F.flatten(F.transform("_names", told)))))
-    d = d.withColumn("_pattern", F.when(F.size("_entries") > 0, pattern))
-    return d.withColumn(out, F.when(F.col("_pattern").isNotNull(), F.flatten(F.transform(parts, cut))).otherwise(F.col(parts))).drop("_titled", "_names", "_entries", "_pattern")
+    d = d.withColumn("_pattern", F.when(F.size("_entries") > 0, pattern)).withColumn("_titled_pattern", F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])"), any_word))
+    return d.withColumn(out, F.when(F.col("_pattern").isNotNull(), F.flatten(F.transform(parts, cut))).otherwise(F.col(parts))).drop("_titled", "_names", "_entries", "_pattern", "_titled_pattern")
 
 
 def described(df: DataFrame) -> DataFrame:
@@ -158,22 +165,34 @@ def described(df: DataFrame) -> DataFrame:
     card = F.when(F.col("canonical").rlike("^[0-9]+$"), F.expr(luhn("canonical"))) == 0
     iban = F.when(F.col("canonical").rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), F.expr(mod97("canonical"))) == 1
     phone = F.length("canonical") > 4
-    real = F.when(F.col("type") == "card", card).when(F.col("type") == "iban", iban).when(F.col("type") == "phone", phone)
+    secret = F.col("value").rlike(r"[\p{L}\p{N}]")  # else nothing is hidden, and nothing could replace it
+    real = F.when(F.col("type") == "card", card).when(F.col("type") == "iban", iban).when(F.col("type") == "phone", phone).when(F.col("type") == "secret", secret)
     real = real.when(F.col("type") == "name", word).otherwise(True)
     return d.withColumn("type", F.when(F.coalesce(real, F.lit(False)), F.col("type")))
 
 
+def one_person(surfaces: DataFrame) -> DataFrame:
+    """A given name under a title without gender is the one that the corpus has under a title with one."""
+    name = surfaces.where("type = 'name' AND lead RLIKE 'g[fm]'")
+    word = F.expr("substring(canonical, instr(canonical, ' ') + 1)")
+    known = name.groupBy(word.alias("_word")).agg(F.min(F.expr("substring_index(canonical, ' ', 1)")).alias("_gender"))
+    d = surfaces.join(known, F.when((F.col("type") == "name") & F.col("canonical").startswith("gn "), word) == F.col("_word"), "left")
+    return d.withColumn("canonical", F.when(F.col("_word").isNotNull(), F.concat("_gender", F.lit(" "), "_word")).otherwise(F.col("canonical"))).drop("_word", "_gender")
+
+
 def _masked(value: str, seed: str) -> str:
     """SQL: value with its letters and digits replaced, each by one of its own class."""
     pick = f"pmod(xxhash64({seed}, i), {{}})"
     lower = f"substring('abcdefghijklmnopqrstuvwxyz', int({pick.format(26)}) + 1, 1)"
     return f"""array_join(transform(split({value}, ''), (c, i) -> CASE WHEN c rlike '[0-9]' THEN string({pick.format(10)})
-        WHEN c rlike '[a-z]' THEN {lower} WHEN c rlike '[A-Z]' THEN upper({lower}) ELSE c END), '')"""
+        WHEN c rlike '[A-Z]' THEN upper({lower}) WHEN c rlike '[\\\\p{{L}}\\\\p{{N}}]' THEN {lower} ELSE c END), '')"""
 
 
 def _hexed(value: str, seed: str) -> str:
-    """SQL: the same for hexadecimal digits, which stay hexadecimal."""
-    return f"array_join(transform(split({value}, ''), (c, i) -> CASE WHEN c rlike '[0-9]' THEN string(pmod(xxhash64({seed}, i), 10)) WHEN c rlike '[a-f]' THEN substring('abcdef', int(pmod(xxhash64({seed}, i), 6)) + 1, 1) WHEN c rlike '[A-F]' THEN substring('ABCDEF', int(pmod(xxhash64({seed}, i), 6)) + 1, 1) ELSE c END), '')"
+    """SQL: the same for hexadecimal digits, which stay hexadecimal; digits stay digits in the first EXACT attempts."""
+    pick = f"xxhash64({seed}, i)"
+    return f"""array_join(transform(split({value}, ''), (c, i) -> CASE WHEN NOT c rlike '[0-9a-fA-F]' THEN c WHEN attempt >= {EXACT} THEN substring('0123456789abcdef', int(pmod({pick}, 16)) + 1, 1)
+        WHEN c rlike '[0-9]' THEN string(pmod({pick}, 10)) ELSE substring('abcdef', int(pmod({pick}, 6)) + 1, 1) END), '')"""
 
 
 def _picked(options: list[str], seed: str) -> str:
@@ -199,43 +218,59 @@ def _named(role: str, word: str, seed: str) -> str:
     return f"array_join(transform(sequence(0, {size} - 1), i -> {chosen}), '')"
 
 
-def surrogate(key: str) -> Column:
-    """The replacement of canonical, of its type, at its attempt: in the canonical's own form."""
-    seed = f"sha2(concat_ws('|', {_text(key)}, type, canonical, string(attempt)), 256)"
-    domain = f"sha2(concat_ws('|', {_text(key)}, 'domain', substring_index(canonical, '@', -1)), 256)"
-    octet = f"CASE WHEN attempt >= {EXACT} THEN 1 + pmod(xxhash64({seed}, i), 254) WHEN length(o) = 1 THEN 1 + pmod(xxhash64({seed}, i), 9) WHEN length(o) = 2 THEN 10 + pmod(xxhash64({seed}, i), 90) ELSE 100 + pmod(xxhash64({seed}, i), 155) END"
-    body = f"concat(substring(canonical, 1, 1), {_masked('substring(canonical, 2, length(canonical) - 2)', seed)})"
-    local = f"concat(substring_index(canonical, '@', 1), repeat('x', greatest(0, attempt - {EXACT - 1})))"
+def seeded(df: DataFrame, key: str) -> DataFrame:
+    """df with replacement: that of canonical, of its type, at its attempt.
+
+    Seeds are columns of their own, or a long value's would be hashed anew for each of its letters.
+    """
+    seed = F.expr(f"sha2(concat_ws('|', {_text(key)}, type, canonical, string(attempt)), 256)")
+    domain = F.expr(f"sha2(concat_ws('|', {_text(key)}, 'domain', substring_index(canonical, '@', -1)), 256)")
+    return df.withColumns({"_seed": seed, "_domain": domain}).withColumn("replacement", surrogate()).drop("_seed", "_domain")
+
+
+def surrogate() -> Column:
+    """The replacement in the canonical's own form, by its seeds."""
+    seed, domain = "_seed", "_domain"
+    # numbers above 255 are no originals
+    wide = f"CASE WHEN attempt >= {4 * EXACT} THEN 256 + pmod(xxhash64({seed}, i), 744) ELSE 1 + pmod(xxhash64({seed}, i), 254) END"
+    octet = f"CASE WHEN attempt >= {EXACT} THEN {wide} WHEN length(o) = 1 THEN 1 + pmod(xxhash64({seed}, i), 9) WHEN length(o) = 2 THEN 10 + pmod(xxhash64({seed}, i), 90) ELSE 100 + pmod(xxhash64({seed}, i), 155) END"
+    extra = f"greatest(0, attempt - {EXACT - 1})"
+    body = f"concat(substring(canonical, 1, 1), {_masked(f"concat(substring(canonical, 2, length(canonical) - 2), repeat('0', {extra}))", seed)})"
+    local = f"concat(substring_index(canonical, '@', 1), repeat('x', {extra}))"
     stem = "regexp_extract(substring_index(canonical, '@', -1), '^(.*)(\\\\.[^.]+)$', 1)"
     top = "regexp_extract(substring_index(canonical, '@', -1), '(\\\\.[^.]+)$', 1)"
     keep = f"regexp_extract(canonical, '^{KEY_LEAD}', 0)"
-    account = _masked("substring(canonical, 5)", seed)
+    account = _masked(f"concat(substring(canonical, 5), repeat('0', {extra}))", seed)
+    more = lambda c: f"concat(canonical, repeat('{c}', {extra}))"
     return F.expr(f"""CASE type
       WHEN 'email' THEN concat({_masked(local, seed)}, '@', {_masked(stem, domain)}, {top})
       WHEN 'ip' THEN array_join(transform(split(canonical, '[.]'), (o, i) -> {octet}), '.')
-      WHEN 'mac' THEN {_hexed("canonical", seed)} WHEN 'ipv6' THEN {_hexed("canonical", seed)}
+      WHEN 'mac' THEN {_hexed("canonical", seed)}
+      WHEN 'ipv6' THEN CASE WHEN attempt >= {EXACT} THEN {_hexed("'fd00:0000:0000:0000:0000:0000:0000:0000'", seed)} ELSE {_hexed("canonical", seed)} END
       WHEN 'card' THEN concat({body}, string((10 - {luhn(f"concat({body}, '0')")}) % 10))
       WHEN 'iban' THEN concat(substring(canonical, 1, 2), lpad(string(98 - {mod97(f"concat(substring(canonical, 1, 2), '00', {account})")}), 2, '0'), {account})
-      WHEN 'phone' THEN concat(string(2 + pmod(xxhash64({seed}), 8)), {_masked("substring(canonical, 2)", seed)})
+      WHEN 'phone' THEN concat(string(2 + pmod(xxhash64({seed}), 8)), {_masked(f"substring({more('0')}, 2)", seed)})
       WHEN 'name' THEN {_named("substring_index(canonical, ' ', 1)", "substring(canonical, instr(canonical, ' ') + 1)", seed)}
-      WHEN 'access_key' THEN concat({keep}, {_masked(f"substring(canonical, length({keep}) + 1)", seed)})
-      WHEN 'secret' THEN CASE WHEN canonical rlike '^[0-9a-f]{{16,}}$' THEN {_hexed("canonical", seed)} ELSE {_masked("canonical", seed)} END
-      ELSE {_masked("canonical", seed)} END""")
+      WHEN 'access_key' THEN concat({keep}, {_masked(f"substring({more('x')}, length({keep}) + 1)", seed)})
+      WHEN 'secret' THEN CASE WHEN canonical rlike '^[0-9a-f]{{16,}}$' THEN {_hexed(more('0'), seed)} ELSE {_masked(more('x'), seed)} END
+      ELSE {_masked(more('0'), seed)} END""")
 
 
 def surrogates(values: DataFrame, key: str) -> DataFrame:
     """(type, canonical, replacement) for distinct (type, canonical): all different, and no original.
 
     Where several would share a replacement, the first of them keeps it and the others try again;
-    so do those whose replacement is in the data itself. After EXACT rounds replacements of names,
-    e-mail and IP addresses have more room, a letter more each round or any number, so that they
-    never run out; other forms have at least 10**4 times more values than a corpus has entities.
+    so do those whose replacement is in the data itself. After EXACT rounds replacements have more
+    room: those of IPv6 addresses are any address, those of IPv4 and MAC addresses any numbers, all
+    others are a letter or digit longer each round. So a form with fewer values than entities runs
+    out of collisions; should a round after 8 * EXACT settle nothing, that is an error.
     """
-    open_ = materialize(values.withColumn("attempt", F.lit(0)).withColumn("replacement", surrogate(key)), "surrogates-open")
+    open_ = materialize(seeded(values.withColumn("attempt", F.lit(0)), key), "surrogates-open")
     word = F.when(F.col("type") == "name", F.expr("substring(canonical, instr(canonical, ' ') + 1)")).otherwise(F.col("canonical"))
     originals = values.select("type", word.alias("replacement"), F.lit(True).alias("taken")).distinct()
-    settled = None
+    settled, rounds = None, 0
     while True:
+        rounds += 1
         least = open_.groupBy("type", "replacement").agg(F.min("canonical").alias("owner"))
         taken = originals if settled is None else originals.unionByName(settled.select("type", "replacement", F.lit(True).alias("taken"))).distinct()
         marked = open_.join(least.join(taken, ["type", "replacement"], "left"), ["type", "replacement"])
@@ -245,8 +280,10 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
         again = marked.where("NOT ok")
         if not again.limit(1).count():
             return settled
-        open_ = again.select("type", "canonical", F.col("attempt") + 1).toDF("type", "canonical", "attempt").withColumn("replacement", surrogate(key))
-        open_ = materialize(open_, "surrogates-open")
+        if rounds > 8 * EXACT and not good.limit(1).count():
+            raise RuntimeError(f"no replacements left for {again.limit(5).collect()}")
+        open_ = again.select("type", "canonical", (F.col("attempt") + 1).alias("attempt"))
+        open_ = materialize(seeded(open_, key), "surrogates-open")
 
 
 def rendered() -> Column:
@@ -254,9 +291,10 @@ def rendered() -> Column:
     zeros = F.regexp_extract(F.regexp_replace("value", r"\D", ""), "^0+", 0)
     plain = F.when(F.col("type") == "phone", F.concat(zeros, "replacement")).when(F.col("type") == "iban", F.expr("substring(replacement, 3)")).otherwise(F.col("replacement"))
     laid = F.expr("""array_join(transform(split(value, ''), (c, i) -> CASE WHEN c rlike '[A-Za-z0-9]'
-        THEN substring(_plain, length(regexp_replace(substring(value, 1, i + 1), '[^A-Za-z0-9]', '')), 1) ELSE c END), '')""")
-    cased = F.expr("""concat(array_join(transform(split(value, ''), (c, i) -> CASE WHEN c rlike '\\\\p{Lu}' THEN upper(substring(_plain, i + 1, 1)) ELSE substring(_plain, i + 1, 1) END), ''),
-        substring(_plain, length(value) + 1))""")
+        THEN substring(_plain, length(regexp_replace(substring(value, 1, i + 1), '[^A-Za-z0-9]', '')), 1) ELSE c END), '') ||
+        substring(_plain, length(regexp_replace(value, '[^A-Za-z0-9]', '')) + 1)""")
+    cased = F.expr("""array_join(zip_with(split(value, ''), split(_plain, ''), (c, p) -> CASE WHEN p IS NULL THEN '' WHEN c IS NULL AND length(value) > 1 AND value = upper(value)
+        THEN upper(p) WHEN c rlike '\\\\p{Lu}' THEN upper(p) ELSE p END), '')""")
     return plain, F.when(F.col("type").isin("phone", "card", "ssn", "iban"), laid).when(F.col("type").isin("email", "mac", "ipv6", "name"), cased).otherwise(F.col("_plain"))
 
 
@@ -276,6 +314,7 @@ def replace_private(docs: DataFrame, key: str = "change me") -> DataFrame:
     found = some.where(many).select("_row", F.posexplode(odd).alias("_at", "surface"))
     found = materialize(found, "privacy-found")
     surfaces = materialize(described(found.select("surface").distinct()), "privacy-surfaces")
+    surfaces = materialize(one_person(surfaces), "privacy-persons")
     made = surrogates(materialize(surfaces.where("type IS NOT NULL").select("type", "canonical").distinct(), "privacy-values"), key)
     plain, shown = rendered()
     bare = F.when(F.col("surface").startswith(ROLE), F.expr("substring(surface, instr(surface, ' ') + 1)")).otherwise(F.col("surface"))

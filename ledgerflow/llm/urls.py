@@ -75,14 +75,18 @@ def viterbi(name: str, words: dict[str, int], total: int) -> list[str]:
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """name, words for distinct names: each with the counts of its own substrings, which a join brings."""
-    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
-    total, longest = total or 1, longest or 1
-    parts = f"""explode(array_distinct(flatten(transform(sequence(1, length(name)), b ->
-        transform(sequence(1, least({longest}, length(name) - b + 1)), k -> substring(name, b, k))))))"""
-    found = names.where("length(name) > 0").select("name", F.expr(parts).alias("word")).join(counts, "word")
-    found = found.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
-    both = names.join(found, "name", "left")
+    """name, words for distinct names: each with the counts of its own substrings, which a join brings.
+
+    Substrings are made a start at a time, and of lengths only that words have, so that no row grows
+    with the square of a name; a name stands for itself by its digest until its words are known.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    lengths = F.array(*[F.lit(r[0]) for r in counts.select(F.length("word").alias("k")).distinct().orderBy("k").collect()]).cast("array<int>")  # whole numbers, as many as words differ in length
+    keyed = names.select("name", F.md5("name").alias("key"))
+    starts = keyed.where("length(name) > 0").select("key", "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("b"), lengths.alias("lengths"))
+    parts = starts.select("key", F.explode(F.expr("transform(filter(lengths, k -> k <= length(name) - b + 1), k -> substring(name, b, k))")).alias("word"))
+    found = parts.join(counts, "word").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("word", "n"))).alias("known"))
+    both = keyed.join(found, "key", "left")
 
     def split(batches):
         for batch in batches:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from re import _parser
 
-from ledgerflow.llm import divergence, licenses, variants
+from ledgerflow.llm import divergence, licenses, urls, variants
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, word string, row long, n long, value long"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -220,3 +220,14 @@ def test_first_differences_split_the_pairs():
         whole = sorted((i, j) for i, a in enumerate(words) for j, b in enumerate(words) if group[i] == group[j] and min(len(a), len(b)) == c and near(a, b))
         parts = [variants.near_pairs(words, group, c, lo, hi) for lo, hi in ((0, 2), (2, 3), (3, c))]
         assert sorted(p for a, b in parts for p in zip(a.tolist(), b.tolist())) == whole
+
+
+def test_long_hosts_and_a_model_that_blocks(spark):
+    """A host of 20,000 letters beside a word as long in a page; and hosts without a rule that are like blocked ones."""
+    rng, long = random.Random(4), "ab" * 10_000
+    pages = [(i, f"http://{w}shop{i}.com/de/{w}/offer", f"<p>{w} shop offer {'x' * rng.randint(1, 9)}</p>") for i, w in enumerate(["cheap", "pills", "bets"] * 20)]
+    pages += [(100 + i, f"http://{w}river{i}.org/{w}", f"<p>{w} river garden</p>") for i, w in enumerate(["calm", "green", "deep"] * 20)]
+    pages += [(200, "http://cheappills.net/offer", ""), (201, "http://greenriver.net/garden", ""), (202, f"http://{long}.net/", f"<b>{long}</b>"), (203, f"http://{long}cheap.net/", None)]
+    got = {r.page_id: r.verdict for r in urls.HostModel().judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(pages) and (got[0], got[100]) == ("block", "allow")
+    assert (got[200], got[201]) == ("block", "allow")

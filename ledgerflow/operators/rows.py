@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
 
 def _user():
     return W.partitionBy("user_id").orderBy("timestamp", "transaction_id")
@@ -15,19 +17,69 @@ def _past():
     return _user().rowsBetween(W.unboundedPreceding, -1)
 
 
-def running(txns: DataFrame) -> DataFrame:
-    """Spend, count, mean and sample deviation before the row; gaps to the row before; balance with it."""
+#: Users with more rows than this are worked on in blocks of time with about so many rows.
+HOT_ROWS = 2_000_000
+
+
+def running(txns: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Spend, count, mean and sample deviation before the row; gaps to the row before; balance with it.
+
+    A user with more than hot_rows rows isn't one task: see in_blocks().
+    """
+    hot = txns.groupBy("user_id").agg(F.count("*").alias("_n"), F.min(F.unix_micros("timestamp")).alias("_from"), F.max(F.unix_micros("timestamp")).alias("_to")).where(F.col("_n") > hot_rows)
+    hot = stored(hot, "hot-users")  # fewer than rows / hot_rows
+    if not hot.limit(1).count():
+        return _running(txns)
+    width = F.greatest(F.lit(1), F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / hot_rows)))
+    d = txns.join(F.broadcast(hot.select("user_id", "_from", width.alias("_width"))), "user_id", "left")
+    few = _running(d.where("_from IS NULL").drop("_from", "_width"))
+    many = in_blocks(d.where("_from IS NOT NULL").withColumn("_block", F.floor((F.unix_micros("timestamp") - F.col("_from")) / F.col("_width"))).drop("_from", "_width"))
+    return few.unionByName(many.select(*few.columns))
+
+
+def _signed():
+    return F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+
+
+def _running(txns: DataFrame) -> DataFrame:
     amount = F.col("amount").cast("double")
     gap = (F.unix_seconds("timestamp") - F.lag(F.unix_seconds("timestamp")).over(_user())).cast("double")
-    signed = F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
     return txns.withColumns({
         "cumulative_spend": F.coalesce(F.sum("amount").over(_past()).cast("double"), F.lit(0.0)),
         "rolling_tx_count": F.row_number().over(_user()) - 1,
         "user_mean_amount": F.coalesce(F.avg(amount).over(_past()), F.lit(0.0)),
         "user_std_amount": F.coalesce(F.stddev_samp(amount).over(_past()), F.lit(0.0)),
         "days_since_previous": F.coalesce(gap / 86400, F.lit(0.0)), "time_gap_hours": F.coalesce(gap / 3600, F.lit(0.0)),
-        "running_balance_proxy": F.sum(signed).over(_user().rowsBetween(W.unboundedPreceding, 0)).cast("double"),
+        "running_balance_proxy": F.sum(_signed()).over(_user().rowsBetween(W.unboundedPreceding, 0)).cast("double"),
+    })
+
+
+def in_blocks(txns: DataFrame) -> DataFrame:
+    """running() of rows with a _block of time: windows within (user, block), and what the blocks before add.
+
+    Counts, sums and squared deviations of blocks are carried on from block to block, a row each;
+    a block's first row has the last time of the blocks before as its previous one.
+    """
+    keys = ["user_id", "_block"]
+    d = stored(txns, "running-blocks")
+    x, s = F.col("amount").cast("double"), F.unix_seconds("timestamp")
+    sums = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("amount").alias("spend"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(_signed()).alias("balance"), F.max(s).alias("last"))
+    before = W.partitionBy("user_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    carried = sums.select(*keys, *[none(F.sum(c).over(before)).alias(f"_{c}") for c in ("n", "spend", "sx", "sxx", "balance")], F.max("last").over(before).alias("_last"))
+    own = W.partitionBy(*keys).orderBy("timestamp", "transaction_id")
+    past = own.rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumns({"_n1": F.row_number().over(own) - 1, "_spend1": none(F.sum("amount").over(past)), "_sx1": none(F.sum(x).over(past)), "_sxx1": none(F.sum(x * x).over(past)),
+        "_balance1": F.sum(_signed()).over(own.rowsBetween(W.unboundedPreceding, 0)), "_s1": F.lag(s).over(own)})
+    d = d.join(carried, keys)
+    n, sx, sxx = (F.col(f"_{c}") + F.col(f"_{c}1") for c in ("n", "sx", "sxx"))
+    gap = (s - F.coalesce("_s1", "_last")).cast("double")
+    d = d.withColumns({
+        "cumulative_spend": (F.col("_spend") + F.col("_spend1")).cast("double"), "rolling_tx_count": n.cast("int"),
+        "user_mean_amount": F.when(n > 0, sx / n).otherwise(0.0), "user_std_amount": F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (sxx - sx * sx / n) / (n - 1)))).otherwise(0.0),
+        "days_since_previous": F.coalesce(gap / 86400, F.lit(0.0)), "time_gap_hours": F.coalesce(gap / 3600, F.lit(0.0)), "running_balance_proxy": (F.col("_balance") + F.col("_balance1")).cast("double"),
     })
+    return d.drop("_block", *[f"_{c}{k}" for c in ("n", "spend", "sx", "sxx", "balance") for k in ("", "1")], "_last", "_s1")
 
 
 def same_key_gaps(txns: DataFrame) -> DataFrame:

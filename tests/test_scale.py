@@ -180,3 +180,18 @@ def test_counterfactual(spark):
     rows = {r.category: r for r in B.counterfactual(d, "now", "usual").collect()}
     assert (rows["dining"].overspend, rows["dining"].target, rows["dining"].per_day) == (30.0, 100.0, 1.0) and (rows["travel"].overspend, rows["travel"].target) == (0.0, 5.0)
     assert rows["dining"].statement == "If spend in 'dining' is reduced by INR 30.00 (approx. INR 1.00/day), overspend probability drops to 0% and savings target is preserved."
+
+
+def test_a_hot_user_is_spread_over_blocks(spark):
+    from ledgerflow.operators import rows as R
+
+    rng = random.Random(6)
+    start = dt.datetime(2024, 1, 1)
+    data = [("hot" if rng.random() < 0.5 else f"u{rng.randint(0, 9)}", f"t{i}", start + dt.timedelta(seconds=rng.randint(0, 400) * 3600), rng.randint(1, 9999) / 100, rng.choice(["credit", "debit"])) for i in range(600)]
+    d = spark.createDataFrame(data, "user_id string, transaction_id string, timestamp timestamp, amount double, direction string").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    shown = lambda x: {r.transaction_id: [round(v, 6) if isinstance(v, float) else v for v in (r.cumulative_spend, r.rolling_tx_count, r.user_mean_amount, r.user_std_amount, r.days_since_previous, r.time_gap_hours, r.running_balance_proxy)] for r in x.collect()}
+    plain = R.running(d)
+    spread = R.running(d, hot_rows=30)
+    assert shown(spread) == shown(plain) and spread.columns == plain.columns
+    blocks = R.in_blocks(d.where("user_id = 'hot'").withColumn("_block", F.floor(F.unix_seconds("timestamp") / 86400)))
+    assert shown(blocks) == {k: v for k, v in shown(plain).items() if k in {t[1] for t in data if t[0] == "hot"}}

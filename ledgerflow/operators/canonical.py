@@ -70,13 +70,31 @@ def mapped(column: Column, values: Mapping[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), column)
 
 
-def first_contained(df: DataFrame, column: str, rules: Sequence[tuple[int, str, str]], out: str) -> DataFrame:
-    """df with `out`: the category of the first rule whose token is contained; distinct values are looked up once."""
-    spark = df.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(rules), "rank int, token string, hit string"))
-    keys = df.select(F.col(column).alias("_key")).distinct()
-    found = keys.join(table, F.contains(F.lower("_key"), F.col("token"))).groupBy("_key").agg(F.min_by("hit", "rank").alias(out))
-    return df.join(found, F.col(column) == F.col("_key"), "left").drop("_key")
+#: Tokens are found by one of their runs of so many letters.
+GRAM = 4
+
+
+def token_index(rules: DataFrame) -> DataFrame:
+    """rules with gram: of each token's runs of GRAM letters (all of a shorter token), the one that fewest tokens have."""
+    runs = F.expr(f"transform(sequence(1, greatest(1, length(token) - {GRAM - 1})), i -> substring(token, i, {GRAM}))")
+    each = rules.select("rank", "token", "hit", F.explode(F.array_distinct(runs)).alias("gram"))
+    common = each.groupBy("gram").agg(F.count("*").alias("_n"))
+    return each.join(common, "gram").groupBy("rank", "token", "hit").agg(F.min_by("gram", F.struct("_n", "gram")).alias("gram"))
+
+
+def first_contained(df: DataFrame, column: str, rules: Sequence[tuple[int, str, str]] | DataFrame, out: str) -> DataFrame:
+    """df with `out`: the hit of the rule of least rank whose token is contained in the lower-cased value; null if none.
+
+    rules are (rank, token, hit), a list or a table of any size. Distinct values are looked up once:
+    their runs of letters meet the tokens' by an equi-join, and only such pairs are verified. A null
+    value has no rule; an empty token is in every value.
+    """
+    table = rules if isinstance(rules, DataFrame) else df.sparkSession.createDataFrame(list(rules), "rank int, token string, hit string")
+    index = token_index(table.select("rank", "token", "hit"))
+    keys = df.select(F.col(column).alias("_key")).where("_key IS NOT NULL").distinct().withColumn("_text", F.lower("_key"))
+    runs = F.expr(f"array_distinct(flatten(transform(sequence(0, {GRAM}), n -> if(length(_text) < n, array(), transform(sequence(1, length(_text) - n + 1), i -> substring(_text, i, n))))))")
+    found = keys.select("_key", "_text", F.explode(runs).alias("gram")).join(index, "gram").where(F.contains("_text", F.col("token")))
+    return df.join(found.groupBy("_key").agg(F.min_by("hit", "rank").alias(out)), F.col(column) == F.col("_key"), "left").drop("_key")
 
 
 def normalize_category(df: DataFrame, column: str, out: str = "category") -> DataFrame:

@@ -195,3 +195,20 @@ def test_a_hot_user_is_spread_over_blocks(spark):
     assert shown(spread) == shown(plain) and spread.columns == plain.columns
     blocks = R.in_blocks(d.where("user_id = 'hot'").withColumn("_block", F.floor(F.unix_seconds("timestamp") / 86400)))
     assert shown(blocks) == {k: v for k, v in shown(plain).items() if k in {t[1] for t in data if t[0] == "hot"}}
+
+
+def test_first_contained_equals_plain(spark):
+    from ledgerflow.operators import canonical as C
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    rules = [(i, word(rng.randint(1, 7)), f"h{i}") for i in range(300)]
+    rng.shuffle(rules)
+    values = [word(rng.randint(0, 30)).upper() for _ in range(200)] + [None, "", "x", "ZOO"]
+    plain = lambda v, rs: None if v is None else min(((r, h) for r, t, h in rs if t in v.lower()), default=(0, None))[1]
+    d = spark.createDataFrame([(v, "k") for v in values], "v string, gram string")
+    for rs in (rules, rules[:5], [*rules[:3], (1000, "", "any")]):
+        for given in (rs, spark.createDataFrame(rs, "rank int, token string, hit string")):
+            got = C.first_contained(d, "v", given, "out").collect()
+            assert sorted(((r.v, r.out) for r in got), key=str) == sorted(((v, plain(v, rs)) for v in values), key=str)
+            assert all(r.gram == "k" for r in got)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import clean_merchant, merchant_key, resolver_form
+from ..functions.scalars import clean_merchant, merchant_key, payment_forms, resolver_form
 from ..functions.taxonomy import ALIASES, EXPENSE_CATEGORIES, INCOME
 
 SCHEMA = T.StructType(
@@ -65,6 +66,25 @@ def validate(df: DataFrame) -> DataFrame:
     return df.withColumns({"direction": direction, "errors": F.filter(checks, lambda e: e.isNotNull())})
 
 
+def union_sources(sources: Mapping[str, tuple[str, DataFrame]]) -> DataFrame:
+    """One table of several sources by columns' names: user ids get the source's prefix, `source` its name; a column that one lacks is null there."""
+    parts = [d.withColumns({"user_id": F.concat(F.lit(prefix), F.col("user_id").cast("string")), "source": F.lit(name)}) for name, (prefix, d) in sources.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def source_status(union: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(source, n, users, status) of each expected source, also of those without rows."""
+    found = union.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    d = union.sparkSession.createDataFrame([(x,) for x in names], "source string").join(found, "source", "left").na.fill(0, ["n", "users"])
+    return d.withColumn("status", F.when(F.col("n") > 0, F.format_string("OK (%d rows)", "n")).otherwise("EMPTY"))
+
+
+def with_payment_forms(labelled: DataFrame) -> DataFrame:
+    """(description, category) with each description also as statements write it, joined in upper case and joined; once each, longer than a letter."""
+    forms = F.explode(F.concat(F.array("description"), F.slice(payment_forms(F.col("description")), 1, 2))).alias("description")
+    return labelled.select(forms, "category").dropDuplicates().where("length(description) > 1")
+
+
 def mapped(column: Column, values: Mapping[str, str]) -> Column:
     """The value of a fixed map, null if there is none: a literal map for equality look-ups."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), column)

@@ -315,17 +315,29 @@ def s11(spark, sf_dir):
     return d.select("user_id", *[S.rnd(F.col(c), k).alias(c) for c, k in (("log_income", 4), ("savings_rate", 4), ("mean_expense", 3), ("share_housing", 4), ("share_groceries", 4))])
 
 
-@register("S12", f"WITH {TX}, {EV}, j AS (SELECT category AS description, json_keys(props) AS ks, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM evs JOIN events ON transaction_id = CAST(event_id AS VARCHAR)) SELECT DISTINCT description, category FROM (SELECT description, category FROM txns UNION ALL SELECT description, 'k' || (k % 5) FROM j WHERE len(ks) = 1) WHERE length(description) > 1")
+_JOINED = "replace(replace(trim(regexp_replace(description, '\\s+', ' ', 'g')), ' ', ''), '-', '')"
+
+
+@register("S12", f"""WITH {TX}, {EV}, j AS (SELECT category AS description, json_keys(props) AS ks, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM evs JOIN events ON transaction_id = CAST(event_id AS VARCHAR)),
+  l AS (SELECT description, category FROM txns UNION SELECT description, 'k' || (k % 5) FROM j WHERE len(ks) = 1)
+  SELECT DISTINCT * FROM (SELECT unnest([description, upper({_JOINED}), {_JOINED}]) AS description, category FROM l) WHERE length(description) > 1""")
 def s12(spark, sf_dir):
+    """Labelled texts of two sources, one with labels in JSON, and their payment forms."""
     from ..sources.views import table
 
     e = table(spark, sf_dir, "events").withColumn("m", F.from_json("props", "map<string,long>")).where(F.size("m") == 1)
     tagged = e.select(F.col("event_type").alias("description"), F.concat(F.lit("k"), (F.element_at("m", "k") % 5).cast("string")).alias("category"))
-    return canonical_txns(spark, sf_dir).select("description", "category").unionByName(tagged).dropDuplicates().where("length(description) > 1")
+    return C.with_payment_forms(canonical_txns(spark, sf_dir).select("description", "category").unionByName(tagged).distinct())
 
 
-@register("S13", f"WITH {TX}, {EV}, u AS (SELECT 'cc_' || user_id AS user_id, 'card' AS source FROM txns UNION ALL SELECT 'in_' || user_id, 'bank' FROM evs) SELECT source, count(*) AS n, count(DISTINCT user_id) AS users FROM u GROUP BY source")
+@register("S13", f"""WITH {TX}, {EV}, u AS (SELECT 'cc_' || user_id AS user_id, 'card' AS source FROM txns UNION ALL SELECT 'in_' || user_id, 'bank' FROM evs UNION ALL SELECT 'pf_' || o_custkey, 'finance_tracker' FROM orders),
+  s AS (SELECT source, count(*) AS n, count(DISTINCT user_id) AS users FROM u GROUP BY source)
+  SELECT source, coalesce(n, 0) AS n, coalesce(users, 0) AS users, CASE WHEN n > 0 THEN 'OK (' || n || ' rows)' ELSE 'EMPTY' END AS status FROM (VALUES ('card'), ('bank'), ('finance_tracker'), ('uploads')) x(source) LEFT JOIN s USING (source)""")
 def s13(spark, sf_dir):
-    named = lambda d, p, s: d.select(F.concat(F.lit(p), "user_id").alias("user_id"), F.lit(s).alias("source"))
-    both = named(canonical_txns(spark, sf_dir), "cc_", "card").unionByName(named(canonical_events(spark, sf_dir), "in_", "bank"))
-    return both.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    """All sources in one table with prefixed ids, and the status of each, also of one that has no rows."""
+    from ..sources.views import table
+
+    card, bank = canonical_txns(spark, sf_dir).select("user_id"), canonical_events(spark, sf_dir).select("user_id")
+    finance = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"))
+    union = C.union_sources({"card": ("cc_", card), "bank": ("in_", bank), "finance_tracker": ("pf_", finance)})
+    return C.source_status(union, ("card", "bank", "finance_tracker", "uploads"))

@@ -46,8 +46,9 @@ PATTERNS = {
 }
 #: A name's text up to its first word.
 LEAD = f"^(?:{TITLE}|{CUE})"
-#: One pattern for all; the card's back reference is the only group.
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_EACH = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: One pattern for all; the card's back reference is the only group. Within a word only two types can begin.
+ANY = rf"(?<![A-Za-z0-9])(?:{_EACH})|(?<=[A-Za-z])(?:{PATTERNS['mac']}|{PATTERNS['ip']})"
 #: Stands on both sides of an entity while a text is taken apart; no character has this number.
 MARK = "\ufdd0"
 #: Stands, with a digit, for a mark or itself in a text that has one.

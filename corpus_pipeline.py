@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: each stage reads what the one before it kept."""
+"""A training corpus from raw documents: each stage reads what the one before it kept.
+
+Null and empty texts have no words, so the first stage rejects them. Of exact or near copies those
+with the smallest doc_id stay; rows of one doc_id stay or go together, and a row without one stays.
+A null lang or source is a group of its own. An empty table gives no rows in every stage.
+Columns other than doc_id, text, lang, source and n_chars pass through up to the last stage,
+whatever their names; only an n_entities is set anew with the surrogates.
+"""
 
 from __future__ import annotations
 

@@ -41,3 +41,10 @@ def test_stages_follow_each_other(spark, tmp_path):
     t = Tokenizer.from_file(str(public_tokenizers.path(VOCABULARY)))
     want = sum(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in seen["mixing"])
     assert sum(r.length for r in seen["packing"]) == want and max(r.offset + r.length for r in seen["packing"]) <= 1024
+
+
+def test_no_documents_and_only_rejected_ones(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, n_entities string"
+    for name, rows in (("none", []), ("rejected", [(1, None, None, None, None, "x"), (2, "", "en", "a", 0, "x"), (2, "short", "en", "a", 5, "x")])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect() == []

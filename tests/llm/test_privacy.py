@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import privacy
@@ -32,11 +31,10 @@ def test_few_forms_end(spark):
     assert not {n for n in new} & set(small)
 
 
-@pytest.mark.parametrize("text", ["a-" * 500_000, "Mr. " + "Ab " * 300_000, "Mr. " + "A. " * 300_000, "x@" + "ab." * 300_000 + "org", "password" + "_password" * 100_000 + "=abc12345x", "a:" * 500_000, "1-" * 500_000,
-    "Ms " + "O'" * 300_000 + "Ab", "Mr. " + "von " * 200_000 + "Ab", "token: " + "a!" * 500_000, "My name is " + "Ab-" * 300_000, "1.2." * 250_000, "GB12 " + "ABCD " * 200_000], ids=lambda t: t[:12])
-def test_a_megabyte_of_a_pattern(spark, text):
-    out = replaced(spark, [text + " mail bob@site.org."])[0]
-    assert "bob@site.org" not in out
+def test_a_megabyte_of_each_pattern(spark):
+    runs = ["a-" * 500_000, "Mr. " + "Ab " * 300_000, "Mr. " + "A. " * 300_000, "x@" + "ab." * 300_000 + "org", "password" + "_password" * 100_000 + "=abc12345x", "a:" * 500_000, "1-" * 500_000,
+        "Ms " + "O'" * 300_000 + "Ab", "Mr. " + "von " * 200_000 + "Ab", "token: " + "a!" * 500_000, "My name is " + "Ab-" * 300_000, "1.2." * 250_000, "GB12 " + "ABCD " * 200_000]
+    assert not any("bob@site.org" in t for t in replaced(spark, [t + " mail bob@site.org." for t in runs]))
 
 
 def test_what_is_found(spark):

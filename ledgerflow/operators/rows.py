@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rnd
 from ..sources.files import stored
 
 
@@ -140,7 +141,7 @@ def leakage_audit(txns: DataFrame, cutoff: str) -> DataFrame:
     full = row_features(txns).where(F.col("timestamp") <= cutoff)
     past = row_features(txns.where(F.col("timestamp") <= cutoff))
     both = full.alias("f").join(past.alias("p"), "transaction_id")
-    differs = lambda n: ~F.round(F.col(f"f.{n}"), 3).eqNullSafe(F.round(F.col(f"p.{n}"), 3))
+    differs = lambda n: ~rnd(F.col(f"f.{n}"), 3).eqNullSafe(rnd(F.col(f"p.{n}"), 3))
     sums = both.agg(F.count("*").alias("rows"), *[F.sum(differs(n).cast("long")).alias(n) for n in names])
     return sums.unpivot(["rows"], list(names), "feature", "changed").withColumn("leaks", F.col("changed") > 0)
 

@@ -11,29 +11,83 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_bucket, hash_place
 
 
-def global_position(df: DataFrame, cut_ranks: list[int]) -> DataFrame:
-    """df with `part`: how many of the cut ranks lie at or before its place by (timestamp, id).
+#: Rows whose order one task finds; of a longer range so many rows mark its parts.
+SORTED, MARKS = 200_000, 256
+_DAY = 86_400_000_000
 
-    A histogram by day finds the days that hold a cut; rows are numbered within those days only.
+
+def _order():
+    return F.struct(F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), F.col("transaction_id").alias("id"))
+
+
+def _literal(df: DataFrame, key):
+    return F.struct(F.lit(key["at"]).cast("long").alias("at"), F.lit(key["id"]).cast(df.schema["transaction_id"].dataType).alias("id"))
+
+
+def _holding(counts, rank: int):
+    """Of sorted (bucket, n) the one that holds the 0-based rank, and the rows before it."""
+    before = 0
+    for bucket, n in counts:
+        if rank < before + n:
+            return bucket, n, before
+        before += n
+
+
+def keys_at(df: DataFrame, fractions) -> list:
+    """The (time, id) at the place int(n * fraction) in the order of both; None where there is no such row.
+
+    Counts by day find the day of each place. A day with more than SORTED rows is cut at MARKS of
+    its rows, drawn by hash, and the part with the place is counted and cut again until it is small
+    or holds one key only; so a table of one instant is no single task. What comes to the driver is
+    bounded by the calendar's days and by MARKS.
     """
-    days = df.groupBy(F.col("timestamp").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    upto = days.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    holds = lambda k: (F.col("before") < k) & (F.col("before") + F.col("n") > k)
-    inside = sum((holds(k).cast("int") for k in cut_ranks), F.lit(0)) > 0
-    d = df.withColumn("day", F.col("timestamp").cast("date")).join(upto.withColumn("inside", inside), "day")
-    # only rows of the few days with a cut share a window; the others are numbered by their day
-    order = W.partitionBy("day", F.when(F.col("inside"), 0).otherwise(F.pmod(F.xxhash64("transaction_id"), F.lit(1024)))).orderBy("timestamp", "transaction_id")
-    rank = F.when(F.col("inside"), F.col("before") + F.row_number().over(order) - 1).otherwise(F.col("before"))
-    part = sum(((rank >= k).cast("int") for k in cut_ranks), F.lit(0))
-    return d.withColumn("part", part).drop("day", "n", "before", "inside")
+    keys = df.select(_order().alias("k"))
+    days = sorted(keys.groupBy(F.floor(F.col("k.at") / _DAY).alias("d")).count().collect(), key=lambda r: (r["d"] is not None, r["d"] or 0))
+    total = sum(r["count"] for r in days)
+    out = []
+    for rank in (int(total * f) for f in fractions):
+        found = _holding([(r["d"], r["count"]) for r in days], rank)
+        if found is None:
+            out.append(None)
+            continue
+        day, n, before = found
+        at = F.col("k.at")
+        inside = keys.where(at.isNull() if day is None else (at >= day * _DAY) & (at < (day + 1) * _DAY))
+        out.append(_key_at(df, inside, n, rank - before))
+    return out
+
+
+def _key_at(df: DataFrame, keys: DataFrame, n: int, rank: int):
+    while n > SORTED:
+        marks = keys.orderBy(F.xxhash64("k")).limit(MARKS).agg(F.array_sort(F.collect_set("k"))).first()[0]
+        known = F.array(*[_literal(df, m) for m in marks])
+        # even parts lie between marks, odd ones are the rows of a mark
+        part = 2 * F.size(F.filter(known, lambda m: m < F.col("k"))) + F.array_contains(known, F.col("k")).cast("int")
+        counts = sorted(tuple(r) for r in keys.groupBy(part.alias("part")).count().collect())
+        bucket, n, before = _holding(counts, rank)
+        i, equal = divmod(bucket, 2)
+        if equal:
+            return marks[i]
+        if i > 0:
+            keys = keys.where(F.col("k") > _literal(df, marks[i - 1]))
+        if i < len(marks):
+            keys = keys.where(F.col("k") < _literal(df, marks[i]))
+        rank -= before
+    return keys.orderBy("k").limit(rank + 1).agg(F.max("k")).first()[0]
 
 
 def temporal_split(df: DataFrame, fractions=(0.8,)) -> DataFrame:
-    """split by time: train, then val and test (or test alone), cut at int(n * fraction)."""
-    n = df.count()
+    """split by (timestamp, transaction_id): train, then val and test (or test alone), cut at int(n * fraction).
+
+    Rows are held against the cuts' keys and not shuffled. Rows equal in both columns lie on the same
+    side, the later; a null timestamp is earliest.
+    """
     names = ("train", "test") if len(fractions) == 1 else ("train", "val", "test")
-    d = global_position(df, [int(n * f) for f in fractions])
-    return d.withColumn("split", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("part") + 1)).drop("part")
+    split = F.lit(names[0])
+    for name, key in zip(names[1:], keys_at(df, fractions)):
+        if key is not None:
+            split = F.when(_order() >= _literal(df, key), name).otherwise(split)
+    return df.withColumn("split", split)
 
 
 def key_split(df: DataFrame, key: str, train: float, seed: int = 42) -> DataFrame:

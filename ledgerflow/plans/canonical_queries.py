@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import taxonomy as X
 from ..operators import canonical as C
+from ..operators import splits as L
 from ..sources.views import EV, TX, canonical_events, canonical_txns
 from .panel_queries import _sql, rounded
 from .registry import register
+from .split_queries import _time
 
 _values = lambda m: ", ".join(f"('{a}', '{b}')" for a, b in m.items())
 
@@ -92,13 +94,13 @@ def f6(spark, sf_dir):
     return canonical_txns(spark, sf_dir).select("merchant_raw", S.resolver_form(F.col("merchant_raw")).alias("form")).distinct()
 
 
-@register("J8", _sql(TX, f""", tr AS (SELECT merchant_raw AS merchant, min(timestamp) AS first_seen FROM txns WHERE timestamp < TIMESTAMP '1998-01-01' AND trim(merchant_raw) <> '' GROUP BY 1), forms AS (SELECT {_FORM('merchant')} AS form, arg_min(merchant, (first_seen, merchant)) AS by_form FROM tr WHERE {_FORM('merchant')} <> '' GROUP BY 1),
-q AS (SELECT DISTINCT merchant_raw AS merchant FROM txns WHERE timestamp >= TIMESTAMP '1998-01-01')
+@register("J8", _sql(_time([0.8]), f""", tr AS (SELECT merchant_raw AS merchant, min(timestamp) AS first_seen FROM split WHERE split = 'train' AND trim(merchant_raw) <> '' GROUP BY 1), forms AS (SELECT {_FORM('merchant')} AS form, arg_min(merchant, (first_seen, merchant)) AS by_form FROM tr WHERE {_FORM('merchant')} <> '' GROUP BY 1),
+q AS (SELECT DISTINCT merchant_raw AS merchant FROM split WHERE split = 'test')
 SELECT q.merchant, coalesce(tr.merchant, by_form, q.merchant, 'UNKNOWN_MERCHANT_KEY') AS resolved, CASE WHEN coalesce(tr.merchant, by_form) IS NULL THEN 'UNKNOWN_MERCHANT' ELSE 'KNOWN_MERCHANT' END AS state FROM q LEFT JOIN tr ON q.merchant = tr.merchant LEFT JOIN forms ON {_FORM('q.merchant')} = form"""))
 def j8(spark, sf_dir):
-    t = canonical_txns(spark, sf_dir)
-    train = t.where("timestamp < '1998-01-01'").select(F.col("merchant_raw").alias("merchant"), F.col("timestamp").alias("first_seen"))
-    return C.resolve(t.where("timestamp >= '1998-01-01'").select(F.col("merchant_raw").alias("merchant")).distinct(), train)
+    t = L.temporal_split(canonical_txns(spark, sf_dir))
+    train = t.where("split = 'train'").select(F.col("merchant_raw").alias("merchant"), F.col("timestamp").alias("first_seen"))
+    return C.resolve(t.where("split = 'test'").select(F.col("merchant_raw").alias("merchant")).distinct(), train)
 
 
 #: Labels of the transactions' descriptions, and of a few foreign taxonomies, by line.

@@ -177,12 +177,19 @@ def _features_sql(prefix, where):
     return body.replace(f"{prefix}txns AS (\n", f"{prefix}all AS (\n").replace(f"{prefix}running AS (", f"{prefix}txns AS (SELECT * FROM {prefix}all WHERE {where}),\n{prefix}running AS (")
 
 
-@register("P5", _sql(f"{_features_sql('f', 'TRUE')}, {_features_sql('p', chr(34) + 'timestamp' + chr(34) + chr(32) + '<= TIMESTAMP ' + chr(39) + '1999-12-31' + chr(39))}",
+#: Features are audited up to a day four fifths into the time range.
+_AUDITED = "\"timestamp\" <= (SELECT CAST(min(\"timestamp\") AS DATE) + CAST(floor(date_diff('day', min(\"timestamp\"), max(\"timestamp\")) * 0.8) AS INT) FROM pall)"
+
+
+@register("P5", _sql(f"{_features_sql('f', 'TRUE')}, {_features_sql('p', _AUDITED)}",
     ", ".join(["", *[f"{x}all_ AS (SELECT * FROM {x}running JOIN {x}mstats USING (merchant_key) JOIN {x}ratios USING (user_id))" for x in "fp"]])
     + f", one AS (SELECT count(*) AS rows, {', '.join(f'CAST(sum(CAST(round(f.{n}, 3) IS DISTINCT FROM round(p.{n}, 3) AS INT)) AS BIGINT) AS {n}' for n in _leak)} FROM fall_ f JOIN pall_ p USING (transaction_id)) "
     + f"SELECT rows, feature, changed, changed > 0 AS leaks FROM (UNPIVOT one ON {', '.join(_leak)} INTO NAME feature VALUE changed)"))
 def p5(spark, sf_dir):
-    return R.leakage_audit(canonical_txns(spark, sf_dir), "1999-12-31")
+    t = canonical_txns(spark, sf_dir)
+    first, last = F.min("timestamp").cast("date"), F.max("timestamp").cast("date")
+    cutoff = t.agg(F.date_add(first, F.floor(F.datediff(last, first) * 0.8).cast("int")).cast("string")).first()[0]
+    return R.leakage_audit(t, cutoff)
 
 
 SEQ = f"""{TX}, voc AS (SELECT category, row_number() OVER (ORDER BY category) AS category_id FROM (SELECT DISTINCT category FROM txns)),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -14,13 +11,15 @@ from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, N
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from . import boosting
+
 FRAME = ["lag_1", "lag_2", "lag_3", "roll_mean_3", "roll_std_3", "tot_lag_1", "moy_sin", "moy_cos", "cur_income"]
 
 #: Character 3- to 5-grams of words padded with a blank, as SQL.
@@ -125,37 +124,26 @@ def assembled(df: DataFrame, columns=FRAME) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep").transform(d)
 
 
-def regressor(kind: str = "boosted", trees: int | None = None):
-    """linear, forest (100 trees) or boosted (300 rounds), of `target` on `features`."""
+def regressor(kind: str = "linear", trees: int = 100):
+    """linear or forest, of `target` on `features`; boosted ones are boosted_regressor()."""
     return {
-        "linear": lambda: LinearRegression(labelCol="target", regParam=0.1), "forest": lambda: RandomForestRegressor(labelCol="target", numTrees=trees or 100, maxDepth=8, seed=42),
-        "boosted": lambda: GBTRegressor(labelCol="target", maxDepth=4, stepSize=0.06, maxIter=trees or 300, seed=42),
+        "linear": lambda: LinearRegression(labelCol="target", regParam=0.1), "forest": lambda: RandomForestRegressor(labelCol="target", numTrees=trees, maxDepth=8, seed=42),
     }[kind]()
 
 
-def importances(model, columns=FRAME) -> list[tuple[str, float]]:
-    return [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())]
-
-
-def per_category(frame: DataFrame, categories, min_rows: int = 40, trees: int | None = None, at_once: int = 4) -> dict:
-    """A boosted regressor a category, or its mean where it has few rows; some are fitted at a time."""
-    stats = {r["category"]: (r["n"], r["m"]) for r in frame.groupBy("category").agg(F.count("*").alias("n"), F.avg("target").alias("m")).collect()}
+def boosted_regressor(frame: DataFrame, columns=FRAME, rounds: int = 100) -> boosting.Boosted:
+    """One boosted model of `target` for all rows: depth 6, rate 0.1."""
+    return boosting.fit(frame, columns, rounds=rounds, depth=6, rate=0.1)
 
-    def fit(c: str):
-        n, mean = stats.get(c, (0, 0.0))
-        return regressor("boosted", trees).fit(frame.where(F.col("category") == c)) if n >= min_rows else float(mean or 0.0)
 
-    with ThreadPoolExecutor(at_once) as pool:
-        return dict(zip(categories, pool.map(fit, categories)))
+def forecaster(frame: DataFrame, columns=FRAME, rounds: int = 300, min_rows: int = 40) -> boosting.Boosted:
+    """A boosted model a category, or its mean where it has few rows: depth 4, rate 0.06; all grow in the same jobs."""
+    return boosting.fit(frame, columns, group="category", rounds=rounds, depth=4, rate=0.06, least=min_rows)
 
 
-def forecast(models: dict, serving: DataFrame) -> DataFrame:
-    """user_id, category, forecast (floored at 0) of assembled serving rows."""
-    parts = []
-    for c, m in models.items():
-        rows = serving.where(F.col("category") == c)
-        parts.append(rows.select("user_id", "category", F.lit(m).alias("forecast")) if isinstance(m, float) else m.transform(rows).select("user_id", "category", F.greatest("prediction", F.lit(0.0)).alias("forecast")))
-    return reduce(DataFrame.unionByName, parts)
+def forecast(model: boosting.Boosted, serving: DataFrame) -> DataFrame:
+    """user_id, category, forecast (floored at 0) of serving rows."""
+    return model.transform(serving).select("user_id", "category", F.greatest("prediction", F.lit(0.0)).alias("forecast"))
 
 
 def cohorts(profiles: DataFrame, columns, k: int = 6, seed: int = 42):

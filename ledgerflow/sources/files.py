@@ -33,6 +33,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes a step that stored() wrote, once nothing will read it again."""
+    files = df.inputFiles()
+    df.unpersist()
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _complete(df: DataFrame, cleanup: bool = False) -> DataFrame:
     if cleanup:
         df = df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import drift, metrics, models, quantiles
+from ledgerflow.operators import boosting, drift, metrics, models, quantiles
 from ledgerflow.operators import recommend as B
+from ledgerflow.operators import splits
 from ledgerflow.sources import files
 from ledgerflow.streaming import tracker
 
@@ -212,3 +213,82 @@ def test_first_contained_equals_plain(spark):
             got = C.first_contained(d, "v", given, "out").collect()
             assert sorted(((r.v, r.out) for r in got), key=str) == sorted(((v, plain(v, rs)) for v in values), key=str)
             assert all(r.gram == "k" for r in got)
+
+
+@pytest.mark.parametrize("limit,marks", [(200_000, 256), (5, 3), (1, 1)])
+def test_time_cuts_in_crowded_days(spark, monkeypatch, limit, marks):
+    monkeypatch.setattr(splits, "SORTED", limit)
+    monkeypatch.setattr(splits, "MARKS", marks)
+    day = dt.datetime(2024, 3, 5, 12)
+    rows = [(day, f"t-{i * 7 % 40:03d}") for i in range(40)] + [(dt.datetime(2024, 3, 6), "t-100"), (dt.datetime(1960, 1, 1, 5), "a"), (None, "n"), (None, None)]
+    d = spark.createDataFrame(rows, "timestamp timestamp, transaction_id string")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or day, r[1] is not None, r[1] or ""))
+    got = {(r.timestamp, r.transaction_id): r.split for r in splits.temporal_split(d, (0.03, 0.7)).collect()}
+    assert [got[r] for r in order] == ["train"] * 1 + ["val"] * 29 + ["test"] * 14
+    # repeated rows share a side; a table of one key, an empty table and extra columns
+    same = spark.createDataFrame([(day, "x", 1, 2)] * 9 + [(day, "w", 1, 2)], "timestamp timestamp, transaction_id string, part int, day int")
+    assert sorted((r.transaction_id, r.split, r.part, r.day) for r in splits.temporal_split(same).collect()) == [("w", "train", 1, 2)] + [("x", "test", 1, 2)] * 9
+    assert splits.temporal_split(d.limit(0)).collect() == []
+
+
+def plain_boosting(x, y, rounds, depth, rate, l2=1.0, leaf=20):
+    """Trees over every distinct value, one row at a time, by the same gain; the scores of the rows."""
+    score = np.full(len(y), y.mean())
+    for _ in range(rounds):
+        leaves = [np.arange(len(y))]
+        for _ in range(depth):
+            after = []
+            for rows in leaves:
+                gap, best = (score - y)[rows], (0.0, None)
+                for f in range(x.shape[1]):
+                    for v in np.unique(x[rows, f])[:-1]:
+                        left = x[rows, f] <= v
+                        a, b = gap[left], gap[~left]
+                        if min(len(a), len(b)) >= leaf:
+                            gain = a.sum() ** 2 / (len(a) + l2) + b.sum() ** 2 / (len(b) + l2) - gap.sum() ** 2 / (len(gap) + l2)
+                            best = max(best, (gain, f, -v), key=lambda z: z[0]) if best[1] is not None or gain > 0 else best
+                if best[1] is None:
+                    after.append(rows)
+                else:
+                    left = x[rows, best[1]] <= -best[2]
+                    after += [rows[left], rows[~left]]
+            leaves = after
+        step = np.zeros(len(y))
+        for rows in leaves:
+            step[rows] = -rate * (score - y)[rows].sum() / (len(rows) + l2)
+        score = score + (step if len(leaves) > 1 else 0)
+    return score
+
+
+def test_boosting_of_groups_equals_plain(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for g, n, scale in (("a", 150, 1.0), ("b", 90, 100.0), ("few", 30, 1.0)):
+        x = rng.integers(0, 12, (n, 3)) / 4
+        y = np.round(scale * (x[:, 0] * 3 + (x[:, 1] > 1) * x[:, 2]) + rng.normal(0, scale / 5, n), 3)
+        score = plain_boosting(x, y, 5, 3, 0.3) if n >= 40 else np.full(n, y.mean())
+        for i in range(n):
+            rows.append((g, f"{g}{i}", *map(float, x[i]), float(y[i])))
+            want[f"{g}{i}"] = score[i]
+    rows += [("a", "null", 0.0, 0.0, 0.0, None), (None, "none", 1.0, None, float("nan"), 7.0)]
+    d = spark.createDataFrame(rows, "grp string, id string, p double, q double, r double, target double")
+    model = boosting.fit(d.repartition(3), ["p", "q", "r"], group="grp", rounds=5, depth=3, rate=0.3)
+    got = {r.id: r.prediction for r in model.transform(d).collect()}
+    assert model.rounds == 5 and max(abs(got[i] - want[i]) for i in want) < 0.05
+    assert got["none"] == pytest.approx(7.0) and got["null"] is not None
+    again = boosting.fit(d.repartition(5), ["p", "q", "r"], group="grp", rounds=5, depth=3, rate=0.3)
+    assert {r.id: r.prediction for r in again.transform(d).collect()} == got  # whatever the partitions
+    assert sum(v for _, v in model.importances()) == pytest.approx(1.0)
+    unseen = spark.createDataFrame([("z", 1.0, 1.0, 1.0)], "grp string, p double, q double, r double")
+    assert model.transform(unseen).first().prediction == 0.0
+    empty = boosting.fit(d.limit(0), ["p", "q", "r"], group="grp")
+    assert empty.rounds == 0 and empty.transform(unseen).first().prediction == 0.0
+
+
+def test_boosting_stops_when_held_out_rows_gain_nothing(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "HELD_OUT", 100)
+    monkeypatch.setattr(boosting, "PATIENCE", 2)
+    d = spark.range(2000).select((F.col("id") % 10).cast("double").alias("p"), (F.rand(3) * 10).alias("target"))
+    model = boosting.fit(d, ["p"], rounds=60, depth=2, rate=0.3)
+    assert 0 < model.rounds < 60

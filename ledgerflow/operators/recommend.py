@@ -186,7 +186,7 @@ def health_v2(profiles: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         "savings": clip(F.col("savings_rate") / 0.2 * 25, 0.0, 25.0), "stability": clip(20 * (1 - F.least(F.lit(1.0), F.col("volatility"))), 0.0, 20.0),
         "essential": left(essential, 0.6), "control": left(free, 0.4), "regularity": clip(F.least(F.lit(1.5), ratio) * 10, 0.0, 15.0),
     })
-    d = d.withColumn("total", F.round(F.col("savings") + F.col("stability") + F.col("essential") + F.col("control") + F.col("regularity"), 1))
+    d = d.withColumn("total", rnd(F.col("savings") + F.col("stability") + F.col("essential") + F.col("control") + F.col("regularity"), 1))
     tier = F.when(F.col("total") >= 80, "Excellent").when(F.col("total") >= 65, "Good").when(F.col("total") >= 50, "Fair").otherwise("Needs Attention")
     return d.select("user_id", "savings", "stability", "essential", "control", "regularity", "total", tier.alias("tier"))
 

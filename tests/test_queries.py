@@ -191,3 +191,10 @@ def test_drift(spark):
     assert round(D.psi(v, "a").first().psi, 4) == 0.2747
     assert round(D.wasserstein(v, "a").first().wasserstein, 4) == 2.5
     assert round(D.kl(v.withColumn("category", F.col("value").cast("string")).drop("value"), "a").first().kl, 4) == 0.1438
+
+
+def test_health_total_rounds_as_its_sql(spark):
+    """25 + 12.04995 is rounded after the nudge, as every compared value is."""
+    shares = ", ".join(f"{0.6 if c == 'groceries' else 0.4 if c == 'shopping' else 0.0}D AS share_{c}" for c in P.EXPENSE_CATEGORIES)
+    profile = spark.sql(f"SELECT 'u' AS user_id, 0.2D AS savings_rate, 1D AS volatility, {shares}")
+    assert B.health_v2(profile, spark.sql("SELECT 'u' AS user_id, 1.204995D AS cashflow_ratio")).first().total == 37.1

@@ -75,3 +75,11 @@ def test_profiles_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "panel", lambda s, d: counted(panel, count))
     QUERIES["M14"](spark, SF).count()
     assert count.value == panel.count()
+
+
+@pytest.mark.parametrize("name", ["L7", "B10"])
+def test_last_months_are_found_before_rows_multiply(spark, name):
+    """No window stands over the rows by category."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    by_category = max(plan.rfind("Generate explode(array(struct(category"), plan.find("Generate explode([food_dining"))
+    assert by_category > 0 and "Window [" not in plan[:by_category].split("Join Inner")[-1]

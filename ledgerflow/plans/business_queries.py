@@ -45,18 +45,18 @@ _REC = "user_id, kind, category, round(impact, 2) AS impact, round(confidence, 4
 
 
 def inputs(spark, sf_dir):
-    return P.recommendation_inputs(panel(spark, sf_dir)).where("forecast IS NOT NULL").withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
+    return P.recommendation_inputs(panel(spark, sf_dir, back=True)).where("forecast IS NOT NULL").withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
 
 
 def norms(spark, sf_dir):
-    d = P.recommendation_inputs(panel(spark, sf_dir)).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
+    d = P.recommendation_inputs(panel(spark, sf_dir, back=True)).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6))
     return quantiles(d, "share", {"peer_share": 0.5}, "cohort", "category")
 
 
 def written(spark, sf_dir):
     """inputs and norms from one pass over the transactions, which is written in between."""
     path = work_dir(spark, "recommendation-inputs")
-    P.recommendation_inputs(panel(spark, sf_dir)).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6)).write.parquet(path)
+    P.recommendation_inputs(panel(spark, sf_dir, back=True)).withColumn("cohort", hash_bucket(F.col("user_id"), 3, 6)).write.parquet(path)
     d = spark.read.parquet(path)
     return d.where("forecast IS NOT NULL"), quantiles(d, "share", {"peer_share": 0.5}, "cohort", "category")
 

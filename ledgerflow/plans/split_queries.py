@@ -114,7 +114,7 @@ def p11(spark, sf_dir):
 @register("L6", _sql(FRAME, """, ms AS (SELECT DISTINCT month FROM frame), c AS (SELECT min(month) AS first_test FROM (SELECT month, row_number() OVER (ORDER BY month DESC) AS rn FROM ms) WHERE rn <= greatest(1, floor(0.2 * (SELECT count(*) FROM ms) + 0.5)))
   SELECT user_id, category, CAST(month AS VARCHAR) AS month, CASE WHEN month >= first_test THEN 'test' ELSE 'train' END AS split FROM frame, c"""))
 def l6(spark, sf_dir):
-    return rounded(L.month_cutoff(P.forecast_frame(panel(spark, sf_dir))).select("user_id", "category", "month", "split"))
+    return rounded(P.forecast_frame(L.month_cutoff(panel(spark, sf_dir)), keep=("split",)).select("user_id", "category", "month", "split"))
 
 
 @register("L7", _sql(FRAME, "SELECT user_id, category, CAST(month AS VARCHAR) AS month, CASE WHEN month = max(month) OVER (PARTITION BY user_id) THEN 'test' ELSE 'train' END AS split FROM frame"))

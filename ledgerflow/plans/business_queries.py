@@ -66,7 +66,7 @@ def _rec(d):
 
 
 register("B1", _sql(f"{INPUTS}, {B1}", f"SELECT {_REC} FROM b1"))(lambda s, d: _rec(B.overspend(inputs(s, d))))
-register("B2", _sql(f"{INPUTS}, {B2}", f"SELECT {_REC} FROM b2"))(lambda s, d: _rec(B.peer(inputs(s, d), norms(s, d))))
+register("B2", _sql(f"{INPUTS}, {B2}", f"SELECT {_REC} FROM b2"))(lambda s, d: _rec(B.peer(*written(s, d))))
 register("B3", _sql(f"{INPUTS}, {B3}", f"SELECT {_REC} FROM b3"))(lambda s, d: _rec(B.subscription_creep(inputs(s, d))))
 
 
@@ -103,7 +103,8 @@ def b6(spark, sf_dir):
 
 @register("J10", _sql(INPUTS, f"SELECT user_id, category, cohort, {_r(['mean', 'std', 'income', 'forecast', 'peer_share'], 3)} FROM inp JOIN norms USING (cohort, category)"))
 def j10(spark, sf_dir):
-    d = inputs(spark, sf_dir).join(norms(spark, sf_dir), ["cohort", "category"])
+    d, n = written(spark, sf_dir)
+    d = d.join(n, ["cohort", "category"])
     return rounded(d.select("user_id", "category", "cohort", "mean", "std", "income", "forecast", "peer_share"), 3)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import rows as R
+from ..sources.files import stored
 from ..sources.views import EV, TX, canonical_events, canonical_txns, table
 from .panel_queries import _r, _sql, rounded
 from .registry import register
@@ -186,7 +187,7 @@ _AUDITED = "\"timestamp\" <= (SELECT CAST(min(\"timestamp\") AS DATE) + CAST(flo
     + f", one AS (SELECT count(*) AS rows, {', '.join(f'CAST(sum(CAST(round(f.{n}, 3) IS DISTINCT FROM round(p.{n}, 3) AS INT)) AS BIGINT) AS {n}' for n in _leak)} FROM fall_ f JOIN pall_ p USING (transaction_id)) "
     + f"SELECT rows, feature, changed, changed > 0 AS leaks FROM (UNPIVOT one ON {', '.join(_leak)} INTO NAME feature VALUE changed)"))
 def p5(spark, sf_dir):
-    t = canonical_txns(spark, sf_dir)
+    t = stored(canonical_txns(spark, sf_dir).select("user_id", "transaction_id", "timestamp", "amount", "direction", "merchant_key", "is_recurring"), "audited-rows")
     first, last = F.min("timestamp").cast("date"), F.max("timestamp").cast("date")
     cutoff = t.agg(F.date_add(first, F.floor(F.datediff(last, first) * 0.8).cast("int")).cast("string")).first()[0]
     return R.leakage_audit(t, cutoff)

@@ -264,6 +264,50 @@ def test_passages_equal_brute_force(spark):
     assert size(near) - 2 <= size(got) <= size(near) + 2
 
 
+def test_no_near_passage_is_left_out(spark):
+    """Pairs just above the threshold, which min-hashes would miss now and then, and pairs just below it."""
+    rng, texts = random.Random(21), []
+    for k in range(150):
+        shared = sentence(rng, 56).split()
+        other = list(shared)
+        other[26] = "other"  # 47 of 52 shingles each; the best stretches have 47 of 57 in common
+        if k % 3 == 0:
+            other[13] = other[40] = "other"  # at most 37 of 67
+        texts += [sentence(rng, 20) + " " + " ".join(shared) + " " + sentence(rng, 20), sentence(rng, 15) + " " + " ".join(other)]
+    rows = passages.NearPassages().classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i if i // 2 % 3 == 0 else i - i % 2 for i in range(len(texts))}
+
+
+def test_many_near_copies_cost_as_many_comparisons(spark):
+    rng = random.Random(22)
+    base, texts = sentence(rng, 120).split(), []
+    for _ in range(300):
+        own = list(base)
+        for at in (rng.randint(38, 44), rng.randint(76, 82)):  # no 50 words stand word for word
+            own[at] = "w%d" % rng.randrange(10**6)
+        texts.append(" ".join(own))
+    near = passages.NearPassages()
+    rows = near.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in rows} == {0}
+    assert sum(len(r.passages) for r in rows) < 20 * len(texts)
+
+
+def test_closest_equals_brute_force():
+    rng, near = np.random.default_rng(4), passages.NearPassages(words=9, width=3)
+    found = 0
+    for _ in range(150):
+        x = rng.integers(1, 40, rng.integers(7, 14)).astype(np.uint64)
+        y = x.copy()
+        y[rng.integers(0, len(y), 2)] = rng.integers(1, 40, 2)
+        y = np.concatenate((rng.integers(1, 40, rng.integers(0, 4)).astype(np.uint64), y))
+        some = [(set(x[a : a + n].tolist()), set(y[b : b + m].tolist())) for n in (7, 8) for m in (7, 8) for a in range(len(x) - n + 1) for b in range(len(y) - m + 1)]
+        best = max(len(s & t) / len(s | t) for s, t in some if len(s & t) >= 0)
+        got = near.closest(x, y)
+        assert bool(got) == (best >= 0.8)
+        found += bool(got)
+    assert 10 < found < 140
+
+
 def test_passages_within_a_text_and_odd_rows(spark):
     rng = random.Random(6)
     twice = sentence(rng, 55)

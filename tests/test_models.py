@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import boosting
+from ledgerflow.operators import boosting, forest
 from ledgerflow.operators import models as X
 from ledgerflow.plans import model_queries as Q
 from ledgerflow.plans.registry import QUERIES, load
@@ -83,3 +83,43 @@ def test_last_months_are_found_before_rows_multiply(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     by_category = max(plan.rfind("Generate explode(array(struct(category"), plan.find("Generate explode([food_dining"))
     assert by_category > 0 and "Window [" not in plan[:by_category].split("Join Inner")[-1]
+
+
+def test_forest_reads_its_rows_a_fixed_number_of_times(spark, monkeypatch):
+    """M10's forest reads rows twice, for bins and for cells, however many trees and levels; alike rows are one cell with their number."""
+    seen = {}
+
+    def kept(df, name):
+        rows = df.collect()
+        seen[name] = rows
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(forest, "stored", kept)
+    monkeypatch.setattr(forest, "dropped", lambda df: None)
+    count = spark.sparkContext.accumulator(0)
+    d = spark.range(5000).select(*[(F.col("id") % 10).cast("double").alias(c) for c in X.FRAME], (F.col("id") % 7).cast("double").alias("target"))
+    X.forest_regressor(counted(d, count), trees=5)
+    assert count.value == 2 * 5000
+    assert len(seen["forest-cells"]) == 70 and sum(r.n for r in seen["forest-cells"]) == 5000
+
+
+def test_forest_is_as_near_as_sparks_and_the_same_again(spark):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    x = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40)).cast("double").alias(f"c{i}")
+    columns = [f"c{i}" for i in range(6)]
+    d = spark.range(4000).select("id", *[x(i) for i in range(6)]).withColumn("target", F.col("c0") + F.when(F.col("c1") > 20, 3 * F.col("c2")).otherwise(0.0) + F.col("c5") * F.col("c4") / 50)
+    train, test = d.where("id % 4 != 0").cache(), d.where("id % 4 = 0").cache()
+    error = lambda p: p.agg(F.sqrt(F.avg((F.col("target") - F.col("prediction")) ** 2))).first()[0]
+    one, two = (forest.fit(train, columns, trees=30, depth=6) for _ in range(2))
+    theirs = RandomForestRegressor(labelCol="target", numTrees=30, maxDepth=6, maxBins=64, seed=42).fit(X.assembled(train, columns))
+    assert error(one.transform(test)) < 1.05 * error(theirs.transform(X.assembled(test, columns)))
+    assert all((a[2] == b[2]).all() for a, b in zip(one.trees, two.trees))
+    kept = {i for feature, *_ in one.trees for i in feature[0, :1]}
+    assert len(kept) > 1 and abs(sum(v for _, v in one.importances()) - 1) < 1e-9
+
+
+def test_forest_of_constants_nulls_and_nothing(spark):
+    d = spark.createDataFrame([(1.0, 5.0), (None, 5.0), (float("nan"), 5.0), (2.0, None)], "a double, target double")
+    assert {round(r.prediction, 3) for r in forest.fit(d, ["a"], trees=20).transform(d).collect()} == {5.0}
+    assert [r.prediction for r in forest.fit(d.where("false"), ["a"]).transform(d).collect()] == [0.0] * 4

@@ -123,3 +123,17 @@ def test_forest_of_constants_nulls_and_nothing(spark):
     d = spark.createDataFrame([(1.0, 5.0), (None, 5.0), (float("nan"), 5.0), (2.0, None)], "a double, target double")
     assert {round(r.prediction, 3) for r in forest.fit(d, ["a"], trees=20).transform(d).collect()} == {5.0}
     assert [r.prediction for r in forest.fit(d.where("false"), ["a"]).transform(d).collect()] == [0.0] * 4
+
+
+def test_importance_scores_a_row_once_for_a_linear_model(spark, monkeypatch):
+    """The arms of a linear model are moved predictions, and as any other model's by scoring every arm."""
+    x = lambda i: F.when(F.col("id") % 9 != i, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40))).cast("double")
+    d = spark.range(300).select(F.col("id").cast("string").alias("user_id"), F.lit("c").alias("category"), F.lit("m").alias("month"), x(0).alias("a"), x(1).alias("b"))
+    d = d.withColumn("target", 3 * F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0)) + F.col("user_id").cast("int") % 3)
+    model = X.regressor().fit(X.assembled(d, ["a", "b"]))
+    sizes, assembled = [], X.assembled
+    monkeypatch.setattr(X, "assembled", lambda df, columns: sizes.append(df.count()) or assembled(df, columns))
+    other = type("Other", (), {"transform": lambda self, df: model.transform(df)})()
+    got, plain = ({r.feature: r.importance for r in X.permutation_importance(m, d, ["a", "b"], rows_a_block=100).collect()} for m in (model, other))
+    assert sizes == [300, 300 * (1 + 5 * 2)]
+    assert got == pytest.approx(plain) and 0 < got["b"] < got["a"]

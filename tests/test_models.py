@@ -160,3 +160,14 @@ def test_edges_are_spark_quantiles_and_marks_are_few(spark, monkeypatch):
     assert len(marks) == 1 and len(marks[0]["v"]) <= 8 * 201
     v, w = boosting.np.frombuffer(marks[0]["v"]), boosting.np.frombuffer(marks[0]["w"])
     assert w.sum() == 3000 and all(abs(a - b) <= 2 * 997 / 200 for a, b in zip(want, v[boosting.np.searchsorted(w.cumsum(), boosting.np.arange(1, 64) / 64 * 3000)]))
+
+
+def test_forecasts_in_the_queries_have_all_rounds(spark, monkeypatch):
+    """B9_model's and B10_model's forecaster may grow the 300 rounds that the operator has by default."""
+    seen = []
+    frame = spark.createDataFrame([("u", "2024-01-01", "misc", 1.0, s, *[0.0] * len(X.FRAME)) for s in ("train", "test")], ["user_id", "month", "category", "target", "split", *X.FRAME])
+    monkeypatch.setattr(Q, "frame", lambda s, d: frame)
+    fitted = X.forecaster
+    monkeypatch.setattr(X, "forecaster", lambda d, **more: seen.append(more.get("rounds", 300)) or fitted(d, **more))
+    Q.backtest(spark, SF).collect()
+    assert seen == [300]

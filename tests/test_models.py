@@ -171,3 +171,27 @@ def test_forecasts_in_the_queries_have_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(X, "forecaster", lambda d, **more: seen.append(more.get("rounds", 300)) or fitted(d, **more))
     Q.backtest(spark, SF).collect()
     assert seen == [300]
+
+
+def test_boosted_classes_equal_sparks_one_against_the_rest(spark):
+    """Trees of all classes in shared jobs label rows as Spark's boosting of a class at a time does."""
+    x = lambda i, n: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n))
+    d = spark.range(1200).select(x(1, 7).alias("a"), x(2, 20).cast("double").alias("p"), x(3, 15).cast("double").alias("q"))
+    d = d.withColumns({"text": F.concat(F.lit("pos shop"), "a"), "label": F.when(F.col("a") < 2, "food").when((F.col("p") > 11) & (F.col("q") < 8), "rent").otherwise("misc")})
+    train = X.balanced(d).localCheckpoint()
+    model = X.boosted_categorizer(train, ["p", "q"], rounds=3)
+    theirs = X.categorizer("boosted", X.behaviour_features(["p", "q"]), 3).fit(train)
+    ours, plain = (sorted((r.text, r.label, r.yhat) for r in p.select("text", "label", "yhat").collect()) for p in (model.transform(d), X.predict(theirs, d.withColumn("weight", F.lit(1.0)))))
+    assert model.rounds == 3 and ours == plain and all(label == yhat for _, label, yhat in ours)
+
+
+def test_boosted_classes_of_nothing_and_of_one(spark):
+    d = spark.createDataFrame([(None, "a", 1.0, None), ("x x", "a", 1.0, 2.0), ("y", None, 1.0, 2.0)], "text string, label string, weight double, p double")
+    assert {r.yhat for r in X.boosted_categorizer(d, ["p"], rounds=2).transform(d).collect()} == {"a"}
+    assert X.boosted_categorizer(d.where("false"), ["p"]).rounds == 0
+
+
+def test_m7_has_all_rounds(spark, monkeypatch):
+    seen, fitted = [], X.boosted_categorizer
+    monkeypatch.setattr(X, "boosted_categorizer", lambda d, **more: seen.append(more.get("rounds", 100)) or fitted(d, **{**more, "rounds": 1}))
+    assert QUERIES["M7"](spark, SF).count() == 1 and seen == [100]

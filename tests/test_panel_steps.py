@@ -113,3 +113,15 @@ def test_month_cutoff_reads_months_once(spark):
 def test_transactions_are_read_once(spark, name):
     """What is joined or ranked comes from a written step, not from the transactions again."""
     assert not any("lineitem" in f for f in QUERIES[name](spark, SF).inputFiles())
+
+
+@pytest.mark.parametrize("name", ["W15", "M8"])
+def test_rows_with_features_move_once_by_user(spark, name):
+    """Users' statistics meet the rows where the windows left them: by user are the rows and the statistics, nothing else."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(user_id") == 2
